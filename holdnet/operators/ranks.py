@@ -4,7 +4,9 @@ A window with no partition key (or one hot key) runs on one task.  Here the
 rows are range-partitioned on (keys, order) into blocks, so a hot key spreads
 over many blocks; running sums are computed inside each (block, key) and the
 totals of earlier blocks of the same key are added as an offset.  The offset
-table has at most (blocks x keys) rows.  All of it is plain Spark SQL.
+table has at most (blocks x keys) rows.  All of it is plain Spark SQL; the
+block assignment is written once to the checkpoint folder so every branch
+(and every retry) sees the same blocks.
 
 The order must be total inside each key (add a unique tie-break), otherwise
 the split of equal rows between blocks is arbitrary.
@@ -17,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdnet.session import ensure_checkpoint_dir
+
 
 def _cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
@@ -31,9 +35,12 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     order_cols = _cols(order)
     w_named = {f"_w_{o}": (F.col(w) if isinstance(w, str) else w) for o, w in weights.items()}
     base = df.withColumns(w_named)
-    # explicit block count: AQE does not coalesce it, so block ids are stable within the query
+    # Block ids come from the range shuffle, whose bounds are sampled: a recomputation (two branches
+    # of one plan, or a lost executor) could draw other bounds.  A reliable checkpoint pins them once.
+    ensure_checkpoint_dir(spark)
     ranged = (base.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
-              .withColumn("_blk", F.spark_partition_id()))
+              .withColumn("_blk", F.spark_partition_id())
+              .checkpoint())
     local_w = (Window.partitionBy("_blk", *keys).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumns({f"_loc_{o}": F.sum(f"_w_{o}").over(local_w) for o in weights})

@@ -1 +1,205 @@
-"""Placeholder."""
+"""Flow C: split and encoding, metrics on scores, models (MLlib), learning curve, importance."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from holdnet.operators import evaluate, flags, graph, impute, models, split
+from holdnet.plans.catalog import register
+from holdnet.plans.relations import edges
+from holdnet.sources import fixtures as fx
+
+SECTORS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "SUPPLIER"]
+SIZES = ["large", "medium", "small"]
+
+
+def _dummies_sql(col: str, values: list[str]) -> str:
+    return ", ".join(f"CASE WHEN {col} = '{v}' THEN 1 ELSE 0 END AS {col}_{v}" for v in values)
+
+
+@register("distinct_groups", "SELECT DISTINCT grupo FROM nodos")
+def q_distinct_groups(spark, sf_dir):
+    return split.distinct_groups(fx.nodos(spark, sf_dir))
+
+
+SPLIT_SQL = ("split_units", """
+SELECT unit, CASE WHEN rk <= floor((SELECT count(*) FROM (SELECT DISTINCT COALESCE(grupo, 'no_grupo') FROM nodos) c) * 0.8)
+                  THEN 'train' ELSE 'test' END AS conjunto
+FROM (SELECT unit, ROW_NUMBER() OVER (ORDER BY md5(concat('424:', unit)), unit) AS rk
+      FROM (SELECT DISTINCT COALESCE(grupo, 'no_grupo') AS unit FROM nodos) u) r""")
+
+
+@register("group_split", """
+SELECT n.nodo, n.grupo, n.ind_filial_matriz, s.conjunto FROM nodos n JOIN split_units s ON COALESCE(n.grupo, 'no_grupo') = s.unit""",
+          [SPLIT_SQL])
+def q_group_split(spark, sf_dir):
+    return split.group_split(fx.nodos(spark, sf_dir).select("nodo", "grupo", "ind_filial_matriz"))
+
+
+@register("one_hot", f"""
+SELECT nodo, grupo, {_dummies_sql('sector', SECTORS)}, {_dummies_sql('tamano', SIZES)} FROM nodos""")
+def q_one_hot(spark, sf_dir):
+    return split.one_hot(fx.nodos(spark, sf_dir).select("nodo", "grupo", "sector", "tamano"))
+
+
+@register("model_table", f"""
+SELECT nodo, grupo, ind_filial_matriz, CAST(importe AS DOUBLE) AS importe, situ,
+       {_dummies_sql('sector', SECTORS)}, {_dummies_sql('tamano', SIZES)},
+       CASE WHEN ind_filial_matriz = 'M' THEN 1 ELSE 0 END AS matriz_filia_binaria FROM nodos""")
+def q_model_table(spark, sf_dir):
+    return split.model_table(fx.nodos(spark, sf_dir).withColumn("importe", F.col("importe").cast("double")))
+
+
+@register("category_cast", """
+SELECT n.nodo, CAST(s.idx AS DOUBLE) AS sector_idx, CAST(t.idx AS DOUBLE) AS tamano_idx FROM nodos n
+JOIN (SELECT sector, ROW_NUMBER() OVER (ORDER BY count(*) DESC, sector) - 1 AS idx FROM nodos GROUP BY sector) s
+  ON n.sector = s.sector
+JOIN (SELECT tamano, ROW_NUMBER() OVER (ORDER BY count(*) DESC, tamano) - 1 AS idx FROM nodos GROUP BY tamano) t
+  ON n.tamano = t.tamano""")
+def q_category_cast(spark, sf_dir):
+    return models.category_cast(fx.nodos(spark, sf_dir), ["sector", "tamano"]).select("nodo", "sector_idx", "tamano_idx")
+
+
+# ---- metrics on the deterministic score table -------------------------------------------------------
+
+SCORES_SQL = ("scores", """
+SELECT nodo AS row_id, CASE WHEN ind_filial_matriz = 'M' THEN 1 ELSE 0 END AS label,
+       (importe_final_sinnulos - (SELECT min(importe_final_sinnulos) FROM nodos_imp))
+       / NULLIF((SELECT max(importe_final_sinnulos) FROM nodos_imp) - (SELECT min(importe_final_sinnulos) FROM nodos_imp), 0)
+         AS score
+FROM nodos_imp""")
+PRED_SQL = ("pred", "SELECT s.*, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction FROM scores s")
+CELLS_SQL = ("cells", """
+SELECT CAST(sum(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS c00,
+       CAST(sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c01,
+       CAST(sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS c10,
+       CAST(sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c11 FROM pred""")
+SCORE_CTES = [SCORES_SQL, PRED_SQL, CELLS_SQL]
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.scores(impute.impute_amount(fx.nodos(spark, sf_dir)))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags.threshold_predict(scores(spark, sf_dir), "score", 0.5, "prediction")
+
+
+@register("threshold_predict", "SELECT row_id, label, score, prediction FROM pred", SCORE_CTES)
+def q_threshold_predict(spark, sf_dir):
+    return predictions(spark, sf_dir)
+
+
+@register("confusion_matrix", """
+SELECT * FROM (SELECT 0 AS label, 0 AS prediction, c00 AS n FROM cells UNION ALL SELECT 0, 1, c01 FROM cells
+               UNION ALL SELECT 1, 0, c10 FROM cells UNION ALL SELECT 1, 1, c11 FROM cells) t""", SCORE_CTES)
+def q_confusion_matrix(spark, sf_dir):
+    return evaluate.confusion_matrix(predictions(spark, sf_dir))
+
+
+REPORT_SQL = SCORE_CTES + [("rm", """
+SELECT COALESCE(c00 / NULLIF(CAST(c00 + c10 AS DOUBLE), 0), 0.0) AS p0, COALESCE(c00 / NULLIF(CAST(c00 + c01 AS DOUBLE), 0), 0.0) AS r0,
+       COALESCE(c11 / NULLIF(CAST(c11 + c01 AS DOUBLE), 0), 0.0) AS p1, COALESCE(c11 / NULLIF(CAST(c11 + c10 AS DOUBLE), 0), 0.0) AS r1,
+       CAST(c00 + c01 AS DOUBLE) AS s0, CAST(c11 + c10 AS DOUBLE) AS s1,
+       (c11 + c00) / NULLIF(CAST(c11 + c00 + c01 + c10 AS DOUBLE), 0) AS acc FROM cells"""),
+    ("rf", """
+SELECT rm.*, COALESCE(2 * p0 * r0 / NULLIF(p0 + r0, 0), 0.0) AS f0, COALESCE(2 * p1 * r1 / NULLIF(p1 + r1, 0), 0.0) AS f1
+FROM rm""")]
+
+
+@register("classification_report", """
+SELECT '0' AS clase, round(p0, 9) AS precision, round(r0, 9) AS recall, round(f0, 9) AS f1, CAST(s0 AS BIGINT) AS support FROM rf
+UNION ALL SELECT '1', round(p1, 9), round(r1, 9), round(f1, 9), CAST(s1 AS BIGINT) FROM rf
+UNION ALL SELECT 'accuracy', NULL, NULL, round(acc, 9), CAST(s0 + s1 AS BIGINT) FROM rf
+UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 9), round((r0 + r1) / 2, 9), round((f0 + f1) / 2, 9),
+                 CAST(s0 + s1 AS BIGINT) FROM rf
+UNION ALL SELECT 'weighted avg', round((p0 * s0 + p1 * s1) / NULLIF(s0 + s1, 0), 9), round((r0 * s0 + r1 * s1) / NULLIF(s0 + s1, 0), 9),
+                 round((f0 * s0 + f1 * s1) / NULLIF(s0 + s1, 0), 9), CAST(s0 + s1 AS BIGINT) FROM rf""", REPORT_SQL)
+def q_classification_report(spark, sf_dir):
+    return evaluate.classification_report(predictions(spark, sf_dir))
+
+
+ROC_SQL = SCORE_CTES + [("roc_pts", """
+SELECT score AS threshold, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+       CAST(sum(CASE WHEN label <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS neg FROM scores WHERE score IS NOT NULL GROUP BY score"""),
+    ("roc_cum", """
+SELECT threshold, pos, neg, CAST(sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp,
+       CAST(sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp FROM roc_pts"""),
+    ("roc", """
+SELECT threshold, tp, fp, tp / NULLIF(CAST((SELECT sum(pos) FROM roc_pts) AS DOUBLE), 0) AS tpr,
+       fp / NULLIF(CAST((SELECT sum(neg) FROM roc_pts) AS DOUBLE), 0) AS fpr FROM roc_cum""")]
+
+
+@register("roc_curve", "SELECT * FROM roc", ROC_SQL)
+def q_roc_curve(spark, sf_dir):
+    return evaluate.roc_curve(scores(spark, sf_dir))
+
+
+@register("roc_auc", """
+SELECT CAST(sum(neg * (2 * tp - pos)) AS DOUBLE) / NULLIF(CAST(2 * sum(pos) * sum(neg) AS DOUBLE), 0) AS auc,
+       CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM roc_cum""", ROC_SQL)
+def q_roc_auc(spark, sf_dir):
+    return evaluate.roc_auc(scores(spark, sf_dir))
+
+
+@register("best_cutoff", """
+SELECT threshold, tpr, fpr, round(sqrt(fpr * fpr + (1 - tpr) * (1 - tpr)), 12) AS dist FROM roc
+ORDER BY dist, threshold DESC LIMIT 1""", ROC_SQL)
+def q_best_cutoff(spark, sf_dir):
+    return evaluate.best_cutoff(scores(spark, sf_dir))
+
+
+# ---- models (rows-only checks) ---------------------------------------------------------------------
+
+def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company features for the parent classifier: imputed billing, both centralities, dummies,
+    target and the group split.  The role column is dropped (it is the target)."""
+    nodes = fx.nodos(spark, sf_dir)
+    imp = impute.impute_amount(nodes)
+    total = graph.total_degree_centrality(fx.relaciones(spark, sf_dir, nodes)).select("nodo", "centralidad")
+    by_group = graph.group_degree_centrality(graph.group_edges(edges(spark, sf_dir), nodes)).select(
+        "grupo", "nodo", "centralidad_ensu_grupo")
+    feats = (imp.join(total, "nodo", "left").join(by_group, ["grupo", "nodo"], "left")
+             .fillna(0.0, subset=["centralidad", "centralidad_ensu_grupo"])
+             .select("nodo", "grupo", "ind_filial_matriz", "importe_final_sinnulos", "centralidad",
+                     "centralidad_ensu_grupo", "sector", "tamano"))
+    table = split.model_table(feats)
+    return split.group_split(table).drop("ind_filial_matriz")
+
+
+def _fit_query(name: str):
+    def q(spark, sf_dir):
+        df = model_frame(spark, sf_dir)
+        return models.fit_and_predict(name, df)
+    q.__name__ = f"q_fit_{name}"
+    return q
+
+
+for _name in models.MODEL_NAMES:
+    register(f"fit_{_name}")(_fit_query(_name))
+
+
+@register("fit_all")
+def q_fit_all(spark, sf_dir):
+    return models.fit_all(model_frame(spark, sf_dir))
+
+
+@register("save_models")
+def q_save_models(spark, sf_dir):
+    return models.save_models(model_frame(spark, sf_dir))
+
+
+@register("evaluate_models")
+def q_evaluate_models(spark, sf_dir):
+    return models.evaluate_models(models.fit_all(model_frame(spark, sf_dir)))
+
+
+@register("learning_curve")
+def q_learning_curve(spark, sf_dir):
+    return models.learning_curve(model_frame(spark, sf_dir))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    return models.feature_importance(model_frame(spark, sf_dir))

@@ -1 +1,97 @@
-"""Placeholder."""
+"""Parents vs subsidiaries: Mann-Whitney U, permutation test of medians, kernel densities."""
+
+from __future__ import annotations
+
+import math
+
+from holdnet.operators import hypothesis
+from holdnet.plans.catalog import register
+from holdnet.sources import fixtures as fx
+
+N_ITER = 10000
+SEED = 0
+GRID = 200
+
+SAMPLES_SQL = ("smp", """
+SELECT CASE WHEN ind_filial_matriz = 'M' THEN 1 ELSE 2 END AS sample, CAST(importe AS DOUBLE) AS value, nodo AS row_id
+FROM nodos WHERE importe IS NOT NULL AND ind_filial_matriz IN ('M', 'F')""")
+
+
+def _erfc_sql(x: str) -> str:
+    poly = repr(hypothesis.ERFC_COEF[-1])
+    for c in reversed(hypothesis.ERFC_COEF[:-1]):
+        poly = f"({c!r} + t * {poly})"
+    t = f"(1.0 / (1.0 + 0.5 * abs({x})))"
+    body = poly.replace("t *", f"{t} *")
+    ans = f"({t} * exp((-abs({x})) * abs({x}) + {body}))"
+    return f"(CASE WHEN {x} >= 0 THEN {ans} ELSE 2.0 - {ans} END)"
+
+
+MW_SQL = [SAMPLES_SQL, ("mw_cnt", """
+SELECT value, count(*) AS c, sum(CASE WHEN sample = 1 THEN 1 ELSE 0 END) AS c1 FROM smp GROUP BY value"""),
+    ("mw_cum", "SELECT value, c, c1, sum(c) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) AS e FROM mw_cnt"),
+    ("mw_u", """
+SELECT (two_r1 - n1 * (n1 + 1)) / 2 AS u1, n1, n - n1 AS n2, CAST(n AS DOUBLE) AS nn, CAST(ties AS DOUBLE) AS tt FROM (
+  SELECT CAST(sum(c1 * (2 * (e - c) + c + 1)) AS BIGINT) AS two_r1, CAST(sum(c1) AS BIGINT) AS n1,
+         CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * c * c - c) AS BIGINT) AS ties FROM mw_cum) a"""),
+    ("mw_z", """
+SELECT u.*, (abs(u1 - CAST(n1 AS DOUBLE) * CAST(n2 AS DOUBLE) / 2) - 0.5)
+            / sqrt(CAST(n1 AS DOUBLE) * CAST(n2 AS DOUBLE) / 12 * ((nn + 1) - tt / (nn * (nn - 1)))) AS z FROM mw_u u"""),
+    ("mw_p", f"SELECT m.*, least(1.0, {_erfc_sql('(z / ' + repr(math.sqrt(2.0)) + ')')}) AS p FROM mw_z m")]
+
+
+@register("mann_whitney", """
+SELECT u1, n1, n2, round(z, 10) AS z, round(p, 10) AS p_value,
+       CASE WHEN p > 0.05 THEN 'same_distribution' ELSE 'different_distribution' END AS verdict FROM mw_p""", MW_SQL)
+def q_mann_whitney(spark, sf_dir):
+    return hypothesis.mann_whitney(fx.samples(fx.nodos(spark, sf_dir)))
+
+
+PERM_SQL = [SAMPLES_SQL, ("its", f"SELECT range AS it FROM range(1, {N_ITER + 1})"),
+            ("perm", f"""
+SELECT i.it, s.value, s.row_id,
+       ROW_NUMBER() OVER (PARTITION BY i.it ORDER BY md5(concat('{SEED}:', CAST(i.it AS VARCHAR), ':', s.row_id)), s.row_id)
+         AS pos
+FROM its i CROSS JOIN smp s"""),
+            ("lab", """
+SELECT it, value, row_id, CASE WHEN pos <= (SELECT count(*) FROM smp WHERE sample = 1) THEN 1 ELSE 2 END AS lab
+FROM perm"""),
+            ("rk", """
+SELECT it, lab, value, ROW_NUMBER() OVER (PARTITION BY it, lab ORDER BY value, row_id) AS i,
+       count(*) OVER (PARTITION BY it, lab) AS n FROM lab"""),
+            ("med", """
+SELECT it, lab, (max(CASE WHEN i = (n + 1) // 2 THEN value END) + max(CASE WHEN i = n // 2 + 1 THEN value END)) / 2 AS m
+FROM rk GROUP BY it, lab"""),
+            ("diffs", """
+SELECT it, max(CASE WHEN lab = 1 THEN m END) - max(CASE WHEN lab = 2 THEN m END) AS diff FROM med GROUP BY it"""),
+            ("obs_rk", """
+SELECT sample, value, ROW_NUMBER() OVER (PARTITION BY sample ORDER BY value, row_id) AS i,
+       count(*) OVER (PARTITION BY sample) AS n FROM smp"""),
+            ("obs", """
+SELECT max(CASE WHEN sample = 1 THEN m END) - max(CASE WHEN sample = 2 THEN m END) AS d FROM (
+  SELECT sample, (max(CASE WHEN i = (n + 1) // 2 THEN value END) + max(CASE WHEN i = n // 2 + 1 THEN value END)) / 2 AS m
+  FROM obs_rk GROUP BY sample) t""")]
+
+
+@register("permutation_median", f"""
+SELECT (SELECT d FROM obs) AS observed_diff,
+       CAST(sum(CASE WHEN diff >= (SELECT d FROM obs) THEN 1 ELSE 0 END) AS DOUBLE) / {float(N_ITER)!r} AS p_value,
+       count(*) AS n_iter,
+       (SELECT count(*) FROM smp WHERE sample = 1) AS n1, (SELECT count(*) FROM smp WHERE sample = 2) AS n2
+FROM diffs""", PERM_SQL)
+def q_permutation_median(spark, sf_dir):
+    return hypothesis.permutation_median(fx.samples(fx.nodos(spark, sf_dir)), n_iter=N_ITER, seed=SEED)
+
+
+@register("density_curve", f"""
+SELECT p.sample, p.j, round(p.x, 6) AS x,
+       round(sum(exp(-0.5 * pow((p.x - v.value) / p.h, 2))) / (p.n * p.h * {math.sqrt(2 * math.pi)!r}), 12) AS density
+FROM (SELECT per.sample, g.j, b.lo + g.j * ((b.hi - b.lo) / {float(GRID - 1)!r}) AS x, per.n, per.h
+      FROM (SELECT sample, count(*) AS n, stddev_samp(value) * pow(CAST(count(*) AS DOUBLE), -0.2) AS h
+            FROM smp GROUP BY sample) per,
+           (SELECT CAST(range AS INT) AS j FROM range(0, {GRID})) g,
+           (SELECT min(value) AS lo, max(value) AS hi FROM smp) b) p
+JOIN smp v ON v.sample = p.sample
+GROUP BY p.sample, p.j, p.x, p.n, p.h""", [SAMPLES_SQL])
+def q_density_curve(spark, sf_dir):
+    return hypothesis.density_curve(fx.samples(fx.nodos(spark, sf_dir)), grid_size=GRID)
