@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from holdnet.functions import flag
 from holdnet.operators.ranks import row_numbers, running_sums
+from holdnet.session import ensure_checkpoint_dir
 
 # Chebyshev fit of erfc(x) = t * exp(-x^2 + P(t)), t = 1 / (1 + x / 2), for x >= 0,
 # fractional error below 1.2e-7 everywhere (Numerical Recipes, "erfcc").  Coefficients of P, lowest first:
@@ -60,7 +61,38 @@ def _median_expr(lo: str, hi: str) -> Column:
     return (F.col(lo) + F.col(hi)) / 2
 
 
-def permutation_median(samples: DataFrame, n_iter: int = 10000, seed: int = 0) -> DataFrame:
+def _candidates(exploded: DataFrame, spark, n_iter: int, n: int, m: int, small_first: bool,
+                slack: float = 8.0) -> DataFrame:
+    """Rows that can be among the m selected of their permutation, exactly.
+
+    The selected rows are the m smallest (or largest) md5 keys of each
+    permutation.  Keys are uniform, so a key below the threshold
+    t = (m + slack (sqrt(m) + 2)) / n (as a 128-bit hex fraction) keeps about m + 8 sqrt(m)
+    rows per permutation, filtered in the generating stage before any shuffle.
+    If a permutation keeps at least m rows, its m smallest keys are all kept
+    (lexicographic order of equal-length hex = numeric order).  Permutations
+    that keep fewer (a handful of 10,000 at most, usually none) take all their
+    rows instead: the result is the same as sorting every row.
+    """
+    frac = (m + slack * (math.sqrt(m) + 2.0)) / n
+    if frac >= 0.5:
+        return exploded
+    cut = int(frac * 16 ** 32)
+    if small_first:
+        keep = F.col("_k") < F.lit(format(cut, "032x"))
+    else:
+        keep = F.col("_k") > F.lit(format(16 ** 32 - 1 - cut, "032x"))
+    ensure_checkpoint_dir(spark)
+    cand = exploded.filter(keep).checkpoint()
+    full = cand.groupBy("it").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= m).select("it")
+    short = spark.range(1, n_iter + 1).withColumnRenamed("id", "it").join(full, "it", "left_anti")
+    short = short.checkpoint()
+    if short.isEmpty():
+        return cand
+    return cand.join(short, "it", "left_anti").unionByName(exploded.join(short, "it", "left_semi"))
+
+
+def permutation_median(samples: DataFrame, n_iter: int = 10000, seed: int = 0, slack: float = 8.0) -> DataFrame:
     """One-sided permutation test of median(sample 1) - median(sample 2).
 
     Permutation ``it`` orders the rows by md5('<seed>:<it>:<row_id>'); its first
@@ -84,10 +116,12 @@ def permutation_median(samples: DataFrame, n_iter: int = 10000, seed: int = 0) -
     m = min(n1, n2)
     vals = row_numbers(samples.select("value", "row_id"), [], ["value", "row_id"], out="g").withColumn("g", F.col("g") - 1)
     perm_key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("it").cast("string"), F.lit(":"), F.col("row_id")))
-    exploded = vals.select("g", "value", "row_id", F.explode(F.sequence(F.lit(1), F.lit(n_iter))).alias("it"))
-    order = [perm_key.asc(), F.col("row_id").asc()] if small_first else [perm_key.desc(), F.col("row_id").desc()]
+    exploded = (vals.select("g", "value", "row_id", F.explode(F.sequence(F.lit(1), F.lit(n_iter))).alias("it"))
+                .withColumn("_k", perm_key))
+    cand = _candidates(exploded, vals.sparkSession, n_iter, n, m, small_first, slack)
+    order = [F.col("_k").asc(), F.col("row_id").asc()] if small_first else [F.col("_k").desc(), F.col("row_id").desc()]
     w = Window.partitionBy("it").orderBy(*order)
-    chosen = exploded.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).drop("_r")
+    chosen = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).drop("_r", "_k")
     chosen = row_numbers(chosen, ["it"], ["g"], out="i").withColumn("i", F.col("i") - 1)
     # median of the selected set: positions (m-1)//2 and m//2 in its own order
     a, b = (m - 1) // 2, m // 2

@@ -16,6 +16,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
                                        LogisticRegressionModel, RandomForestClassifier)
@@ -73,17 +74,25 @@ class SvmGridModel:
 
     @staticmethod
     def rff(df: DataFrame, w: np.ndarray, b: np.ndarray, col: str = "scaled", out: str = "rff") -> DataFrame:
-        """cos(W x + b) * sqrt(2 / D) as JVM column expressions on the scaled vector."""
-        x = vector_to_array(F.col(col))
-        d = w.shape[0]
-        scale = math.sqrt(2.0 / d)
-        comps = []
-        for k in range(d):
-            acc = F.lit(float(b[k]))
-            for j in range(w.shape[1]):
-                acc = acc + F.lit(float(w[k, j])) * x[j]
-            comps.append(F.cos(acc) * scale)
-        return df.withColumn(out, array_to_vector(F.array(*comps)))
+        """cos(W x + b) * sqrt(2 / D) on the scaled vector, one Arrow batch at a time.
+
+        A D x d matrix product does not fit in generated JVM code as column
+        expressions (D * d terms), so this small numeric map is a vectorised
+        pandas UDF; the projection matrix travels in the closure (D x d doubles).
+        """
+        w_t = np.ascontiguousarray(w.T)
+        b_row = np.asarray(b, dtype=float)
+        scale = math.sqrt(2.0 / w.shape[0])
+
+        @F.pandas_udf("array<double>")
+        def _features(xs: pd.Series) -> pd.Series:
+            if len(xs) == 0:
+                return pd.Series([], dtype=object)
+            x = np.stack(xs.to_numpy())
+            z = np.cos(x @ w_t + b_row) * scale
+            return pd.Series(list(z))
+
+        return df.withColumn(out, array_to_vector(_features(vector_to_array(F.col(col)))))
 
     def _margin_frame(self, df: DataFrame) -> DataFrame:
         x = self.scaler.transform(_assembler(self.features, "raw").transform(df))

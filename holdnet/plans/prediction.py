@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from holdnet.operators import evaluate, flags, graph, impute, models, split
 from holdnet.plans.catalog import register
 from holdnet.plans.relations import edges
+from holdnet.session import ensure_checkpoint_dir
 from holdnet.sources import fixtures as fx
 
 SECTORS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "SUPPLIER"]
@@ -165,7 +166,10 @@ def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("nodo", "grupo", "ind_filial_matriz", "importe_final_sinnulos", "centralidad",
                      "centralidad_ensu_grupo", "sector", "tamano"))
     table = split.model_table(feats)
-    return split.group_split(table).drop("ind_filial_matriz")
+    # Every fit, fold and metric reads this table many times: write it once to the
+    # cluster's checkpoint folder (one row per company) instead of recomputing the joins.
+    ensure_checkpoint_dir(spark)
+    return split.group_split(table).drop("ind_filial_matriz").checkpoint()
 
 
 def _fit_query(name: str):
