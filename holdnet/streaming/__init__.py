@@ -1,0 +1,2 @@
+"""Streaming: the reference reads no stream and keeps no state across batches, so there is
+no streaming operator here.  Every operator takes batch DataFrames."""
