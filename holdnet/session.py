@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of iterative operators are removed once the driver drops the DataFrame
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
