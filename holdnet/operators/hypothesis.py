@@ -61,6 +61,9 @@ def _median_expr(lo: str, hi: str) -> Column:
     return (F.col(lo) + F.col(hi)) / 2
 
 
+ROWS_PER_TASK = 4_000_000
+
+
 def _candidates(exploded: DataFrame, spark, n_iter: int, n: int, m: int, small_first: bool,
                 slack: float = 8.0) -> DataFrame:
     """Rows that can be among the m selected of their permutation, exactly.
@@ -116,9 +119,14 @@ def permutation_median(samples: DataFrame, n_iter: int = 10000, seed: int = 0, s
     m = min(n1, n2)
     vals = row_numbers(samples.select("value", "row_id"), [], ["value", "row_id"], out="g").withColumn("g", F.col("g") - 1)
     perm_key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("it").cast("string"), F.lit(":"), F.col("row_id")))
-    exploded = (vals.select("g", "value", "row_id", F.explode(F.sequence(F.lit(1), F.lit(n_iter))).alias("it"))
+    # every permutation hashes every row: spread the n * n_iter pairs over enough tasks
+    # (the ranked values may sit in one partition after AQE coalescing)
+    spark = vals.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n * n_iter // ROWS_PER_TASK))
+    exploded = (vals.repartition(tasks)
+                .select("g", "value", "row_id", F.explode(F.sequence(F.lit(1), F.lit(n_iter))).alias("it"))
                 .withColumn("_k", perm_key))
-    cand = _candidates(exploded, vals.sparkSession, n_iter, n, m, small_first, slack)
+    cand = _candidates(exploded, spark, n_iter, n, m, small_first, slack)
     order = [F.col("_k").asc(), F.col("row_id").asc()] if small_first else [F.col("_k").desc(), F.col("row_id").desc()]
     w = Window.partitionBy("it").orderBy(*order)
     chosen = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).drop("_r", "_k")
