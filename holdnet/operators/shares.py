@@ -1,5 +1,5 @@
-"""Per-key shares and counts attached to every relation or company (reference 'caracteristicas',
-'modelado_relaciones' and the first node features).
+"""Per-key shares and counts attached to every relation or company (company features,
+relation features and the first node features).
 
 Pattern: aggregate (partial on the map side) and left-join back.  Aggregates
 keyed on a few groups are small and become runtime broadcasts under AQE, so the

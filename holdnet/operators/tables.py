@@ -1,4 +1,4 @@
-"""Table building, projection and de-duplication (reference step 'creacion' and balance cleaning)."""
+"""Table building, projection and de-duplication (node and edge tables, balance cleaning)."""
 
 from __future__ import annotations
 
