@@ -117,3 +117,10 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         todo = todo[left > 8]
         done += 8
     return h
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

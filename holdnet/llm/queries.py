@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from holdnet.llm import quality_rules
+from pyspark.sql import functions as F
+
+from holdnet.llm import quality_rules, simhash
 from holdnet.llm.common import table
 
 QUERIES = {}
@@ -21,3 +23,9 @@ def query(key: str, sql: str | None = None):
 @query("op10_quality_rules")
 def op10(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_simhash")
+def op9(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
