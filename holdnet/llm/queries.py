@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from holdnet.llm import quality_rules, simhash
+from holdnet.llm import decontamination, quality_rules, simhash
 from holdnet.llm.common import table
 
 QUERIES = {}
@@ -29,3 +29,10 @@ def op10(spark, sf_dir):
 def op9(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op8_decontamination")
+def op8(spark, sf_dir):
+    found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
