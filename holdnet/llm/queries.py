@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from holdnet.llm import decontamination, quality_rules, simhash
+from holdnet.llm import decontamination, packing, quality_rules, secrets, simhash
 from holdnet.llm.common import table
 
 QUERIES = {}
@@ -36,3 +37,17 @@ def op8(spark, sf_dir):
     found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op4_secret_scans")
+def op4(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select("doc_id", *[secrets.count_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+                        secrets.joined(F.col("spans")).alias("spans"))
+
+
+@query("op2_packing")
+def op2(spark, sf_dir):
+    return packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
