@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from holdnet.llm import decontamination, packing, quality_rules, secrets, simhash
+from holdnet.llm import decontamination, packing, quality_rules, secrets, simhash, token_counts
 from holdnet.llm.common import table
 
 QUERIES = {}
@@ -51,3 +51,8 @@ def op4(spark, sf_dir):
 @query("op2_packing")
 def op2(spark, sf_dir):
     return packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op1_token_counts")
+def op1(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
