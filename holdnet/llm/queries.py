@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from holdnet.llm import decontamination, packing, quality_rules, secrets, simhash, token_counts
+from holdnet.llm import chat, decontamination, packing, quality_rules, secrets, simhash, token_counts
 from holdnet.llm.common import table
 
 QUERIES = {}
@@ -56,3 +56,11 @@ def op2(spark, sf_dir):
 @query("op1_token_counts")
 def op1(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op7_chat_formatting")
+def op7(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], turns.schema)
+    return chat.digests(chat.read_back(chat.windows(turns.unionByName(extra))))
