@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from holdnet.llm import chat, decontamination, packing, quality_rules, secrets, simhash, token_counts
+from holdnet.llm import chat, decontamination, packing, quality_rules, secrets, simhash, token_counts, toxicity
 from holdnet.llm.common import table
 
 QUERIES = {}
@@ -64,3 +64,9 @@ def op7(spark, sf_dir):
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], turns.schema)
     return chat.digests(chat.read_back(chat.windows(turns.unionByName(extra))))
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
