@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from holdnet.llm import chat, decontamination, packing, quality_rules, secrets, simhash, token_counts, toxicity
+from holdnet.llm import chat, decontamination, lm, packing, quality_rules, secrets, simhash, token_counts, toxicity
 from holdnet.llm.common import table
 
 QUERIES = {}
@@ -70,3 +70,10 @@ def op7(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_lm_scoring")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score(docs, lm.train(docs.filter(~lm.held_out(F.col("doc_id")))))
+    return scored.withColumn("held_out", lm.held_out(F.col("doc_id")))
