@@ -2,8 +2,10 @@
 
 The byte-level and word-level vocabularies used here never form a token across
 the start of `` `` + non-space, so a text is the concatenation of its chunks
-and the library encodes each different chunk once.  Texts that hold one of the
-tokenizer's special strings are encoded whole by the library.
+and the library encodes each different chunk once.  Nor do they form one across
+a letter and a punctuation mark that ends the chunk: such a chunk is put together
+from its word and the mark.  Texts that hold one of the tokenizer's special
+strings are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -11,9 +13,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from unicodedata import is_normalized
 
 #: Chunks kept per worker and generation (two generations are kept).
 CACHE_CHUNKS = 300_000
+#: Marks that are a token of their own after a letter at the end of a chunk.
+MARKS = ".,;:!?"
 _BREAK = re.compile(r" (?=\S)")
 _UNEVEN = re.compile(r" (?:\s|\Z)")
 
@@ -21,12 +26,13 @@ _UNEVEN = re.compile(r" (?:\s|\Z)")
 class ChunkEncoder:
     """ids of texts as native (little-endian) unsigned arrays of array type ``dtype``: "H" or "I"."""
 
-    def __init__(self, path: str, dtype: str, spaced: bool = True, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, dtype: str, lower: bool = False, cache_chunks: int = CACHE_CHUNKS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.dtype, self.cache_chunks = dtype, cache_chunks
-        self.prefix = " " if spaced else ""
+        self.lower = lower
+        self.marks = dict(zip(MARKS, self._encode(list(MARKS)), strict=True))
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -37,6 +43,8 @@ class ChunkEncoder:
 
     def chunks(self, text: str) -> list[str]:
         """The text cut before every space that a non-space follows; those spaces are dropped."""
+        if self.lower and "\u03a3" not in text and "\u0130" not in text and is_normalized("NFC", text):
+            text = text.lower()  # the tokenizer does so too, letter by letter
         return _BREAK.split(text) if _UNEVEN.search(text) else text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -52,15 +60,26 @@ class ChunkEncoder:
             need.update(c[1:])
         if len(self.young) + len(need) > self.cache_chunks:
             self.old, self.young = self.young, {}
-        missing = []
+        young, old = self.young, self.old
+        missing: dict[str, None] = {}
+        marked = []
         for c in need:
-            if c not in self.young:
-                ids = self.old.get(c)
-                if ids is None:
-                    missing.append(c)
-                else:
-                    self.young[c] = ids
-        self.young.update(zip(missing, self._encode([self.prefix + c for c in missing]), strict=True))
+            if c not in young:
+                if c in old:
+                    young[c] = old[c]
+                    continue
+                if c[-1:] in self.marks and c[-2:-1].isalpha():
+                    marked.append(c)
+                    c = c[:-1]
+                    if c in young:
+                        continue
+                    if c in old:
+                        young[c] = old[c]
+                        continue
+                missing[c] = None
+        young.update(zip(missing, self._encode([" " + c for c in missing]), strict=True))
+        for c in marked:
+            young[c] = young[c[:-1]] + self.marks[c[-1]]
         get = self.young.__getitem__
         for (k, c), first in zip(split.items(), firsts, strict=True):
             out[k] = first + b"".join(map(get, c[1:]))
@@ -70,9 +89,9 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, dtype: str, spaced: bool = True) -> ChunkEncoder:
-    """The worker's encoder of a vocabulary file (kept between tasks)."""
-    key = (path, dtype, spaced)
+def encoder(path: str, dtype: str, lower: bool = False) -> ChunkEncoder:
+    """The worker's encoder of a vocabulary file (kept between tasks); ``lower``: the vocabulary ignores case."""
+    key = (path, dtype, lower)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, dtype, spaced)
+        _ENCODERS[key] = ChunkEncoder(path, dtype, lower)
     return _ENCODERS[key]

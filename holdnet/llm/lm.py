@@ -28,6 +28,7 @@ Ids are 32 bit: more than 2^32 - 2 different words are refused.
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import uuid
@@ -63,21 +64,27 @@ def _local(path: str) -> str | None:
     return None
 
 
-def save(folder: str, name: str, array: np.ndarray) -> None:
-    """Write an array file as a whole or not at all; a repeated task writes the same bytes again."""
+def save_bytes(folder: str, name: str, data: bytes) -> None:
+    """Write a file as a whole or not at all; a repeated task writes the same bytes again."""
     if local := _local(folder):
         os.makedirs(local, exist_ok=True)
         part = f"{local}/.{name}-{uuid.uuid4().hex}"
         with open(part, "wb") as f:
-            np.save(f, array)
-        os.replace(part, f"{local}/{name}.npy")
+            f.write(data)
+        os.replace(part, f"{local}/{name}")
         return
     fs, path = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     part = f"{path}/.{name}-{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as f:
-        np.save(f, array)
-    fs.move(part, f"{path}/{name}.npy")
+        f.write(data)
+    fs.move(part, f"{path}/{name}")
+
+
+def save(folder: str, name: str, array: np.ndarray) -> None:
+    out = io.BytesIO()
+    np.save(out, array)
+    save_bytes(folder, f"{name}.npy", out.getvalue())
 
 
 def load(folder: str, name: str) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from holdnet.llm import chat, decontamination, lm, packing, quality_rules, secrets, simhash, token_counts, toxicity
+from holdnet.llm import chat, decontamination, lm, packing, quality_rules, secrets, simhash, token_counts, token_files, toxicity
 from holdnet.llm.common import table
 
 QUERIES = {}
@@ -77,3 +77,8 @@ def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = lm.score(docs, lm.train(docs.filter(~lm.held_out(F.col("doc_id")))))
     return scored.withColumn("held_out", lm.held_out(F.col("doc_id")))
+
+
+@query("op6_token_binary")
+def op6(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
