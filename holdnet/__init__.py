@@ -5,6 +5,6 @@ DataFrame; nothing is collected to the driver except one-row results that a
 caller explicitly asks for.
 """
 
-from holdnet.session import build_session, ensure_checkpoint_dir
+from holdnet.session import build_session, ensure_checkpoint_dir, pin
 
-__all__ = ["build_session", "ensure_checkpoint_dir"]
+__all__ = ["build_session", "ensure_checkpoint_dir", "pin"]

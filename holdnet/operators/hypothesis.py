@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdnet.functions import flag
 from holdnet.operators.ranks import row_numbers, running_sums
-from holdnet.session import ensure_checkpoint_dir
 
-# Chebyshev fit of erfc(x) = t * exp(-x^2 + P(t)), t = 1 / (1 + x / 2), for x >= 0,
-# fractional error below 1.2e-7 everywhere (Numerical Recipes, "erfcc").  Coefficients of P, lowest first:
-ERFC_COEF = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-             0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-
-
-def erfc(x: Column) -> Column:
-    """Complementary error function as a column expression (neither engine has erf)."""
-    ax = F.abs(x)
-    t = 1.0 / (1.0 + 0.5 * ax)
-    poly = F.lit(ERFC_COEF[-1])
-    for c in reversed(ERFC_COEF[:-1]):
-        poly = F.lit(c) + t * poly
-    ans = t * F.exp(-ax * ax + poly)
-    return F.when(x >= 0, ans).otherwise(2.0 - ans)
+#: Sums of products of counts stay exact far beyond 64 bits.
+WIDE = "decimal(38,0)"
 
 
 def mann_whitney(samples: DataFrame, alpha: float = 0.05, digits: int = 10) -> DataFrame:
@@ -33,25 +20,33 @@ def mann_whitney(samples: DataFrame, alpha: float = 0.05, digits: int = 10) -> D
 
     Values are counted per distinct value, average ranks come from exact
     running sums over the distinct values, and U1 is computed in integers
-    (2 * R1 is an integer).  One output row.
+    (2 * R1 is an integer), in 38 digits.  The p-value is the complementary error
+    function of the one result row.  One output row.
     """
     counts = samples.filter(F.col("value").isNotNull()).groupBy("value").agg(
         F.count(F.lit(1)).alias("c"), F.sum(flag(F.col("sample") == 1)).cast("long").alias("c1"))
+    return mann_whitney_counts(counts, alpha, digits)
+
+
+def mann_whitney_counts(counts: DataFrame, alpha: float = 0.05, digits: int = 10) -> DataFrame:
+    """The same from a table of distinct values: ``value``, ``c`` rows, of them ``c1`` in sample 1."""
     cum = running_sums(counts, [], ["value"], {"_end": "c"})
+    c, c1, end = (F.col(k).cast(WIDE) for k in ("c", "c1", "_end"))
     # twice the average rank of a value: 2 * before + c + 1
     agg = cum.agg(
-        F.sum(F.col("c1") * (2 * (F.col("_end") - F.col("c")) + F.col("c") + 1)).alias("two_r1"),
+        F.sum((c1 * (2 * (end - c) + c + 1)).cast(WIDE)).alias("two_r1"),
         F.sum("c1").alias("n1"), F.sum("c").alias("n"),
-        F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
-    n1, n = F.col("n1"), F.col("n")
+        F.sum((c * c * c - c).cast(WIDE)).alias("ties"))
+    n1, n = F.col("n1").cast(WIDE), F.col("n").cast(WIDE)
     u = agg.select(
-        ((F.col("two_r1") - n1 * (n1 + 1)) / 2).alias("u1"), n1.alias("n1"), (n - n1).alias("n2"),
+        ((F.col("two_r1") - n1 * (n1 + 1)).cast("double") / 2).alias("u1"), F.col("n1"), (F.col("n") - F.col("n1")).alias("n2"),
         n.cast("double").alias("_n"), F.col("ties").cast("double").alias("_t"))
     mu = F.col("n1").cast("double") * F.col("n2").cast("double") / 2
     sigma = F.sqrt(F.col("n1").cast("double") * F.col("n2").cast("double") / 12
-                   * ((F.col("_n") + 1) - F.col("_t") / (F.col("_n") * (F.col("_n") - 1))))
+                   * ((F.col("_n") + 1) - F.try_divide(F.col("_t"), F.col("_n") * (F.col("_n") - 1))))
     z = F.try_divide(F.abs(F.col("u1") - mu) - 0.5, sigma)
-    out = u.withColumn("z", z).withColumn("p_value", F.least(F.lit(1.0), erfc(F.col("z") / math.sqrt(2.0))))
+    two_sided = F.udf(lambda z: None if z is None else min(1.0, math.erfc(z / math.sqrt(2.0))), "double")  # one row
+    out = u.withColumn("z", z).withColumn("p_value", two_sided("z"))
     return out.select(
         "u1", "n1", "n2", F.round("z", digits).alias("z"), F.round("p_value", digits).alias("p_value"),
         F.when(F.col("p_value") > alpha, "same_distribution").otherwise("different_distribution").alias("verdict"))
@@ -61,50 +56,28 @@ def _median_expr(lo: str, hi: str) -> Column:
     return (F.col(lo) + F.col(hi)) / 2
 
 
-ROWS_PER_TASK = 4_000_000
+def affine_draws(n: int, n_iter: int, seed: int) -> list[tuple[int, int, int]]:
+    """(it, a, b) with a coprime to n: draw k of permutation ``it`` is place (a k + b) mod n of the hashed base order.
 
-
-def _candidates(exploded: DataFrame, spark, n_iter: int, n: int, m: int, small_first: bool,
-                slack: float = 8.0) -> DataFrame:
-    """Rows that can be among the m selected of their permutation, exactly.
-
-    The selected rows are the m smallest (or largest) md5 keys of each
-    permutation.  Keys are uniform, so a key below the threshold
-    t = (m + slack (sqrt(m) + 2)) / n (as a 128-bit hex fraction) keeps about m + 8 sqrt(m)
-    rows per permutation, filtered in the generating stage before any shuffle.
-    If a permutation keeps at least m rows, its m smallest keys are all kept
-    (lexicographic order of equal-length hex = numeric order).  Permutations
-    that keep fewer (a handful of 10,000 at most, usually none) take all their
-    rows instead: the result is the same as sorting every row.
+    a and b come from the halves of md5('<seed>:<it>'); a is the next number that shares no factor with n.
     """
-    frac = (m + slack * (math.sqrt(m) + 2.0)) / n
-    if frac >= 0.5:
-        return exploded
-    cut = int(frac * 16 ** 32)
-    if small_first:
-        keep = F.col("_k") < F.lit(format(cut, "032x"))
-    else:
-        keep = F.col("_k") > F.lit(format(16 ** 32 - 1 - cut, "032x"))
-    ensure_checkpoint_dir(spark)
-    cand = exploded.filter(keep).checkpoint()
-    full = cand.groupBy("it").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= m).select("it")
-    short = spark.range(1, n_iter + 1).withColumnRenamed("id", "it").join(full, "it", "left_anti")
-    short = short.checkpoint()
-    if short.isEmpty():
-        return cand
-    return cand.join(short, "it", "left_anti").unionByName(exploded.join(short, "it", "left_semi"))
-
-
-def permutation_median(samples: DataFrame, n_iter: int = 10000, seed: int = 0, slack: float = 8.0) -> DataFrame:
-    """One-sided permutation test of median(sample 1) - median(sample 2).
-
-    Permutation ``it`` orders the rows by md5('<seed>:<it>:<row_id>'); its first
-    n1 rows form sample 1.  p = share of permutations whose difference is >= the
-    observed one.
-
-    Only the smaller sample (m rows) is selected per permutation: a row_number
-    limit per permutation that Spark evaluates partially before the shuffle, so
-    n_iter * N rows are hashed but only about n_iter * m (per map task) move.
+    out = []
+    for it in range(1, n_iter + 1):
+        key = hashlib.md5(f"{seed}:{it}".encode()).hexdigest()
+        a, b = int(key[:8], 16) % n + 1, int(key[8:16], 16) % n
+        while math.gcd(a, n) != 1:
+            a += 1
+        out.append((it, a, b))
+    return out
+
+
+def permutation_differences(samples: DataFrame, n_iter: int = 10000, seed: int = 0) -> DataFrame:
+    """``(it, diff)``: median(sample 1) - median(sample 2) of every random relabelling.
+
+    Rows get a base order by md5('<seed>:<row_id>').  Permutation ``it`` takes the
+    m rows (m: the smaller sample) at places (a k + b) mod n of it, k < m, with its
+    own a and b (see :func:`affine_draws`): different places for different k, so no
+    sorting or hashing of all n rows per permutation; n_iter * m rows are made.
     The larger sample's median is read from the global value order: its k-th
     value sits at position k + #{selected i : g_i - i <= k}, where g_i is the
     global position of the i-th selected row.  Medians are (a + b) / 2 of the
@@ -115,46 +88,42 @@ def permutation_median(samples: DataFrame, n_iter: int = 10000, seed: int = 0, s
     n = n1 + n2
     if n1 == 0 or n2 == 0:
         raise ValueError("both samples need values")
-    small_first = n1 <= n2  # the selected set is the first n1 rows, else the last n2 rows
     m = min(n1, n2)
+    spark = samples.sparkSession
     vals = row_numbers(samples.select("value", "row_id"), [], ["value", "row_id"], out="g").withColumn("g", F.col("g") - 1)
-    perm_key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("it").cast("string"), F.lit(":"), F.col("row_id")))
-    # every permutation hashes every row: spread the n * n_iter pairs over enough tasks
-    # (the ranked values may sit in one partition after AQE coalescing)
-    spark = vals.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, -(-n * n_iter // ROWS_PER_TASK))
-    exploded = (vals.repartition(tasks)
-                .select("g", "value", "row_id", F.explode(F.sequence(F.lit(1), F.lit(n_iter))).alias("it"))
-                .withColumn("_k", perm_key))
-    cand = _candidates(exploded, spark, n_iter, n, m, small_first, slack)
-    order = [F.col("_k").asc(), F.col("row_id").asc()] if small_first else [F.col("_k").desc(), F.col("row_id").desc()]
-    w = Window.partitionBy("it").orderBy(*order)
-    chosen = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).drop("_r", "_k")
+    placed = row_numbers(vals.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id")))), [], ["_h", "row_id"],
+                         out="place").select((F.col("place") - 1).alias("place"), "g", "value")
+    draws = spark.createDataFrame(affine_draws(n, n_iter, seed), "it long, a long, b long")
+    # n_iter * m rows: one task per permutation at most, so their number does not depend on the sample's size
+    parts = min(n_iter, 8 * spark.sparkContext.defaultParallelism)
+    picked = draws.repartition(parts, "it").select("it", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("k"))
+    place = ((F.col("a").cast(WIDE) * F.col("k") + F.col("b")) % n).cast("long")
+    chosen = picked.select("it", place.alias("place")).join(placed, "place").select("it", "g", "value")
     chosen = row_numbers(chosen, ["it"], ["g"], out="i").withColumn("i", F.col("i") - 1)
-    # median of the selected set: positions (m-1)//2 and m//2 in its own order
+    # median of the selected set: positions (m-1)//2 and m//2 in its own order; of the rest: its k-th values,
+    # k = (r-1)//2 and r//2 with r = n - m
     a, b = (m - 1) // 2, m // 2
-    med_sel = chosen.groupBy("it").agg(F.max(F.when(F.col("i") == a, F.col("value"))).alias("_a"),
-                                       F.max(F.when(F.col("i") == b, F.col("value"))).alias("_b"))
-    med_sel = med_sel.select("it", _median_expr("_a", "_b").alias("med_sel"))
-    # median of the rest: k-th values of the complement, k = (r-1)//2 and r//2 with r = n - m
-    r = n - m
-    k1, k2 = (r - 1) // 2, r // 2
+    k1, k2 = (n - m - 1) // 2, (n - m) // 2
     t = F.col("g") - F.col("i")
-    pos = chosen.groupBy("it").agg((F.lit(k1) + F.sum(flag(t <= k1))).alias("p1"),
-                                   (F.lit(k2) + F.sum(flag(t <= k2))).alias("p2"))
-    v1 = vals.select(F.col("g").alias("p1"), F.col("value").alias("_a"))
-    v2 = vals.select(F.col("g").alias("p2"), F.col("value").alias("_b"))
-    med_rest = pos.join(v1, "p1").join(v2, "p2").select("it", _median_expr("_a", "_b").alias("med_rest"))
-    per_it = med_sel.join(med_rest, "it")
-    diff = (F.col("med_sel") - F.col("med_rest")) if small_first else (F.col("med_rest") - F.col("med_sel"))
-    per_it = per_it.select("it", diff.alias("diff"))
-    observed = observed_median_difference(samples)
-    obs = observed.select("observed_diff").scalar()
-    counted = per_it.withColumn("_ge", flag(F.col("diff") >= obs)).agg(
+    per_it = chosen.groupBy("it").agg(
+        F.max(F.when(F.col("i") == a, F.col("value"))).alias("_a"), F.max(F.when(F.col("i") == b, F.col("value"))).alias("_b"),
+        (F.lit(k1) + F.sum(flag(t <= k1))).alias("p1"), (F.lit(k2) + F.sum(flag(t <= k2))).alias("p2"))
+    v1 = vals.select(F.col("g").alias("p1"), F.col("value").alias("_c"))
+    v2 = vals.select(F.col("g").alias("p2"), F.col("value").alias("_d"))
+    rest, own = _median_expr("_c", "_d"), _median_expr("_a", "_b")
+    return per_it.join(v1, "p1").join(v2, "p2").select("it", ((own - rest) if n1 <= n2 else (rest - own)).alias("diff"))
+
+
+def permutation_median(samples: DataFrame, n_iter: int = 10000, seed: int = 0) -> DataFrame:
+    """One-sided permutation test of median(sample 1) - median(sample 2): p is the share of the relabellings of
+    :func:`permutation_differences` whose difference is >= the observed one."""
+    obs = observed_median_difference(samples).select("observed_diff").scalar()
+    sizes = samples.agg(F.sum(flag(F.col("sample") == 1)).alias("n1"), F.sum(flag(F.col("sample") == 2)).alias("n2"))
+    counted = permutation_differences(samples, n_iter, seed).withColumn("_ge", flag(F.col("diff") >= obs)).agg(
         F.sum("_ge").alias("_ge"), F.count(F.lit(1)).alias("n_iter"))
     return counted.select(
         obs.alias("observed_diff"), (F.col("_ge") / F.lit(float(n_iter))).alias("p_value"), "n_iter",
-        F.lit(n1).cast("long").alias("n1"), F.lit(n2).cast("long").alias("n2"))
+        sizes.select(F.col("n1").cast("long")).scalar().alias("n1"), sizes.select(F.col("n2").cast("long")).scalar().alias("n2"))
 
 
 def observed_median_difference(samples: DataFrame) -> DataFrame:
@@ -170,26 +139,24 @@ def observed_median_difference(samples: DataFrame) -> DataFrame:
                     - F.max(F.when(F.col("sample") == 2, F.col("med")))).alias("observed_diff"))
 
 
-def density_curve(samples: DataFrame, grid_size: int = 200, digits: int = 12) -> DataFrame:
-    """Gaussian kernel density of each sample on a shared grid from the smallest to the largest value.
+def density_curve(samples: DataFrame, grid_size: int = 200, digits: int = 12, reach: float = 3.0) -> DataFrame:
+    """Gaussian kernel density of each sample on its own grid, from ``reach`` bandwidths below its smallest value
+    to as far above its largest, so that nearly all of the mass is on the grid.
 
-    Bandwidth: Scott's rule, std (ddof 1) * n^(-1/5).  Each value row is
-    expanded to the grid (rows x grid_size, linear) and summed per (sample,
-    grid point) with partial aggregation.
+    Bandwidth: Scott's rule, std (ddof 1) * n^(-1/5).  Equal values are counted first; each different value is
+    expanded to the grid (values x grid_size, linear) and summed per (sample, grid point) with partial aggregation.
     """
     v = samples.filter(F.col("value").isNotNull())
-    lo = v.agg(F.min("value")).scalar()
-    hi = v.agg(F.max("value")).scalar()
-    per = v.groupBy("sample").agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("value").alias("_sd"))
+    per = v.groupBy("sample").agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("value").alias("_sd"),
+                                  F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     per = per.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    j = v.join(per, "sample")
-    step = (hi - lo) / float(grid_size - 1)
-    g = j.select("sample", "value", "_n", "_h", F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("j"))
-    g = g.withColumn("x", lo + F.col("j") * step)
-    term = F.exp(-0.5 * F.pow((F.col("x") - F.col("value")) / F.col("_h"), 2))
+    per = per.withColumn("_from", F.col("_lo") - reach * F.col("_h"))
+    per = per.withColumn("_step", (F.col("_hi") - F.col("_lo") + 2 * reach * F.col("_h")) / float(grid_size - 1))
+    counted = v.groupBy("sample", "value").agg(F.count(F.lit(1)).alias("_c"))
+    g = counted.join(per, "sample").select("sample", "value", "_c", "_n", "_h", "_from", "_step",
+                                           F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("j"))
+    g = g.withColumn("x", F.col("_from") + F.col("j") * F.col("_step"))
+    term = F.col("_c") * F.exp(-0.5 * F.pow((F.col("x") - F.col("value")) / F.col("_h"), 2))
     dens = g.groupBy("sample", "j", "x", "_n", "_h").agg(F.sum(term).alias("_s"))
     return dens.select("sample", "j", F.round("x", 6).alias("x"), F.round(
         F.col("_s") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi)), digits).alias("density"))
-
-
-__all__ = ["density_curve", "erfc", "mann_whitney", "observed_median_difference", "permutation_median"]

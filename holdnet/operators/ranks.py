@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdnet.session import ensure_checkpoint_dir
+from holdnet.session import pin
 
 
 def _cols(order: Sequence[str | Column]) -> list[Column]:
@@ -37,10 +37,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     base = df.withColumns(w_named)
     # Block ids come from the range shuffle, whose bounds are sampled: a recomputation (two branches
     # of one plan, or a lost executor) could draw other bounds.  A reliable checkpoint pins them once.
-    ensure_checkpoint_dir(spark)
-    ranged = (base.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
-              .withColumn("_blk", F.spark_partition_id())
-              .checkpoint())
+    ranged = pin(base.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
+                 .withColumn("_blk", F.spark_partition_id()))
     local_w = (Window.partitionBy("_blk", *keys).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumns({f"_loc_{o}": F.sum(f"_w_{o}").over(local_w) for o in weights})

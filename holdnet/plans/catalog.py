@@ -28,4 +28,4 @@ def register(key: str, sql: str | None = None, extra: list[tuple[str, str]] | No
 
 def load_all() -> None:
     """Import every plan module so that its queries register."""
-    from holdnet.plans import graphs, nodes, prediction, relations, tests_stats  # noqa: F401
+    from holdnet.plans import graphs, hypothesis_plans, nodes, prediction, relations  # noqa: F401

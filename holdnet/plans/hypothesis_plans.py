@@ -17,27 +17,24 @@ SELECT CASE WHEN ind_filial_matriz = 'M' THEN 1 ELSE 2 END AS sample, CAST(impor
 FROM nodos WHERE importe IS NOT NULL AND ind_filial_matriz IN ('M', 'F')""")
 
 
-def _erfc_sql(x: str) -> str:
-    poly = repr(hypothesis.ERFC_COEF[-1])
-    for c in reversed(hypothesis.ERFC_COEF[:-1]):
-        poly = f"({c!r} + t * {poly})"
-    t = f"(1.0 / (1.0 + 0.5 * abs({x})))"
-    body = poly.replace("t *", f"{t} *")
-    ans = f"({t} * exp((-abs({x})) * abs({x}) + {body}))"
-    return f"(CASE WHEN {x} >= 0 THEN {ans} ELSE 2.0 - {ans} END)"
-
+#: Tail of the normal density by Simpson's rule from z to z + 12 in steps of 1/2000.
+P_SQL = """
+SELECT m.*, least(1.0, 2 * (SELECT sum((CASE WHEN k = 0 OR k = 24000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+                                       * exp(-0.5 * pow(m.z + k / 2000.0, 2)))
+                            FROM (SELECT CAST(range AS DOUBLE) AS k FROM range(0, 24001)) t) / 6000.0 / sqrt(2 * pi())) AS p
+FROM mw_z m"""
 
 MW_SQL = [SAMPLES_SQL, ("mw_cnt", """
 SELECT value, count(*) AS c, sum(CASE WHEN sample = 1 THEN 1 ELSE 0 END) AS c1 FROM smp GROUP BY value"""),
     ("mw_cum", "SELECT value, c, c1, sum(c) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) AS e FROM mw_cnt"),
     ("mw_u", """
-SELECT (two_r1 - n1 * (n1 + 1)) / 2 AS u1, n1, n - n1 AS n2, CAST(n AS DOUBLE) AS nn, CAST(ties AS DOUBLE) AS tt FROM (
-  SELECT CAST(sum(c1 * (2 * (e - c) + c + 1)) AS BIGINT) AS two_r1, CAST(sum(c1) AS BIGINT) AS n1,
-         CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * c * c - c) AS BIGINT) AS ties FROM mw_cum) a"""),
+SELECT CAST(two_r1 - CAST(n1 AS HUGEINT) * (n1 + 1) AS DOUBLE) / 2 AS u1, n1, n - n1 AS n2, CAST(n AS DOUBLE) AS nn, CAST(ties AS DOUBLE) AS tt FROM (
+  SELECT CAST(sum(CAST(c1 AS HUGEINT) * (2 * (e - c) + c + 1)) AS HUGEINT) AS two_r1, CAST(sum(c1) AS BIGINT) AS n1,
+         CAST(sum(c) AS BIGINT) AS n, CAST(sum(CAST(c AS HUGEINT) * c * c - c) AS HUGEINT) AS ties FROM mw_cum) a"""),
     ("mw_z", """
 SELECT u.*, (abs(u1 - CAST(n1 AS DOUBLE) * CAST(n2 AS DOUBLE) / 2) - 0.5)
             / sqrt(CAST(n1 AS DOUBLE) * CAST(n2 AS DOUBLE) / 12 * ((nn + 1) - tt / (nn * (nn - 1)))) AS z FROM mw_u u"""),
-    ("mw_p", f"SELECT m.*, least(1.0, {_erfc_sql('(z / ' + repr(math.sqrt(2.0)) + ')')}) AS p FROM mw_z m")]
+    ("mw_p", P_SQL)]
 
 
 @register("mann_whitney", """
@@ -47,14 +44,25 @@ def q_mann_whitney(spark, sf_dir):
     return hypothesis.mann_whitney(fx.samples(fx.nodos(spark, sf_dir)))
 
 
-PERM_SQL = [SAMPLES_SQL, ("its", f"SELECT range AS it FROM range(1, {N_ITER + 1})"),
-            ("perm", f"""
-SELECT i.it, s.value, s.row_id,
-       ROW_NUMBER() OVER (PARTITION BY i.it ORDER BY md5(concat('{SEED}:', CAST(i.it AS VARCHAR), ':', s.row_id)), s.row_id)
-         AS pos
-FROM its i CROSS JOIN smp s"""),
+PERM_SQL = [SAMPLES_SQL, ("size", "SELECT count(*) AS n, least(sum(CASE WHEN sample = 1 THEN 1 ELSE 0 END), "
+             "sum(CASE WHEN sample = 2 THEN 1 ELSE 0 END)) AS m FROM smp"),
+            ("its", f"""
+SELECT it, (SELECT min(a0 + j) FROM (SELECT range AS j FROM range(0, 1000)) q WHERE gcd(a0 + j, n) = 1) AS a, b, n, m FROM (
+  SELECT range AS it, n, m, CAST('0x' || substr(md5(concat('{SEED}:', CAST(range AS VARCHAR))), 1, 8) AS BIGINT) % n + 1 AS a0,
+         CAST('0x' || substr(md5(concat('{SEED}:', CAST(range AS VARCHAR))), 9, 8) AS BIGINT) % n AS b
+  FROM range(1, {N_ITER + 1}), size) r"""),
+            ("base", f"""
+SELECT value, row_id, sample, ROW_NUMBER() OVER (ORDER BY md5(concat('{SEED}:', row_id)), row_id) - 1 AS place FROM smp"""),
+            ("picked", """
+SELECT it, CAST((CAST(a AS HUGEINT) * k + b) % n AS BIGINT) AS place FROM its, (SELECT range AS k FROM range(0, 1000000)) ks
+WHERE k < m"""),
+            ("perm", """
+SELECT i.it, s.value, s.row_id, CASE WHEN p.place IS NULL THEN 0 ELSE 1 END AS chosen
+FROM its i CROSS JOIN base s LEFT JOIN picked p ON p.it = i.it AND p.place = s.place"""),
             ("lab", """
-SELECT it, value, row_id, CASE WHEN pos <= (SELECT count(*) FROM smp WHERE sample = 1) THEN 1 ELSE 2 END AS lab
+SELECT it, value, row_id,
+       CASE WHEN chosen = CASE WHEN (SELECT count(*) FROM smp WHERE sample = 1) = (SELECT m FROM size) THEN 1 ELSE 0 END
+            THEN 1 ELSE 2 END AS lab
 FROM perm"""),
             ("rk", """
 SELECT it, lab, value, ROW_NUMBER() OVER (PARTITION BY it, lab ORDER BY value, row_id) AS i,
@@ -83,14 +91,19 @@ def q_permutation_median(spark, sf_dir):
     return hypothesis.permutation_median(fx.samples(fx.nodos(spark, sf_dir)), n_iter=N_ITER, seed=SEED)
 
 
+@register("permutation_differences", "SELECT it, diff FROM diffs", PERM_SQL)
+def q_permutation_differences(spark, sf_dir):
+    return hypothesis.permutation_differences(fx.samples(fx.nodos(spark, sf_dir)), n_iter=N_ITER, seed=SEED)
+
+
 @register("density_curve", f"""
 SELECT p.sample, p.j, round(p.x, 6) AS x,
        round(sum(exp(-0.5 * pow((p.x - v.value) / p.h, 2))) / (p.n * p.h * {math.sqrt(2 * math.pi)!r}), 12) AS density
-FROM (SELECT per.sample, g.j, b.lo + g.j * ((b.hi - b.lo) / {float(GRID - 1)!r}) AS x, per.n, per.h
-      FROM (SELECT sample, count(*) AS n, stddev_samp(value) * pow(CAST(count(*) AS DOUBLE), -0.2) AS h
+FROM (SELECT per.sample, g.j, per.lo - 3.0 * per.h + g.j * ((per.hi - per.lo + 6.0 * per.h) / {float(GRID - 1)!r}) AS x, per.n, per.h
+      FROM (SELECT sample, count(*) AS n, stddev_samp(value) * pow(CAST(count(*) AS DOUBLE), -0.2) AS h,
+                   min(value) AS lo, max(value) AS hi
             FROM smp GROUP BY sample) per,
-           (SELECT CAST(range AS INT) AS j FROM range(0, {GRID})) g,
-           (SELECT min(value) AS lo, max(value) AS hi FROM smp) b) p
+           (SELECT CAST(range AS INT) AS j FROM range(0, {GRID})) g) p
 JOIN smp v ON v.sample = p.sample
 GROUP BY p.sample, p.j, p.x, p.n, p.h""", [SAMPLES_SQL])
 def q_density_curve(spark, sf_dir):

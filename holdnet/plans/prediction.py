@@ -129,7 +129,8 @@ SELECT threshold, pos, neg, CAST(sum(pos) OVER (ORDER BY threshold DESC ROWS UNB
        CAST(sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp FROM roc_pts"""),
     ("roc", """
 SELECT threshold, tp, fp, tp / NULLIF(CAST((SELECT sum(pos) FROM roc_pts) AS DOUBLE), 0) AS tpr,
-       fp / NULLIF(CAST((SELECT sum(neg) FROM roc_pts) AS DOUBLE), 0) AS fpr FROM roc_cum""")]
+       fp / NULLIF(CAST((SELECT sum(neg) FROM roc_pts) AS DOUBLE), 0) AS fpr
+FROM (SELECT threshold, tp, fp FROM roc_cum UNION ALL SELECT max(threshold) + 1, 0, 0 FROM roc_cum) c""")]
 
 
 @register("roc_curve", "SELECT * FROM roc", ROC_SQL)
@@ -138,7 +139,8 @@ def q_roc_curve(spark, sf_dir):
 
 
 @register("roc_auc", """
-SELECT CAST(sum(neg * (2 * tp - pos)) AS DOUBLE) / NULLIF(CAST(2 * sum(pos) * sum(neg) AS DOUBLE), 0) AS auc,
+SELECT CAST(sum(CAST(neg AS HUGEINT) * (2 * tp - pos)) AS DOUBLE)
+       / NULLIF(CAST(2 * CAST(sum(pos) AS HUGEINT) * CAST(sum(neg) AS HUGEINT) AS DOUBLE), 0) AS auc,
        CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM roc_cum""", ROC_SQL)
 def q_roc_auc(spark, sf_dir):
     return evaluate.roc_auc(scores(spark, sf_dir))

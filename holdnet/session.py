@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -26,13 +27,15 @@ DEFAULT_CONF = {
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  driver_memory: str = "16g", app: str = "holdnet",
+                  driver_memory: str = "8g", app: str = "holdnet",
                   extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
+    if "spark.checkpoint.dir" not in conf and master.startswith("local"):
+        conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="holdnet-ckpt-")
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -41,21 +44,28 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, registering ``spark.checkpoint.dir``.
+    """The session's checkpoint folder, registered from ``spark.checkpoint.dir`` on first use.
 
-    On a cluster the setting must name a shared folder; a machine-local
-    temporary folder is only chosen for local-mode sessions (tests, bench).
+    On a cluster the setting must name a shared folder.  Only a local-mode session
+    built elsewhere without it (one machine, one disk) gets a scratch folder.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
         configured = tempfile.mkdtemp(prefix="holdnet-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of a new ``df`` that computes it once: kept on disk while the checkpoint is written."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return df.checkpoint()
+    finally:
+        df.unpersist()

@@ -30,43 +30,66 @@ def test_mann_whitney_matches_brute_force(spark):
     sigma = math.sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1))))
     z = (abs(u1 - n1 * n2 / 2) - 0.5) / sigma
     assert abs(got["z"] - z) < 1e-9
-    assert abs(got["p_value"] - math.erfc(z / math.sqrt(2))) < 1e-6
+    assert abs(got["p_value"] - math.erfc(z / math.sqrt(2))) < 1e-10  # rounded to ten digits
+    full = hypothesis.mann_whitney(df, digits=15).first()
+    assert abs(full["p_value"] - math.erfc(z / math.sqrt(2))) < 1e-12
 
 
-def brute_permutation(data, n_iter, seed):
-    n1 = sum(1 for s, _, _ in data if s == 1)
-    obs = statistics.median([v for s, v, _ in data if s == 1]) - statistics.median([v for s, v, _ in data if s == 2])
-    ge = 0
-    for it in range(1, n_iter + 1):
-        order = sorted(data, key=lambda r: (hashlib.md5(f"{seed}:{it}:{r[2]}".encode()).hexdigest(), r[2]))
-        d = statistics.median([v for _, v, _ in order[:n1]]) - statistics.median([v for _, v, _ in order[n1:]])
-        ge += d >= obs
-    return obs, ge / n_iter
-
-
-@pytest.mark.parametrize("n1,n2,slack", [(9, 40, 8.0), (5, 400, 8.0), (5, 400, 0.0), (300, 6, 0.0)])
-def test_permutation_median_matches_brute_force(spark, n1, n2, slack):
-    # (5, 400): candidates filtered by hash threshold; slack 0 makes many permutations short of
-    # candidates, so the exact fallback runs; (300, 6): the larger keys side
+def brute_differences(data, n_iter, seed):
+    n, n1 = len(data), sum(1 for s, _, _ in data if s == 1)
+    m = min(n1, n - n1)
+    base = sorted(data, key=lambda r: (hashlib.md5(f"{seed}:{r[2]}".encode()).hexdigest(), r[2]))
+    out = {}
+    for it, a, b in hypothesis.affine_draws(n, n_iter, seed):
+        chosen = {(a * k + b) % n for k in range(m)}
+        assert len(chosen) == m
+        own = statistics.median([base[p][1] for p in chosen])
+        rest = statistics.median([base[p][1] for p in range(n) if p not in chosen])
+        out[it] = own - rest if n1 <= n - n1 else rest - own
+    return out
+
+
+@pytest.mark.parametrize("n1,n2", [(9, 40), (5, 400), (300, 6), (50, 50)])
+def test_permutation_median_matches_brute_force(spark, n1, n2):
     data = sample_rows(n1=n1, n2=n2)
     df = spark.createDataFrame(data, "sample int, value double, row_id string")
     n_iter, seed = 40, 3
-    got = hypothesis.permutation_median(df, n_iter=n_iter, seed=seed, slack=slack).first()
-    obs, p = brute_permutation(data, n_iter, seed)
-    assert got["observed_diff"] == obs
-    assert got["p_value"] == p and got["n_iter"] == n_iter
+    want = brute_differences(data, n_iter, seed)
+    got = hypothesis.permutation_differences(df, n_iter=n_iter, seed=seed).collect()
+    assert {r["it"]: r["diff"] for r in got} == want
+    obs = statistics.median([v for s, v, _ in data if s == 1]) - statistics.median([v for s, v, _ in data if s == 2])
+    one = hypothesis.permutation_median(df, n_iter=n_iter, seed=seed).first()
+    assert one["observed_diff"] == obs and (one["n1"], one["n2"]) == (n1, n2)
+    assert one["p_value"] == sum(d >= obs for d in want.values()) / n_iter and one["n_iter"] == n_iter
+
+
+def test_counts_beyond_64_bits(spark):
+    # ten billion equal values: their cube passes 2**63, as does the product of the sample sizes
+    big = 10**10
+    counts = spark.createDataFrame([(1.0, big, big // 2), (2.0, big, big)], "value double, c long, c1 long")
+    got = hypothesis.mann_whitney_counts(counts).first()
+    n1, n2, n = big // 2 + big, big // 2, 2 * big
+    assert got["u1"] == big * n2 + (big // 2) * n2 / 2
+    sigma = math.sqrt(n1 * n2 / 12 * ((n + 1) - (2 * (big**3 - big)) / (n * (n - 1))))
+    assert got["z"] == pytest.approx((abs(got["u1"] - n1 * n2 / 2) - 0.5) / sigma)
+
+
+def test_three_million_equal_values(spark):
+    df = spark.range(3_000_000).selectExpr("CAST(id % 2 + 1 AS INT) AS sample", "1.0D AS value")
+    got = hypothesis.mann_whitney(df).first()
+    assert got["u1"] == 1_500_000**2 / 2 and got["z"] is None and got["p_value"] is None
 
 
 def test_density_curve_matches_numpy(spark):
     data = sample_rows()
-    df = spark.createDataFrame(data, "sample int, value double, row_id string")
-    out = hypothesis.density_curve(df, grid_size=25)
-    got = {(r["sample"], r["j"]): r["density"] for r in out.collect()}
-    vals = np.array([v for _, v, _ in data])
-    grid = np.linspace(vals.min(), vals.max(), 25)
+    df = spark.createDataFrame(data + data[:5], "sample int, value double, row_id string")
+    got = {(r["sample"], r["j"]): r for r in hypothesis.density_curve(df, grid_size=101).collect()}
     for s in (1, 2):
-        x = np.array([v for ss, v, _ in data if ss == s])
+        x = np.array([v for ss, v, _ in data + data[:5] if ss == s])
         h = x.std(ddof=1) * len(x) ** (-0.2)
+        grid = np.linspace(x.min() - 3 * h, x.max() + 3 * h, 101)
         dens = np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2).sum(axis=1) / (len(x) * h * math.sqrt(2 * math.pi))
-        for j in range(25):
-            assert abs(got[(s, j)] - dens[j]) < 1e-9
+        for j in range(101):
+            assert abs(got[(s, j)]["density"] - dens[j]) < 1e-9 and abs(got[(s, j)]["x"] - grid[j]) < 1e-5
+        mass = np.trapezoid([got[(s, j)]["density"] for j in range(101)], grid)
+        assert abs(mass - 1.0) < 0.005
