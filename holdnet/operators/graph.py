@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from holdnet.functions import flag
 from holdnet.operators.tables import keep_first
 
+#: Fixed value: the label of a group without a parent.
 NO_PARENT = "no_tiene_matriz"
 
 
@@ -52,23 +53,32 @@ def _members(nodes: DataFrame, no_group: str) -> DataFrame:
     return nodes.filter(F.col("grupo").isNotNull()).select("nodo", "grupo")
 
 
+def _in_groups(df: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Rows of the caller's groups (a DataFrame with ``grupo``); all rows without a list."""
+    return df if groups is None else df.join(groups.select("grupo").distinct(), "grupo", "left_semi")
+
+
 def group_edges(edges: DataFrame, nodes: DataFrame, no_group: str = "null",
-                attributes: tuple[str, ...] = ("grupo", "ind_filial_matriz")) -> DataFrame:
-    """Edges of every group graph: (grupo, src, dst, value) plus attributes of both ends."""
-    e = last_edge_values(edges).filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    m = _members(nodes, no_group)
-    by_src = e.join(m.withColumnRenamed("nodo", "src"), "src")
-    by_dst = e.join(m.withColumnRenamed("nodo", "dst"), "dst")
-    ge = by_src.unionByName(by_dst).distinct()
+                attributes: tuple[str, ...] = ("grupo", "ind_filial_matriz"), groups: DataFrame | None = None) -> DataFrame:
+    """Edges of every group graph (or of the listed groups): (grupo, src, dst, value) plus attributes of both ends.
+
+    Both ends' attributes are joined once; an edge belongs to the group of each end, once if they are the same.
+    """
+    ge = last_edge_values(edges).filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    member = _members(nodes, no_group).withColumnRenamed("grupo", "_member")
+    attrs = nodes.select("nodo", *attributes).join(member, "nodo", "left") if no_group == "bucket" else nodes.select(
+        "nodo", *attributes, F.col("grupo").alias("_member"))
     for side in ("src", "dst"):
-        attrs = nodes.select(F.col("nodo").alias(side), *[F.col(a).alias(f"{side}_{a}") for a in attributes])
-        ge = ge.join(attrs, side, "left")
-    return ge.select("grupo", "src", "dst", "value", *[f"{s}_{a}" for s in ("src", "dst") for a in attributes])
+        ge = ge.join(attrs.select(F.col("nodo").alias(side), F.col("_member").alias(f"_{side}_member"),
+                                  *[F.col(a).alias(f"{side}_{a}") for a in attributes]), side, "left")
+    of = F.array_distinct(F.array_compact(F.array("_src_member", "_dst_member")))
+    ge = ge.select(F.explode(of).alias("grupo"), "src", "dst", "value", *[f"{s}_{a}" for s in ("src", "dst") for a in attributes])
+    return _in_groups(ge, groups)
 
 
-def group_degree_centrality(gedges: DataFrame) -> DataFrame:
+def group_degree_centrality(gedges: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Directed degree centrality inside each group graph: (in + out) / (n_group - 1)."""
-    ends = gedges.select("grupo", F.col("src").alias("nodo")).unionAll(gedges.select("grupo", F.col("dst").alias("nodo")))
+    ends = _in_groups(gedges.select("grupo", "src", "dst"), groups).select("grupo", F.explode(F.array("src", "dst")).alias("nodo"))
     deg = ends.groupBy("grupo", "nodo").agg(F.count(F.lit(1)).alias("grado_grupo"))
     sizes = deg.groupBy("grupo").agg(F.count(F.lit(1)).alias("n_grupo"))
     return (deg.join(sizes, "grupo")
@@ -82,11 +92,16 @@ def node_centralities(nodes: DataFrame, total: DataFrame, by_group: DataFrame) -
     return nodes.join(t, "nodo", "left").join(g, ["grupo", "nodo"], "inner")
 
 
-def group_parent(nodes: DataFrame) -> DataFrame:
-    """Each group's parent (smallest 'M' company, Q6) or 'no_tiene_matriz'."""
-    return (nodes.filter(F.col("grupo").isNotNull()).groupBy("grupo")
-            .agg(F.coalesce(F.min(F.when(F.col("ind_filial_matriz") == "M", F.col("nodo"))),
-                            F.lit(NO_PARENT)).alias("matriz")))
+def group_parent(nodes: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Each group's parent (smallest 'M' company, Q6) or 'no_tiene_matriz'.
+
+    With a list of ``groups`` every listed group has a row, also one without companies.
+    """
+    found = (nodes.filter(F.col("grupo").isNotNull()).groupBy("grupo")
+             .agg(F.min(F.when(F.col("ind_filial_matriz") == "M", F.col("nodo"))).alias("matriz")))
+    if groups is not None:
+        found = groups.select("grupo").distinct().join(found, "grupo", "left")
+    return found.select("grupo", F.coalesce("matriz", F.lit(NO_PARENT)).alias("matriz"))
 
 
 def groups_with_without_parent(parents: DataFrame) -> DataFrame:

@@ -68,9 +68,15 @@ def quantiles(values: DataFrame, keys: Sequence[str], value: str, probs: Sequenc
     shrinks duplicates), ranked by running sums, and each quantile reads the
     one or two values around its position; no group is ever collected.
     """
-    keys = list(keys)
     counts = (values.filter(F.col(value).isNotNull()).groupBy(*keys, value)
               .agg(F.count(F.lit(1)).alias("_c")))
+    return quantiles_of_counts(pin(counts), keys, value, probs, names)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                        names: Sequence[str]) -> DataFrame:
+    """The same from rows counted per distinct (key, value) in ``_c``; read twice, so best a written table."""
+    keys = list(keys)
     cum = running_sums(counts, keys, [value], {"_end": "_c"})
     cum = cum.withColumn("_start", F.col("_end") - F.col("_c"))
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))

@@ -1,33 +1,78 @@
 """Per-key shares and counts attached to every relation or company (company features,
 relation features and the first node features).
 
-Pattern: aggregate (partial on the map side) and left-join back.  Aggregates
-keyed on a few groups are small and become runtime broadcasts under AQE, so the
-relation table itself is not shuffled for them; keys with many values shuffle
-once and AQE splits hot keys.  Rows whose key is null are kept out of the
-aggregation (they can never match the join-back, as in the reference).
+All shares that one feature table needs are aggregated in a single pass over a
+narrow projection of the relations: every relation is expanded to one row per
+share it takes part in, pre-aggregated on the map side, and the small result is
+written once.  Each share is then left-joined back, so the relations are read
+twice however many shares are asked for.  Rows whose key is null are kept out of
+the aggregation (they can never match the join-back, as in the reference).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdnet.functions import mean_of, ratio_of_flags, share
+from holdnet.functions import share
 from holdnet.operators.flags import client_flag, same_group_flag
 from holdnet.operators.impute import impute_amount
 from holdnet.operators.tables import attach, pair_month_dedup
+from holdnet.session import pin
 
 MONTH = ["date_year_ini", "date_month_ini"]
 
 
-def _group_key(df: DataFrame, col: str, no_group: str) -> tuple[DataFrame, str]:
-    if no_group == "bucket":
-        key = f"_{col}_key"
-        return df.withColumn(key, F.coalesce(F.col(col), F.lit("no_grupo"))), key
-    if no_group != "null":
+@dataclass(frozen=True)
+class KeyShare:
+    """Share of rows with ``flag`` among the rows of each ``key`` (and month, if ``monthly``)."""
+    out: str
+    key: str
+    flag: str
+    monthly: bool
+
+
+GROUP_CLIENT = [KeyShare(f"proporcion_cliente_{s}", f"grupo_{s}", f"cliente_nocliente_{s}", True) for s in ("ini", "fin")]
+PARTNER_CLIENT = [KeyShare("prop_cliente_relaciones_ini", "nodo_ini", "cliente_nocliente_fin", True),
+                  KeyShare("prop_cliente_relaciones_fin", "nodo_fin", "cliente_nocliente_ini", True)]
+SAME_GROUP = [KeyShare(f"proporcion_relaciones_congrupo_{s}", f"nodo_{s}", "relacion_entre_mismo_grupo", False)
+              for s in ("ini", "fin")]
+
+
+def key_shares(df: DataFrame, shares: list[KeyShare]) -> DataFrame:
+    """``(which, key, year, month, value)`` of all asked shares, from one pass over ``df``; written once."""
+    none = F.lit(None).cast("int")
+    parts = [F.when(F.col(s.key).isNotNull(), F.struct(
+        F.lit(k).alias("which"), F.col(s.key).alias("key"),
+        (F.col(MONTH[0]) if s.monthly else none).cast("int").alias("year"),
+        (F.col(MONTH[1]) if s.monthly else none).cast("int").alias("month"), F.col(s.flag).alias("flag")))
+        for k, s in enumerate(shares)]
+    rows = df.select(F.explode(F.array_compact(F.array(*parts))).alias("r")).select("r.*")
+    return pin(rows.groupBy("which", "key", "year", "month").agg(share(F.sum("flag"), F.count("flag")).alias("value")))
+
+
+def attach_shares(df: DataFrame, shares: list[KeyShare], onto: DataFrame | None = None) -> DataFrame:
+    """The shares of ``df`` attached to its rows (or to those of ``onto``)."""
+    table = key_shares(df, shares)
+    out = df if onto is None else onto
+    for k, s in enumerate(shares):
+        keys = [s.key, *MONTH] if s.monthly else [s.key]
+        names = dict(zip(["key", "year", "month"], keys, strict=False))
+        one = table.filter(F.col("which") == k).select(*[F.col(c).alias(n) for c, n in names.items()], F.col("value").alias(s.out))
+        out = attach(out, one, keys)
+    return out
+
+
+def _bucketed(df: DataFrame, shares: list[KeyShare], no_group: str) -> tuple[DataFrame, list[KeyShare], list[str]]:
+    if no_group == "null":
+        return df, shares, []
+    if no_group != "bucket":
         raise ValueError("no_group must be 'null' or 'bucket'")
-    return df, col
+    grouped = {s.key: f"_{s.key}_key" for s in shares if s.key.startswith("grupo_")}
+    df = df.withColumns({new: F.coalesce(F.col(old), F.lit("no_grupo")) for old, new in grouped.items()})
+    return df, [KeyShare(s.out, grouped.get(s.key, s.key), s.flag, s.monthly) for s in shares], list(grouped.values())
 
 
 def group_client_share(df: DataFrame, no_group: str = "null") -> DataFrame:
@@ -36,39 +81,38 @@ def group_client_share(df: DataFrame, no_group: str = "null") -> DataFrame:
     ``no_group='null'`` reproduces the reference (rows without group get null,
     Q4); ``'bucket'`` pools them under 'no_grupo'.
     """
-    out = df
-    for side in ("ini", "fin"):
-        out, key = _group_key(out, f"grupo_{side}", no_group)
-        agg = (out.filter(F.col(key).isNotNull())
-               .groupBy(key, *MONTH)
-               .agg(ratio_of_flags(f"cliente_nocliente_{side}").alias(f"proporcion_cliente_{side}")))
-        out = attach(out, agg, [key, *MONTH])
-        if key != f"grupo_{side}":
-            out = out.drop(key)
-    return out
+    src, shares, extra = _bucketed(df, GROUP_CLIENT, no_group)
+    return attach_shares(src, shares).drop(*extra)
 
 
 def partner_client_share(df: DataFrame) -> DataFrame:
     """Per (company, month): share of client partners on the other end."""
-    ini = (df.groupBy("nodo_ini", *MONTH)
-           .agg(ratio_of_flags("cliente_nocliente_fin").alias("prop_cliente_relaciones_ini")))
-    fin = (df.groupBy("nodo_fin", *MONTH)
-           .agg(ratio_of_flags("cliente_nocliente_ini").alias("prop_cliente_relaciones_fin")))
-    return attach(attach(df, ini, ["nodo_ini", *MONTH]), fin, ["nodo_fin", *MONTH])
+    return attach_shares(df, PARTNER_CLIENT)
 
 
 def company_features(df: DataFrame, no_group: str = "null") -> DataFrame:
     """Client flags, same-group flag, group client shares and partner client shares."""
-    return partner_client_share(group_client_share(same_group_flag(client_flag(df)), no_group))
+    src, shares, extra = _bucketed(same_group_flag(client_flag(df)), GROUP_CLIENT + PARTNER_CLIENT, no_group)
+    return attach_shares(src, shares).drop(*extra)
 
 
 def same_group_share(df: DataFrame) -> DataFrame:
     """Share of each company's relations (all months) that stay inside its group."""
-    ini = df.groupBy("nodo_ini").agg(
-        ratio_of_flags("relacion_entre_mismo_grupo").alias("proporcion_relaciones_congrupo_ini"))
-    fin = df.groupBy("nodo_fin").agg(
-        ratio_of_flags("relacion_entre_mismo_grupo").alias("proporcion_relaciones_congrupo_fin"))
-    return attach(attach(df, ini, ["nodo_ini"]), fin, ["nodo_fin"])
+    return attach_shares(df, SAME_GROUP)
+
+
+def client_and_group_shares(df: DataFrame) -> DataFrame:
+    """Group client shares and same-group shares of flagged relations in one pass."""
+    return attach_shares(df, GROUP_CLIENT + SAME_GROUP)
+
+
+def _partner_counts(df: DataFrame, onto: DataFrame) -> DataFrame:
+    pairs = (df.filter(F.col("grupo_ini") == F.col("grupo_fin"))
+             .select("nodo_ini", "nodo_fin").distinct())
+    ini = pairs.groupBy("nodo_ini").agg(F.count("nodo_fin").alias("conteo_relacion_mismogrupo_ini"))
+    fin = pairs.groupBy("nodo_fin").agg(F.count("nodo_ini").alias("conteo_relacion_mismogrupo_fin"))
+    out = attach(attach(onto, ini, ["nodo_ini"]), fin, ["nodo_fin"])
+    return out.fillna(0, subset=["conteo_relacion_mismogrupo_ini", "conteo_relacion_mismogrupo_fin"])
 
 
 def same_group_partner_count(df: DataFrame, tie_break: str = "rel_id") -> DataFrame:
@@ -78,16 +122,12 @@ def same_group_partner_count(df: DataFrame, tie_break: str = "rel_id") -> DataFr
     exchange, reused); the pair-month dedupe runs before the join-back, which
     gives the same rows as the reference's dedupe after it.
     """
-    pairs = (df.filter(F.col("grupo_ini") == F.col("grupo_fin"))
-             .select("nodo_ini", "nodo_fin").distinct())
-    ini = pairs.groupBy("nodo_ini").agg(F.count("nodo_fin").alias("conteo_relacion_mismogrupo_ini"))
-    fin = pairs.groupBy("nodo_fin").agg(F.count("nodo_ini").alias("conteo_relacion_mismogrupo_fin"))
-    out = attach(attach(pair_month_dedup(df, tie_break), ini, ["nodo_ini"]), fin, ["nodo_fin"])
-    return out.fillna(0, subset=["conteo_relacion_mismogrupo_ini", "conteo_relacion_mismogrupo_fin"])
+    return _partner_counts(df, pair_month_dedup(df, tie_break))
 
 
 def relation_features(df: DataFrame, tie_break: str = "rel_id") -> DataFrame:
-    return same_group_partner_count(same_group_share(df), tie_break)
+    """Same-group shares of all relations and partner counts, on one row per pair and month."""
+    return _partner_counts(df, attach_shares(df, SAME_GROUP, onto=pair_month_dedup(df, tie_break)))
 
 
 def group_amount_share(nodes: DataFrame) -> DataFrame:
@@ -129,8 +169,3 @@ def node_partner_counts(rel_features: DataFrame) -> DataFrame:
 
 def group_row_count(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("grupo").isNotNull()).groupBy("grupo").agg(F.count("nodo").alias("emp"))
-
-
-__all__ = ["company_features", "group_amount_share", "group_client_share", "group_reach_share",
-           "group_row_count", "mean_of", "node_partner_counts", "partner_client_share",
-           "relation_features", "same_group_partner_count", "same_group_share"]

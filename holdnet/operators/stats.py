@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdnet.functions import flag, share
-from holdnet.operators.ranks import quantiles
+from holdnet.operators.ranks import quantiles_of_counts
 from holdnet.operators.tables import attach
+from holdnet.session import pin
 
 AMOUNT = "importe_sinnone"
 
@@ -20,17 +21,23 @@ def group_amount_stats(nodes: DataFrame, amount: str = AMOUNT, digits: int = 6)
     summaries are rounded to ``digits`` decimals.
     """
     grouped = nodes.filter(F.col("grupo").isNotNull())
-    summary = grouped.groupBy("grupo").agg(
-        F.count("nodo").alias("emp"),
-        F.count(amount).alias("count"),
-        F.round(F.avg(amount), digits).alias("mean"),
-        F.round(F.stddev_samp(amount), digits).alias("std"),
-        F.min(amount).alias("min"),
-        F.max(amount).alias("max"))
-    q = quantiles(grouped.select("grupo", amount), ["grupo"], amount, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    # one pass over the companies: rows per distinct (group, amount), written once, give everything but the parents
+    counts = pin(grouped.groupBy("grupo", amount).agg(F.count(F.lit(1)).alias("_c"), F.count("nodo").alias("_emp"),
+                                                      F.sum(flag(F.col("ind_filial_matriz") == "M")).alias("_m")))
+    v, c = F.col(amount), F.when(F.col(amount).isNotNull(), F.col("_c"))
+    mean = share(F.sum(c * v), F.sum(c))
+    means = counts.groupBy("grupo").agg(mean.alias("_mean"), F.sum(c).alias("_n"))
+    summary = counts.join(means, "grupo").groupBy("grupo").agg(
+        F.sum("_emp").alias("emp"), F.coalesce(F.first("_n"), F.lit(0)).alias("count"),
+        F.round(F.first("_mean"), digits).alias("mean"),
+        F.round(F.sqrt(F.try_divide(F.sum(c * (v - F.col("_mean")) * (v - F.col("_mean"))),
+                                    (F.first("_n") - 1).cast("double"))), digits).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    known = counts.filter(v.isNotNull())
+    q = quantiles_of_counts(known, ["grupo"], amount, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
     q = q.select("grupo", *[F.round(c, digits).alias(c) for c in ("p25", "p50", "p75")])
-    parents = grouped.filter(F.col("ind_filial_matriz") == "M").select(
-        "grupo", F.col(amount).alias(f"{amount}_matriz"))
+    parents = counts.filter("_m > 0").select(
+        "grupo", v.alias(f"{amount}_matriz"), F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))).alias("_k")).drop("_k")
     return summary.join(q, "grupo", "left").join(parents, "grupo", "inner")
 
 

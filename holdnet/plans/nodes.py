@@ -55,15 +55,15 @@ def q_group_row_count(spark, sf_dir):
 
 
 @register("group_amount_share", """
-SELECT i.nodo, i.grupo, i.importe_sinnone, t.importe_total_grupo,
-       i.importe_sinnone / NULLIF(t.importe_total_grupo, 0) AS proporcion_importe_sobre_grupo
-FROM nodos_imp i LEFT JOIN (
-  SELECT grupo, CAST(sum(importe) AS DOUBLE) * CAST(count(*) AS DOUBLE) / CAST(NULLIF(count(importe), 0) AS DOUBLE)
-         AS importe_total_grupo
-  FROM nodos WHERE grupo IS NOT NULL GROUP BY grupo) t ON i.grupo = t.grupo""")
+SELECT i.nodo, i.grupo, i.importe_sinnone, round(t.importe_total_grupo, 4) AS importe_total_grupo,
+       round(i.importe_sinnone / NULLIF(t.importe_total_grupo, 0), 9) AS proporcion_importe_sobre_grupo
+FROM (SELECT nodo, grupo, importe_sinnone FROM nodos_imp) i LEFT JOIN (
+  SELECT grupo, sum(importe_sinnone) AS importe_total_grupo FROM nodos_imp WHERE grupo IS NOT NULL GROUP BY grupo) t
+  ON i.grupo = t.grupo""")
 def q_group_amount_share(spark, sf_dir):
     return shares.group_amount_share(fx.nodos(spark, sf_dir)).select(
-        "nodo", "grupo", "importe_sinnone", "importe_total_grupo", "proporcion_importe_sobre_grupo")
+        "nodo", "grupo", "importe_sinnone", F.round("importe_total_grupo", 4).alias("importe_total_grupo"),
+        F.round("proporcion_importe_sobre_grupo", 9).alias("proporcion_importe_sobre_grupo"))
 
 
 def node_partner_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,7 @@ REL_SQL = ", ".join(REL_COLS)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations -> client flags -> group client share -> same-group share."""
     rel = fx.relaciones(spark, sf_dir)
-    feat = shares.group_client_share(flags.same_group_flag(flags.client_flag(rel)))
-    return shares.same_group_share(feat)
+    return shares.client_and_group_shares(flags.same_group_flag(flags.client_flag(rel)))
 
 
 register("flagship", f"""
@@ -150,10 +149,9 @@ def q_full_relation_table(spark, sf_dir):
     nodes = fx.nodos(spark, sf_dir)
     profile = joins.company_profile(fx.identity(spark, sf_dir), fx.legal(spark, sf_dir), fx.balance(spark, sf_dir))
     out = joins.full_relation_table(
-        fx.relaciones(spark, sf_dir, nodes),
+        fx.relaciones(spark, sf_dir, nodes, ("grupo", "situ", "ind_filial_matriz")),
         joins.profile_side(profile, "ini", ["cif", "forma_juridica", "importe_balance"]),
-        joins.profile_side(profile, "fin", ["cif", "forma_juridica", "importe_balance"]),
-        FULL_COLS, fx.roles(spark, sf_dir, "ini", nodes), fx.roles(spark, sf_dir, "fin", nodes))
+        joins.profile_side(profile, "fin", ["cif", "forma_juridica", "importe_balance"]), FULL_COLS)
     return out.withColumn("score_fin", F.col("score_fin").cast("double"))
 
 

@@ -90,15 +90,16 @@ def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("o_orderkey").alias("bal_id"))
 
 
-def relaciones(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
-    """Relations with group and client status of both ends (two left joins on the company table)."""
+def relaciones(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None,
+               attributes: tuple[str, ...] = ("grupo", "situ")) -> DataFrame:
+    """Relations with the company table's ``attributes`` of both ends (one left join per end)."""
     r = relations_raw(spark, sf_dir)
     n = nodes if nodes is not None else nodos(spark, sf_dir)
-    ini = n.select(F.col("nodo").alias("nodo_ini"), F.col("grupo").alias("grupo_ini"), F.col("situ").alias("situ_ini"))
-    fin = n.select(F.col("nodo").alias("nodo_fin"), F.col("grupo").alias("grupo_fin"), F.col("situ").alias("situ_fin"))
-    return r.join(ini, "nodo_ini", "left").join(fin, "nodo_fin", "left").select(
-        "nodo_ini", "nodo_fin", "date_year_ini", "date_month_ini", "score_fin", "rel_id",
-        "grupo_ini", "grupo_fin", "situ_ini", "situ_fin")
+    for side in ("ini", "fin"):
+        r = r.join(n.select(F.col("nodo").alias(f"nodo_{side}"), *[F.col(a).alias(f"{a}_{side}") for a in attributes]),
+                   f"nodo_{side}", "left")
+    return r.select("nodo_ini", "nodo_fin", "date_year_ini", "date_month_ini", "score_fin", "rel_id",
+                    *[f"{a}_{s}" for a in attributes for s in ("ini", "fin")])
 
 
 def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
