@@ -83,4 +83,4 @@ FROM (
 def with_fixtures(body: str, extra: list[tuple[str, str]] | None = None) -> str:
     """Prefix ``body`` with the fixture views (and ``extra`` CTEs that may use them)."""
     ctes = FIXTURE_CTES + list(extra or [])
-    return "WITH " + ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in ctes) + "\n" + body.strip()
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in ctes) + "\n" + body.strip()

@@ -121,7 +121,8 @@ def test_group_closeness_matches_brute_force(spark):
     data = [t for t in data if t[1] != t[2]]
     ge = spark.createDataFrame(data, "grupo string, src string, dst string")
     parents = spark.createDataFrame([("G1", "G1_0"), ("G2", "none")], "grupo string, matriz string")
-    out = closeness.group_closeness(ge, parents)
+    groups = spark.createDataFrame([("G1",), ("G2",), ("G3",), ("G9",)], "grupo string")
+    out = closeness.group_closeness(ge, groups, parents)
     want = brute_closeness(set(data))
     got = {(r["grupo"], r["nodo"]): r for r in out.collect()}
     assert set(got) == set(want)
@@ -131,3 +132,36 @@ def test_group_closeness_matches_brute_force(spark):
         best = max(v for (gg, _), v in want.items() if gg == g)
         flagged = {k[1] for k, r in got.items() if k[0] == g and r["es_max"] == 1}
         assert flagged == {k[1] for k, v in want.items() if k[0] == g and abs(v - best) < 1e-9}
+
+
+def test_closeness_of_listed_groups_and_hubs(spark, monkeypatch):
+    monkeypatch.setattr(closeness, "HUB_EDGES", 4)  # every busy node is split over several keys
+    data = [("H", "hub", f"n{k}") for k in range(30)] + [("H", f"n{k}", "hub") for k in range(0, 30, 3)] + [("X", "a", "b")]
+    ge = spark.createDataFrame(data, "grupo string, src string, dst string")
+    got = closeness.group_closeness(ge, spark.createDataFrame([("H",)], "grupo string")).collect()
+    want = {k: v for k, v in brute_closeness(set(data)).items() if k[0] == "H"}
+    assert {(r["grupo"], r["nodo"]) for r in got} == set(want)
+    assert all(abs(r["closeness"] - want[r["grupo"], r["nodo"]]) < 1e-8 for r in got)
+
+
+def test_sketched_closeness_is_near(spark):
+    rnd = random.Random(3)
+    data = [(g, f"{g}{rnd.randrange(n)}", f"{g}{rnd.randrange(n)}") for g, n, m in (("a", 300, 900), ("b", 15, 30)) for _ in range(m)]
+    ge = spark.createDataFrame(data, "grupo string, src string, dst string")
+    want = brute_closeness({t for t in data if t[1] != t[2]} | {t for t in data})
+    got = {(r["grupo"], r["nodo"]): r["closeness"] for r in closeness.group_closeness_sketch(ge).collect()}
+    assert set(got) == set(want)
+    errors = sorted(abs(got[k] - v) / v for k, v in want.items() if v > 0)
+    assert errors[len(errors) // 2] < 0.03 and errors[int(0.95 * len(errors))] < 0.10
+
+
+def test_listed_groups(spark):
+    nodes = spark.createDataFrame([("a", "G", "M"), ("b", "G", "F"), ("c", "H", "F")], "nodo string, grupo string, ind_filial_matriz string")
+    groups = spark.createDataFrame([("G",), ("empty",)], "grupo string")
+    assert {(r["grupo"], r["matriz"]) for r in graph.group_parent(nodes, groups).collect()} == {("G", "a"), ("empty", "no_tiene_matriz")}
+    both = graph.groups_with_without_parent(graph.group_parent(nodes, groups)).collect()
+    assert {(r["grupo"], r["con_matriz"], r["n_grupos_sin_matriz"]) for r in both} == {("G", 1, 1), ("empty", 0, 1)}
+    e = spark.createDataFrame([("a", "b", "202001", 1.0, "1"), ("b", "c", "202001", 1.0, "2")], "src string, dst string, anho_mes string, value double, rel_id string")
+    ge = graph.group_edges(e, nodes, groups=groups)
+    assert sorted((r["grupo"], r["src"], r["dst"]) for r in ge.collect()) == [("G", "a", "b"), ("G", "b", "c")]
+    assert {r["nodo"] for r in graph.group_degree_centrality(graph.group_edges(e, nodes), groups).collect()} == {"a", "b", "c"}
