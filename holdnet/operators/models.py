@@ -4,9 +4,10 @@ Settings follow the reference's scikit-learn defaults where MLlib can express
 them: L2 logistic with C = 1 (regParam = 1 / n, no standardisation), a deep
 tree (MLlib caps depth at 30), 500 trees of depth 3 with seed 123 and sqrt
 feature sampling, and a scaled SVM searched over kernel {linear, rbf} x C {1, 10}
-with 5 folds by accuracy, refit, and probabilities by a logistic (Platt) fit
-on the margin.  MLlib has only linear SVMs, so the rbf kernel is approximated
-with random Fourier features (a vectorised pandas UDF).
+with 5 stratified folds by accuracy, refit, and probabilities by a logistic (Platt)
+fit on the margin.  MLlib has only linear SVMs, so the rbf kernel is approximated
+with random Fourier features (a vectorised pandas UDF).  Every model's own
+prediction is passed on: a tree's majority class, the sign of the SVM's margin.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from __future__ import annotations
 import json
 import math
 from concurrent.futures import ThreadPoolExecutor
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
                                        LogisticRegressionModel, RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, StandardScalerModel, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StandardScalerModel, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,20 +30,30 @@ from pyspark.sql import functions as F
 from holdnet.functions import flag
 from holdnet.operators import evaluate
 from holdnet.operators.ranks import row_numbers
-from holdnet.session import ensure_checkpoint_dir
+from holdnet.session import pin
 
 LABEL = "matriz_filia_binaria"
 SPLIT = "conjunto"
 ID = "nodo"
 NON_FEATURES = {ID, "grupo", SPLIT, LABEL}
+#: Fixed values of the models: names, forest size and depth, seeds, depth of the tree (MLlib's limit).
 MODEL_NAMES = ["logistic", "tree", "forest", "svm_grid"]
-RFF_COMPONENTS = 100
-SVM_SEED = 7
+FOREST_TREES, FOREST_DEPTH, TREE_SEED, TREE_DEPTH, SVM_SEED = 500, 3, 123, 30, 7
+#: Candidate split points per feature: a tree splits exactly while a feature has no more different values.
+MAX_BINS = 1024
 
 
 def feature_columns(df: DataFrame) -> list[str]:
-    numeric = ("int", "bigint", "double", "float", "smallint", "tinyint")
-    return [c for c, t in df.dtypes if c not in NON_FEATURES and t in numeric]
+    """Numeric and vector columns that are not keys, split or target."""
+    kinds = ("int", "bigint", "double", "float", "smallint", "tinyint", "vector")
+    return [c for c, t in df.dtypes if c not in NON_FEATURES and t in kinds]
+
+
+def encode_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Replace categorical columns by sparse dummy vectors ``<col>_vec`` of any width; null gives all zeros."""
+    idx = category_cast(df, cols)
+    hot = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}_vec" for c in cols], dropLast=True)
+    return hot.fit(idx).transform(idx).drop(*cols, *[f"{c}_idx" for c in cols])  # the last index stands for null
 
 
 def category_cast(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -57,7 +68,8 @@ def _assembler(features: Sequence[str], out: str = "features") -> VectorAssemble
 
 
 def _prob1(col: str = "probability"):
-    return vector_to_array(F.col(col))[1]
+    """Probability of class 1; 0 if the training rows had class 0 only."""
+    return F.coalesce(F.get(vector_to_array(F.col(col)), F.lit(1)), F.lit(0.0))
 
 
 def _train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,12 +110,12 @@ class SvmGridModel:
         if self.kernel == "rbf":
             x = self.rff(x, self.w, self.b)
         m = self.svc.transform(x)
-        m = m.withColumn("margin", vector_to_array(F.col("rawPrediction"))[1])
-        return _assembler(["margin"], "margin_vec").transform(m.drop("rawPrediction", "prediction"))
+        m = m.withColumn("margin", vector_to_array(F.col("rawPrediction"))[1]).withColumnRenamed("prediction", "_own")
+        return _assembler(["margin"], "margin_vec").transform(m.drop("rawPrediction"))
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.platt.transform(self._margin_frame(df))
-        return out.drop("margin_vec", "raw", "scaled", "rff")
+        return out.withColumn("prediction", F.col("_own")).drop("_own", "margin_vec", "raw", "scaled", "rff")
 
     def save(self, path: str) -> None:
         self.scaler.write().overwrite().save(f"{path}/scaler")
@@ -124,41 +136,50 @@ class SvmGridModel:
                    LogisticRegressionModel.load(f"{path}/platt"), meta["cv_scores"])
 
 
+def stratified_folds(df: DataFrame, label: str, folds: int, seed: int) -> DataFrame:
+    """``_fold``: within each class, rows in seeded hash order are dealt to the folds in turn."""
+    tie = [ID] if ID in df.columns else [c for c in df.columns if c != label]
+    key = F.xxhash64(F.lit(seed), *tie)
+    ranked = row_numbers(df.withColumn("_h", key), [label], ["_h", *tie], out="_rk")
+    return ranked.withColumn("_fold", F.pmod(F.col("_rk"), F.lit(folds))).drop("_h", "_rk")
+
+
 def fit_svm_grid(train: DataFrame, features: Sequence[str], label: str = LABEL, folds: int = 5,
                  cs: Sequence[float] = (1.0, 10.0), seed: int = SVM_SEED, max_iter: int = 100,
-                 rows_per_partition: int = 200_000, parallelism: int | None = None) -> SvmGridModel:
-    """Grid search over C x kernel {linear, rbf} with ``folds``-fold accuracy, then refit.
+                 parallelism: int | None = None, rff_components: int = 100) -> SvmGridModel:
+    """Grid search over C x kernel {linear, rbf} with ``folds`` stratified folds by accuracy, then refit.
 
-    The kernel is a features column (scaled inputs or their random Fourier
-    features).  Folds come from a seeded hash of the company id.  All
+    The kernel is a features column (scaled inputs or their ``rff_components`` random Fourier
+    features, which keep their own scale).  A fit on n rows has regParam 1 / (C n).  All
     (candidate, fold) fits are independent Spark jobs submitted from a thread
     pool, so they share the cluster instead of running one fold after another;
     each fit is a distributed MLlib solve.  Ties go to the first candidate in
-    grid order (C outer, kernel inner).  Small tables stay in few partitions:
-    each solver iteration is a job.
+    grid order (C outer, kernel inner).
     """
-    n = train.count()
-    parts = max(1, min(train.rdd.getNumPartitions(), -(-n // rows_per_partition)))
-    fold = (F.pmod(F.xxhash64(F.lit(seed), F.col(ID)), F.lit(folds)) if ID in train.columns
-            else F.floor(F.rand(seed) * folds).cast("long"))
-    base = (_assembler(features, "raw").transform(train)
-            .select(label, "raw", fold.alias("_fold")).coalesce(parts))
+    base = stratified_folds(_assembler(features, "raw").transform(train).select(
+        label, "raw", *([ID] if ID in train.columns else [])), label, folds, seed)
     scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(base)
-    d = len(features)
+    d = scaler.mean.size
     rng = np.random.default_rng(seed)
     gamma = 1.0 / max(d, 1)  # 'scale' rule on standardised inputs (unit variance)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(RFF_COMPONENTS, d))
-    b = rng.uniform(0.0, 2.0 * math.pi, size=RFF_COMPONENTS)
+    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(rff_components, d))
+    b = rng.uniform(0.0, 2.0 * math.pi, size=rff_components)
     frame = SvmGridModel.rff(scaler.transform(base), w, b).select(label, "_fold", "scaled", "rff").cache()
+    sizes = {r["_fold"]: r["count"] for r in frame.groupBy("_fold").count().collect()}
+    n = sum(sizes.values())
     kernels = {"linear": "scaled", "rbf": "rff"}
     grid = [(c, kernel) for c in cs for kernel in kernels]
 
-    def svc(c: float, kernel: str) -> LinearSVC:
-        return LinearSVC(featuresCol=kernels[kernel], labelCol=label, maxIter=max_iter, regParam=1.0 / (c * n))
+    def svc(c: float, kernel: str, rows: int) -> LinearSVC:
+        return LinearSVC(featuresCol=kernels[kernel], labelCol=label, maxIter=max_iter, regParam=1.0 / (c * max(rows, 1)),
+                         standardization=False)
 
     def fold_accuracy(job):
         (c, kernel), f = job
-        m = svc(c, kernel).fit(frame.filter(F.col("_fold") != f))
+        part = frame.filter(F.col("_fold") != f)
+        if part.select(label).distinct().count() < 2:
+            return None  # nothing to separate
+        m = svc(c, kernel, n - sizes.get(f, 0)).fit(part)
         held = m.transform(frame.filter(F.col("_fold") == f))
         return held.agg(F.avg(flag(F.col("prediction") == F.col(label)))).first()[0]
 
@@ -172,7 +193,7 @@ def fit_svm_grid(train: DataFrame, features: Sequence[str], label: str = LABEL,
         scores[f"{kernel}_C{c:g}"] = float(sum(vals) / len(vals)) if vals else float("nan")
     best = max(range(len(grid)), key=lambda i: (scores[f"{grid[i][1]}_C{grid[i][0]:g}"], -i))
     c, kernel = grid[best]
-    svc_model = svc(c, kernel).fit(frame)
+    svc_model = svc(c, kernel, n).fit(frame)
     model = SvmGridModel(features, scaler, kernel, w, b, svc_model, None, scores)
     platt_in = model._margin_frame(train.select(label, *features))
     model.platt = LogisticRegression(featuresCol="margin_vec", labelCol=label, regParam=0.0).fit(platt_in)
@@ -180,15 +201,15 @@ def fit_svm_grid(train: DataFrame, features: Sequence[str], label: str = LABEL,
     return model
 
 
-def build(name: str, n_train: int, features: Sequence[str], label: str = LABEL):
+def build(name: str, n_train: int, features: Sequence[str], label: str = LABEL, max_bins: int = MAX_BINS):
     if name == "logistic":
         est = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / max(n_train, 1),
                                  elasticNetParam=0.0, standardization=False, maxIter=100)
     elif name == "tree":
-        est = DecisionTreeClassifier(featuresCol="features", labelCol=label, maxDepth=30, seed=123)
+        est = DecisionTreeClassifier(featuresCol="features", labelCol=label, maxDepth=TREE_DEPTH, seed=TREE_SEED, maxBins=max_bins)
     elif name == "forest":
-        est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=500, maxDepth=3, seed=123,
-                                     featureSubsetStrategy="sqrt")
+        est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH,
+                                     seed=TREE_SEED, featureSubsetStrategy="sqrt")
     else:
         raise ValueError(name)
     return Pipeline(stages=[_assembler(features), est])
@@ -202,10 +223,11 @@ def fit(name: str, train: DataFrame, features: Sequence[str] | None = None, labe
     return build(name, n, features, label).fit(train)
 
 
-def predict(name: str, model, df: DataFrame, label: str = LABEL) -> DataFrame:
+def predict(name: str, model, df: DataFrame, label: str = LABEL, keep: Sequence[str] = ()) -> DataFrame:
+    """Score (probability of class 1) and the model's own prediction."""
     out = model.transform(df)
     return out.select(F.lit(name).alias("modelo"), ID, F.col(label).alias("label"),
-                      _prob1().alias("score"), flag(_prob1() >= 0.5).alias("prediction"))
+                      _prob1().alias("score"), F.col("prediction").cast("int").alias("prediction"), *keep)
 
 
 def fit_and_predict(name: str, df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -214,55 +236,56 @@ def fit_and_predict(name: str, df: DataFrame, label: str = LABEL) -> DataFrame:
     return predict(name, model, test, label)
 
 
+def _stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def fit_all(df: DataFrame, label: str = LABEL) -> DataFrame:
     """Fit the four models on the train groups and score the test groups (long table)."""
-    out = None
-    for name in MODEL_NAMES:
-        p = fit_and_predict(name, df, label)
-        out = p if out is None else out.unionByName(p)
-    return out
+    return _stacked([fit_and_predict(name, df, label) for name in MODEL_NAMES])
 
 
-def save_models(df: DataFrame, label: str = LABEL, folder: str | None = None) -> DataFrame:
-    """Fit, save with MLlib writers under ``<checkpoint dir>/models``, reload and score the test groups."""
-    spark = df.sparkSession
-    root = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/models"
+def save_models(df: DataFrame, folder: str, label: str = LABEL) -> DataFrame:
+    """Fit, save with MLlib writers under ``folder``, reload and score the test groups."""
     train, test = _train_test(df)
     feats = feature_columns(df)
-    out = None
+    parts = []
     for name in MODEL_NAMES:
         model = fit(name, train, feats, label)
-        path = f"{root}/{name}"
+        path = f"{folder.rstrip('/')}/{name}"
         if name == "svm_grid":
             model.save(path)
             loaded = SvmGridModel.load(path)
         else:
             model.write().overwrite().save(path)
             loaded = PipelineModel.load(path)
-        p = predict(name, loaded, test, label).withColumn("path", F.lit(path))
-        out = p if out is None else out.unionByName(p)
-    return out
+        parts.append(predict(name, loaded, test, label).withColumn("path", F.lit(path)))
+    return _stacked(parts)
 
 
 def evaluate_models(preds: DataFrame) -> DataFrame:
-    """Per model: AUC, the four confusion cells and the classification report, as (modelo, metrica, clase, valor)."""
-    names = MODEL_NAMES
-    out = None
-    for name in names:
-        p = preds.filter(F.col("modelo") == name)
-        auc = evaluate.roc_auc(p).select(F.lit("auc").alias("metrica"), F.lit("all").alias("clase"),
-                                         F.col("auc").alias("valor"))
-        cm = evaluate.confusion_matrix(p).select(
-            F.lit("confusion").alias("metrica"),
-            F.concat(F.col("label").cast("string"), F.lit("_"), F.col("prediction").cast("string")).alias("clase"),
-            F.col("n").cast("double").alias("valor"))
-        rep = evaluate.classification_report(p)
-        rep_long = rep.select("clase", F.explode(F.array(*[
-            F.struct(F.lit(m).alias("metrica"), F.col(m).cast("double").alias("valor"))
-            for m in ("precision", "recall", "f1", "support")])).alias("m")).select("m.metrica", "clase", "m.valor")
-        part = auc.unionByName(cm).unionByName(rep_long).withColumn("modelo", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out.select("modelo", "metrica", "clase", "valor")
+    """Per ``modelo`` in the table, whatever its name: AUC, the four confusion cells and the classification report,
+    as (modelo, metrica, clase, valor)."""
+    by = ["modelo"]
+    auc = evaluate.roc_auc(preds, by=by).select("modelo", F.lit("auc").alias("metrica"), F.lit("all").alias("clase"),
+                                                F.col("auc").alias("valor"))
+    cm = evaluate.confusion_matrix(preds, by=by).select(
+        "modelo", F.lit("confusion").alias("metrica"),
+        F.concat(F.col("label").cast("string"), F.lit("_"), F.col("prediction").cast("string")).alias("clase"),
+        F.col("n").cast("double").alias("valor"))
+    rep = evaluate.classification_report(preds, by=by).select("modelo", "clase", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metrica"), F.col(m).cast("double").alias("valor"))
+        for m in ("precision", "recall", "f1", "support")])).alias("m")).select("modelo", "m.metrica", "clase", "m.valor")
+    return auc.unionByName(cm).unionByName(rep)
+
+
+def _together(jobs: Sequence, spark) -> list:
+    """Independent fits submitted from a thread pool, so that they share the cluster."""
+    with ThreadPoolExecutor(max_workers=max(1, min(len(jobs), spark.sparkContext.defaultParallelism))) as pool:
+        return list(pool.map(lambda job: job(), jobs))
 
 
 def learning_curve(df: DataFrame, name: str = "logistic", sizes: Sequence[float] = (0.1, 0.3, 0.5, 0.7, 0.9, 1.0),
@@ -271,47 +294,70 @@ def learning_curve(df: DataFrame, name: str = "logistic", sizes: Sequence[float]
 
     Split s orders rows by md5('<seed>:<s>:<id>') (exact distributed row
     numbers): the first half trains, the rest tests; the size-f subset is the
-    first floor(f * train) rows of that order.
+    first floor(f * train) rows of that order.  A split whose subset or test half has one class
+    only has no AUC; ``train_valid`` and ``test_valid`` say how many splits the means are over.
+    All fits are submitted together and all AUCs come from one table of predictions.
     """
     feats = feature_columns(df)
-    n = df.count()
-    half = n // 2
-    rows = []
+    half = df.count() // 2
+    ranked = []
     for s in range(n_splits):
         key = F.md5(F.concat(F.lit(f"{seed}:{s}:"), F.col(ID)))
-        ranked = row_numbers(df.withColumn("_h", key), [], ["_h", ID], out="_rk").cache()
-        test = ranked.filter(F.col("_rk") > half)
-        for f in sizes:
-            k = max(1, int(f * half))
-            sub = ranked.filter(F.col("_rk") <= k)
-            model = build(name, k, feats, label).fit(sub) if name != "svm_grid" else fit_svm_grid(sub, feats, label)
-            tr = evaluate.roc_auc(predict(name, model, sub, label)).first()["auc"]
-            te = evaluate.roc_auc(predict(name, model, test, label)).first()["auc"]
-            rows.append((float(f), k, s, tr, te))
-        ranked.unpersist()
-    rows = df.sparkSession.createDataFrame(
-        rows, "size double, n_train int, split int, train_auc double, test_auc double")
-    agg = rows.groupBy("size").agg(F.avg("train_auc").alias("train_mean"), F.stddev_pop("train_auc").alias("train_std"),
-                                   F.avg("test_auc").alias("test_mean"), F.stddev_pop("test_auc").alias("test_std"))
+        ranked.append(row_numbers(df.withColumn("_h", key), [], ["_h", ID], out="_rk").cache())
+
+    def job(s: int, f: float):
+        k = max(1, int(f * half))
+        sub = ranked[s].filter(F.col("_rk") <= k)
+        model = fit_svm_grid(sub, feats, label) if name == "svm_grid" else build(name, k, feats, label).fit(sub)
+        part = ranked[s].withColumn("part", F.when(F.col("_rk") <= k, "train").when(F.col("_rk") > half, "test")).filter(
+            F.col("part").isNotNull())
+        return predict(name, model, part, label, keep=["part"]).select(
+            F.lit(float(f)).alias("size"), F.lit(k).alias("n_train"), F.lit(s).alias("split"), "part", "label", "score")
+
+    jobs = [(lambda s=s, f=f: job(s, f)) for s in range(n_splits) for f in sizes]
+    preds = pin(_stacked(_together(jobs, df.sparkSession)))
+    for r in ranked:
+        r.unpersist()
+    by = ["size", "n_train", "split", "part"]
+    auc = evaluate.roc_auc(preds, by=by)
+    rows = auc.groupBy("size", "n_train", "split").agg(*[
+        F.max(F.when(F.col("part") == p, F.col("auc"))).alias(f"{p}_auc") for p in ("train", "test")])
+    agg = rows.groupBy("size").agg(*[f(f"{p}_auc").alias(f"{p}_{n}") for p in ("train", "test") for n, f in (
+        ("mean", F.avg), ("std", F.stddev_pop), ("valid", F.count))])
     return rows.join(agg, "size")
 
 
-def feature_importance(df: DataFrame, label: str = LABEL, seed: int = 11) -> DataFrame:
-    """Forest impurity importances plus permutation importance (AUC drop on the test groups when one
-    feature's values are permuted by a seeded hash order, an exact distributed shuffle)."""
-    train, test = _train_test(df)
+def feature_importance(df: DataFrame, model, name: str = "forest", label: str = LABEL, seed: int = 11) -> DataFrame:
+    """Of a fitted tree model: impurity importances plus permutation importance on the test groups.
+
+    Permutation importance is the AUC lost when one feature's values are permuted by a seeded hash order (an exact
+    distributed shuffle).  All permuted tables are scored in one pass and their AUCs come from one table; the dummies of
+    one category form one feature.
+    """
+    _, test = _train_test(df)
     feats = feature_columns(df)
-    model = fit("forest", train, feats, label)
-    base_auc = evaluate.roc_auc(predict("forest", model, test, label)).select("auc").first()[0]
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    orig = row_numbers(test, [], [ID], out="_pos")
-    rows = []
+    impurity = model.stages[-1].featureImportances.toArray()
+    widths = _widths(test, feats)
+    at = np.concatenate([[0], np.cumsum([widths[f] for f in feats])])
+    orig = row_numbers(test, [], [ID], out="_pos").cache()
+    tables = [orig.withColumn("which", F.lit("")).drop("_pos")]
     for j, feat in enumerate(feats):
         donor = row_numbers(test.select(ID, feat).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:{j}:"), F.col(ID)))),
                             [], ["_h", ID], out="_pos").select("_pos", F.col(feat).alias("_v"))
-        permuted = orig.join(donor, "_pos").withColumn(feat, F.col("_v")).drop("_v", "_pos")
-        auc = evaluate.roc_auc(predict("forest", model, permuted, label)).select("auc").first()[0]
-        drop = None if (auc is None or base_auc is None) else float(base_auc - auc)
-        rows.append((feat, float(imp[j]), drop))
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, "feature string, importance double, permutation_auc_drop double")
+        tables.append(orig.join(donor, "_pos").withColumn(feat, F.col("_v")).withColumn("which", F.lit(feat)).drop("_v", "_pos"))
+    auc = evaluate.roc_auc(predict(name, model, _stacked(tables), label, keep=["which"]), by=["which"])
+    weights = df.sparkSession.createDataFrame(
+        [(f, float(impurity[at[j]:at[j + 1]].sum())) for j, f in enumerate(feats)], "feature string, importance double")
+    auc = pin(auc)
+    orig.unpersist()
+    whole = auc.filter("which = ''").select("auc").scalar()
+    drops = auc.filter("which <> ''").select(F.col("which").alias("feature"), (whole - F.col("auc")).alias("permutation_auc_drop"))
+    return weights.join(drops, "feature", "left")
+
+
+def _widths(df: DataFrame, feats: Sequence[str]) -> Mapping[str, int]:
+    """Values per feature: 1, or the length of a vector column."""
+    kinds = dict(df.dtypes)
+    vectors = [f for f in feats if kinds[f] == "vector"]
+    row = df.select(*[F.size(vector_to_array(F.col(f))).alias(f) for f in vectors]).first() if vectors else {}
+    return {f: row[f] if f in vectors else 1 for f in feats}

@@ -101,6 +101,13 @@ def same_group_share(df: DataFrame) -> DataFrame:
     return attach_shares(df, SAME_GROUP)
 
 
+def company_shares(df: DataFrame) -> DataFrame:
+    """Per company (``nodo``): share of its relations as start and as end that stay inside its group."""
+    table = key_shares(df, SAME_GROUP)
+    return table.groupBy(F.col("key").alias("nodo")).agg(*[
+        F.max(F.when(F.col("which") == k, F.col("value"))).alias(s.out) for k, s in enumerate(SAME_GROUP)])
+
+
 def client_and_group_shares(df: DataFrame) -> DataFrame:
     """Group client shares and same-group shares of flagged relations in one pass."""
     return attach_shares(df, GROUP_CLIENT + SAME_GROUP)

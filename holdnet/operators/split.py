@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from holdnet.operators.flags import parent_flag
 from holdnet.operators.ranks import row_numbers
 
-MAX_LEVELS = 1000
-
 
 def distinct_groups(nodes: DataFrame) -> DataFrame:
     return nodes.select("grupo").distinct()
@@ -35,23 +33,20 @@ def group_split(nodes: DataFrame, seed: int = 424, train_share: float = 0.8, out
 
 
 def category_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
-    """Distinct non-null values of low-cardinality columns (small metadata, like an indexer's labels)."""
-    levels = {}
-    for c in cols:
-        vals = [r[0] for r in df.select(F.col(c).cast("string")).filter(F.col(c).isNotNull())
-                .distinct().limit(MAX_LEVELS + 1).collect()]
-        if len(vals) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; index it instead of one-hot encoding")
-        levels[c] = sorted(vals)
-    return levels
+    """Distinct non-null values of the columns, sorted: the names of the dummy columns, so part of the result's schema.
+
+    For wide categories in models use ``models.encode_categories`` (sparse vectors of any width) instead.
+    """
+    return {c: sorted(r[0] for r in df.select(F.col(c).cast("string")).filter(F.col(c).isNotNull()).distinct().collect())
+            for c in cols}
 
 
 def one_hot(df: DataFrame, cols: Sequence[str] = ("sector", "tamano"),
             levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """``<col>_<value>`` 0/1 columns replacing each listed column; null gives all zeros."""
     levels = dict(levels) if levels is not None else category_levels(df, cols)
-    dummies = {f"{c}_{v}": F.when(F.col(c) == v, 1).otherwise(0) for c in cols for v in levels[c]}
-    return df.withColumns(dummies).drop(*cols)
+    dummies = [F.when(F.col(c) == v, 1).otherwise(0).alias(f"{c}_{v}") for c in cols for v in levels[c]]
+    return df.select(*[c for c in df.columns if c not in cols], *dummies)
 
 
 def model_table(nodes: DataFrame, cols: Sequence[str] = ("sector", "tamano"),

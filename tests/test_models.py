@@ -1,5 +1,9 @@
+import functools
+import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
@@ -30,7 +34,7 @@ def test_models_learn_a_separable_target(spark):
 def test_svm_grid_rbf_features_and_probabilities(spark):
     df = separable(spark).cache()
     train = df.filter(F.col("conjunto") == "train")
-    model = models.fit_svm_grid(train, ["x1", "x2"], folds=3, max_iter=30)
+    model = models.fit_svm_grid(train.coalesce(1), ["x1", "x2"], folds=2, max_iter=10)
     assert set(model.cv_scores) == {"linear_C1", "linear_C10", "rbf_C1", "rbf_C10"}
     preds = models.predict("svm_grid", model, df.filter(F.col("conjunto") == "test"))
     assert evaluate.roc_auc(preds).first()["auc"] > 0.9
@@ -47,3 +51,114 @@ def test_saved_model_predicts_the_same(spark, tmp_path):
     a = {r["nodo"]: r["score"] for r in models.predict("logistic", model, df).collect()}
     b = {r["nodo"]: r["score"] for r in models.predict("logistic", PipelineModel.load(path), df).collect()}
     assert a == b
+
+
+def values(df, cols):
+    return np.array([[r[c] for c in cols] for r in df.select(*cols).collect()], dtype=float)
+
+
+def test_logistic_matches_newton_solution(spark):
+    train = separable(spark).filter("conjunto = 'train'").cache()
+    x, y = values(train, ["x1", "x2"]), values(train, ["matriz_filia_binaria"])[:, 0]
+    z = np.hstack([x, np.ones((len(x), 1))])
+    ridge = np.diag([1.0, 1.0, 0.0])  # C = 1: the sum of losses plus |w|^2 / 2
+    w = np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (p - y) + ridge @ w)
+    model = models.fit("logistic", train, ["x1", "x2"]).stages[-1]
+    assert np.allclose([*model.coefficients, model.intercept], w, atol=1e-3)
+
+
+def test_tree_splits_exactly(spark):
+    rnd = random.Random(2)
+    data = [(f"n{k}", "G", "train", rnd.random(), 0.0, 0) for k in range(300)]
+    data = [(a, b, c, x, e, int(x > 0.4217)) for a, b, c, x, e, _ in data]
+    df = spark.createDataFrame(data, "nodo string, grupo string, conjunto string, x1 double, x2 double, matriz_filia_binaria int")
+    tree = models.fit("tree", df, ["x1"]).stages[-1]
+    below = max(x for *_, x, _, y in data if y == 0)
+    above = min(x for *_, x, _, y in data if y == 1)
+    assert tree.numNodes == 3 and below <= tree._call_java("rootNode").split().threshold() <= above
+
+
+def test_own_prediction_is_passed_on(spark):
+    # a leaf of one row of each class: the tree says 0, a threshold of 0.5 on its probability would say 1
+    df = spark.createDataFrame([(f"n{k}", "G", "train", 1.0, 1.0, k % 2) for k in range(10)],
+                               "nodo string, grupo string, conjunto string, x1 double, x2 double, matriz_filia_binaria int")
+    preds = models.predict("tree", models.fit("tree", df, ["x1"]), df).collect()
+    assert {(r["score"], r["prediction"]) for r in preds} == {(0.5, 0)}
+
+
+@pytest.mark.parametrize("name", ["logistic", "tree", "forest"])
+def test_one_class_of_training_rows(spark, name, monkeypatch):
+    monkeypatch.setattr(models, "FOREST_TREES", 5)
+    df = separable(spark).filter("matriz_filia_binaria = 0")
+    preds = models.predict(name, models.fit(name, df, ["x1", "x2"]), df)
+    assert preds.filter("prediction <> 0 or score > 0.01").count() == 0
+
+
+def test_stratified_folds(spark):
+    df = separable(spark)
+    per = models.stratified_folds(df, "matriz_filia_binaria", 5, 7).groupBy("_fold", "matriz_filia_binaria").count().collect()
+    for y, n in ((0, 180), (1, 60)):
+        assert sorted(r["count"] for r in per if r["matriz_filia_binaria"] == y) == [n // 5] * 5
+
+
+def test_rbf_fit_keeps_feature_scale_and_svm_prediction_is_the_margin_sign(spark):
+    train = separable(spark).filter("conjunto = 'train'").cache()
+    model = models.fit_svm_grid(train.coalesce(1), ["x1", "x2"], folds=2, cs=(1.0,), max_iter=5, rff_components=30)
+    assert model.svc.getStandardization() is False and model.w.shape == (30, 2)
+    out = model.transform(train).select("margin", "prediction").collect()
+    assert all((r["margin"] > 0) == (r["prediction"] == 1.0) for r in out)
+
+
+def test_saved_models_predict_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(models, "FOREST_TREES", 5)
+    quick = functools.partial(models.fit_svm_grid, folds=2, cs=(1.0,), max_iter=3, rff_components=10)
+    monkeypatch.setattr(models, "fit_svm_grid", quick)
+    df = separable(spark, n=100).coalesce(1).cache()
+    kept = {(r["modelo"], r["nodo"]): (r["score"], r["prediction"]) for r in models.save_models(df, str(tmp_path / "m")).collect()}
+    fresh = {(r["modelo"], r["nodo"]): (r["score"], r["prediction"]) for r in models.fit_all(df).collect()}
+    assert set(kept) == set(fresh) and {m for m, _ in kept} == set(models.MODEL_NAMES)
+    for k, (s, p) in fresh.items():
+        assert kept[k][1] == p and math.isclose(kept[k][0], s, abs_tol=1e-6)
+
+
+def test_evaluate_models_of_any_name(spark):
+    rows = [("logistic", 1, 0.9, 1), ("logistic", 0, 0.2, 0), ("mine", 1, 0.4, 0), ("mine", 0, 0.6, 1), ("mine", 0, 0.1, 0)]
+    got = {(r["modelo"], r["metrica"], r["clase"]): r["valor"] for r in models.evaluate_models(
+        spark.createDataFrame(rows, "modelo string, label int, score double, prediction int")).collect()}
+    assert {m for m, *_ in got} == {"logistic", "mine"}
+    assert got["mine", "auc", "all"] == 0.5 and got["logistic", "auc", "all"] == 1.0
+    assert got["mine", "confusion", "1_0"] == 1 and got["mine", "support", "0"] == 2 and got["logistic", "f1", "accuracy"] == 1.0
+
+
+def test_learning_curve_sizes_and_valid_splits(spark):
+    df = separable(spark, n=60).coalesce(1)
+    got = models.learning_curve(df, "tree", sizes=(0.1, 1.0), n_splits=3).collect()
+    assert sorted((r["size"], r["n_train"], r["split"]) for r in got) == [(s, k, i) for s, k in ((0.1, 3), (1.0, 30)) for i in range(3)]
+    for size in (0.1, 1.0):
+        part = [r for r in got if r["size"] == size]
+        known = [r["train_auc"] for r in part if r["train_auc"] is not None]
+        assert {r["train_valid"] for r in part} == {len(known)}
+        assert part[0]["train_mean"] is None if not known else math.isclose(part[0]["train_mean"], sum(known) / len(known))
+
+
+def test_importance_of_a_constant_feature_is_zero(spark):
+    df = separable(spark).withColumn("x3", F.lit(1.0)).cache()
+    df = models.encode_categories(df.withColumn("kind", F.when(F.col("x2") > 0, "a").when(F.col("x2") < -1, "b")), ["kind"])
+    feats = models.feature_columns(df)
+    assert feats == ["x1", "x2", "x3", "kind_vec"]
+    model = models.build("tree", 1, feats).fit(df.filter("conjunto = 'train'"))
+    got = {r["feature"]: r for r in models.feature_importance(df, model, "tree").collect()}
+    assert got["x3"]["importance"] == 0.0 and got["x3"]["permutation_auc_drop"] == 0.0
+    assert got["x1"]["importance"] > 0.5 and got["x1"]["permutation_auc_drop"] > 0.1
+
+
+def test_wide_categories(spark):
+    df = spark.createDataFrame([(f"n{k}", f"v{k}" if k else None) for k in range(1501)], "nodo string, sector string")
+    from holdnet.operators import split
+    assert len(split.one_hot(df, ["sector"]).columns) == 1501
+    out = models.encode_categories(df, ["sector"]).collect()
+    assert {r["sector_vec"].size for r in out} == {1500}
+    assert sum(r["sector_vec"].numNonzeros() == 0 for r in out) == 1
