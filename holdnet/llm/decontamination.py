@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdnet.llm.common import (ALNUM_OR_HIGH, LOWER, mix, span_hashes, text_bytes, text_slices, word_spans, written)
+from holdnet.llm.common import (ALNUM_OR_HIGH, LOWER, fresh, mix, span_hashes, text_bytes, text_slices, word_spans, written)
 
 WINDOW = 10
 LANE = 256
@@ -147,57 +147,62 @@ def item_blocks(benchmark: DataFrame, id_col: str, text: str, block_bytes: int)
     return [src if n == 1 else src.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == b) for b in range(n)]
 
 
-def _marker(tables: list[Patterns], names: list[str | None], columns: list[str], text: str, merge: bool, keep: bool):
+def _marker(tables: list[Patterns], names: list[str | None], columns: list[str], own: list[str], text: str, merge: bool,
+            keep: bool):
     """mapInArrow function that adds the marks of one block of patterns to those before."""
+    n_words, n_hits, item_list, mark_bits = own
+
     def run(batches):
         for batch in text_slices(batches, text):
             rows = range(batch.num_rows)
             n, hit, first, items = scan(batch.column(text), tables)
             listed = [{names[k] for k in items.get(r, ()) if names[k] is not None} for r in rows]
             if merge:
-                for r, (bits, known) in enumerate(zip(batch.column("_marks").to_pylist(),
-                                                      batch.column("_items").to_pylist(), strict=True)):
+                for r, (bits, known) in enumerate(zip(batch.column(mark_bits).to_pylist(),
+                                                      batch.column(item_list).to_pylist(), strict=True)):
                     hit[first[r]:first[r + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=int(n[r])).astype(bool)
                     listed[r].update(known)
             total = np.concatenate([[0], np.cumsum(hit)])
             out = {c: batch.column(c) for c in columns} | {
-                "_words": pa.array(n, pa.int64()), "_hits": pa.array(total[first[1:]] - total[first[:-1]], pa.int64()),
-                "_items": pa.array([sorted(x) for x in listed], pa.list_(pa.string()))}
+                n_words: pa.array(n, pa.int64()), n_hits: pa.array(total[first[1:]] - total[first[:-1]], pa.int64()),
+                item_list: pa.array([sorted(x) for x in listed], pa.list_(pa.string()))}
             if keep:
-                out["_marks"] = pa.array([np.packbits(hit[first[r]:first[r + 1]]).tobytes() for r in rows], pa.binary())
+                out[mark_bits] = pa.array([np.packbits(hit[first[r]:first[r + 1]]).tobytes() for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
     return run
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-           item_text: str = "text", window: int = WINDOW, block_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """``docs`` with ``_words`` (count), ``_hits`` (count) and ``_items`` (item ids, sorted as strings).
+           item_text: str = "text", window: int = WINDOW, block_bytes: int = PATTERN_BYTES) -> tuple[DataFrame, list[str]]:
+    """``docs`` with three more columns, and their names: words, hit words, item ids (sorted as strings).
 
     With several pattern blocks each pass merges its marks (one bit per word) with those before.
     """
-    schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", _words long, _hits long, _items array<string>"
+    own = fresh(docs.columns, "_words", "_hits", "_items", "_marks")
+    schema = ", ".join([*(f"`{c}` {k}" for c, k in docs.dtypes), *(f"`{c}` {k}" for c, k in zip(
+        own, ("long", "long", "array<string>"), strict=False))])
     out, blocks = docs, item_blocks(benchmark, item_id, item_text, block_bytes)
     for b, block in enumerate(blocks):
         items = [(r["item_id"], r["text"]) for r in block.collect()]  # about block_bytes of text at most
         more = b < len(blocks) - 1
-        run = _marker(patterns(items, window), [name for name, _ in items], docs.columns, text, b > 0, more)
-        out = out.mapInArrow(run, schema + ", _marks binary" * more)
+        run = _marker(patterns(items, window), [name for name, _ in items], docs.columns, own, text, b > 0, more)
+        out = out.mapInArrow(run, schema + f", `{own[3]}` binary" * more)
         if more:
             out = written(out, "marked")
-    return out
+    return out, own[:3]
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
            block_bytes: int = PATTERN_BYTES) -> DataFrame:
     """Per row: ``doc_id, n_words, n_hit, items, contaminated``."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = marked(src, benchmark, block_bytes=block_bytes)
-    return found.select("doc_id", F.col("_words").alias("n_words"), F.col("_hits").alias("n_hit"),
-                        F.col("_items").alias("items"), (F.col("_hits") > 0).alias("contaminated"))
+    found, (n_words, n_hits, items) = marked(src, benchmark, block_bytes=block_bytes)
+    return found.select("doc_id", F.col(n_words).alias("n_words"), F.col(n_hits).alias("n_hit"),
+                        F.col(items).alias("items"), (F.col(n_hits) > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                       block_bytes: int = PATTERN_BYTES) -> DataFrame:
     """The rows without a hit word, with all their columns."""
-    found = marked(docs, benchmark, text, block_bytes=block_bytes)
-    return found.filter("_hits = 0").select(*docs.columns)
+    found, (_, n_hits, _) = marked(docs, benchmark, text, block_bytes=block_bytes)
+    return found.filter(F.col(n_hits) == 0).select(*docs.columns)

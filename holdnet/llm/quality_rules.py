@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdnet.llm.common import WHITE, WHITE_CLASS
+from holdnet.llm.common import WHITE, WHITE_CLASS, fresh
 
 #: Fixed values of the rules (percentages are of words, lines or characters).
 SYMBOLS = "[#*$%&|<>]"
@@ -180,12 +180,36 @@ def verdict(rules: list[Rule], facts: TextFacts) -> Column:
     return out
 
 
+class WordFacts(TextFacts):
+    """Facts that need the words read them from an array column, split once per text."""
+
+    def __init__(self, text: Column, split: Column):
+        super().__init__(text)
+        self.words = split
+
+    def n_words(self) -> Column:
+        return F.size(self.words).cast("long")
+
+    def word_chars(self) -> Column:
+        return F.length(F.array_join(self.words, "")).cast("long")
+
+    def n_repeat_words(self) -> Column:
+        return repeat_words(self.words)
+
+
 def filter_quality(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None,
                    sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows that no rule rejects, with all their columns."""
-    facts = TextFacts(F.col(text))
-    ordered = order_rules(docs.select(text), rules or BASE_RULES + METHOD_RULES, facts, sample_rows)
-    return docs.filter(verdict(ordered, facts).isNull())
+    """The rows that no rule rejects, with all their columns.
+
+    The verdict is the output of a generator over a one-element array: a filter on it cannot be pushed below, where
+    the optimizer would write the words' expression into every rule again.
+    """
+    own, found = fresh(docs.columns, "_w", "_verdict")
+    facts = WordFacts(F.col(text), F.col(own))
+    split = docs.withColumn(own, words(F.col(text)))
+    ordered = order_rules(split.select(text, own), rules or BASE_RULES + METHOD_RULES, facts, sample_rows)
+    judged = split.select(*docs.columns, F.explode(F.array(verdict(ordered, facts))).alias(found))
+    return judged.filter(F.col(found).isNull()).select(*docs.columns)
 
 
 def base_facts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

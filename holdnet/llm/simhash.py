@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdnet.llm.common import text_slices, written
+from holdnet.llm.common import fresh, text_slices, written
 from holdnet.llm.components import connected_components
 
 SEED = 42
@@ -168,9 +168,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
     kept = docs.join(keep.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
     if not keep.filter("_rows > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
-    nameless = found.filter("component_id is null").groupBy("root").agg(F.min("fp").alias("_fp")).select("_fp")
+    nameless = found.filter("component_id is null").groupBy("root").agg(F.min("fp").alias("fp")).select("fp")
     if not nameless.isEmpty():
+        own, = fresh(docs.columns, "_fp")
         mark = F.udf(lambda t: int(np.uint64(fingerprint(t, shingle)).view(np.int64)), "long")
-        lost = docs.filter(F.col(id_col).isNull()).withColumn("_fp", mark(F.col(text)))
-        kept = kept.unionByName(lost.join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
+        lost = docs.filter(F.col(id_col).isNull()).withColumn(own, mark(F.col(text)))
+        lost = lost.join(nameless.withColumnRenamed("fp", own), own, "left_semi").dropDuplicates([own])
+        kept = kept.unionByName(lost.select(*docs.columns))
     return kept.select(*docs.columns)

@@ -3,7 +3,7 @@ import random
 from holdnet.llm import decontamination as d
 from holdnet.llm.decontamination import item_words
 
-SCHEMA = "doc_id long, text string, _n int"
+SCHEMA = "doc_id long, text string, _words int, _Hits string, _items int"
 
 
 def brute(docs, items, window=10):
@@ -41,7 +41,7 @@ def data():
 
 def check(spark, block_bytes):
     docs, items = data()
-    df = spark.createDataFrame([(a, b, 1) for a, b in docs], SCHEMA).repartition(4)
+    df = spark.createDataFrame([(a, b, 1, None, 2) for a, b in docs], SCHEMA).repartition(4)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = [(r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated)
            for r in d.report(df, bench, block_bytes=block_bytes).collect()]
@@ -64,5 +64,5 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     bench = spark.createDataFrame([], "item_id long, text string")
     assert d.report(none, bench).count() == 0
-    some = spark.createDataFrame([(1, "a b", 1)], SCHEMA)
+    some = spark.createDataFrame([(1, "a b", 1, "x", 1)], SCHEMA)
     assert d.report(some, bench).first().contaminated is False

@@ -54,7 +54,7 @@ def corpus():
     return rows
 
 
-SCHEMA = "doc_id long, text string, fp string, k int"
+SCHEMA = "doc_id long, text string, _fp string, root int"
 
 
 def test_components_match_brute_force(spark):
