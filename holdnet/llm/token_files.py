@@ -58,7 +58,16 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 CLASS_OF, BITS_OF, REST_OF, CLASSES = _classes()
-CLASS_BITS = BITS_OF[CLASSES]
+CLASS_BITS = BITS_OF[CLASSES].astype(np.uint32)
+BITS_OF, REST_OF = BITS_OF.astype(np.uint32), REST_OF.astype(np.uint32)
+
+
+#: Counts of a mixing cell share one word: order 2 in the low 16 bits, then order 1, then order 0.
+CELL_START = np.uint64(2 | 2 << 16 | 4 << 32)
+CELL_STEPS = np.array([CELL_STEP, CELL_STEP << 16, CELL_STEP << 32], np.uint64)
+CELL_ONES, CELL_HALF = np.uint64(1 | 1 << 16 | 1 << 32), np.uint64(0x7FFF7FFF7FFF)
+#: What a class adds to the running counts (row: class; columns: counts below each class, and all).
+CLASS_STEPS = (np.arange(len(CLASSES) + 1)[None, :] > np.arange(len(CLASSES))[:, None]).astype(np.uint16) * CLASS_STEP
 
 
 class Mixer:
@@ -68,45 +77,55 @@ class Mixer:
         self.order2 = np.zeros(lanes * ORDER2, np.uint32)  # id + 1 in the upper bits, confidence in the lower two
         self.order1 = np.zeros(lanes * ORDER1, np.uint32)
         self.at2, self.at1 = np.arange(lanes) * ORDER2, np.arange(lanes) * ORDER1
-        self.cells = np.tile(np.array([[2, 2, 4]], np.uint32), (lanes * 32, 1))
+        self.cells = np.full(lanes * 32, CELL_START, np.uint64)
         self.at_cell = np.arange(lanes) * 32
-        self.freq = np.ones((lanes, len(CLASSES)), np.uint32)
+        self.below = np.tile(np.arange(len(CLASSES) + 1, dtype=np.uint16), (lanes, 1))  # running counts of the classes
         self.last1 = np.zeros(lanes, np.int64)
         self.last2 = np.zeros(lanes, np.int64)
 
-    def predict(self, n: int):
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Running counts of order 2, of orders 2 and 1, and of all three."""
         one, two = self.last1[:n], self.last2[:n]
         self.i2 = self.at2[:n] + (((two * 40503 + one) * 2654435761 >> 9) & (ORDER2 - 1))
         self.i1 = self.at1[:n] + ((one * 2654435761 >> 7) & (ORDER1 - 1))
         self.v2, self.v1 = self.order2[self.i2], self.order1[self.i1]
         self.x2, self.x1 = self.v2 >> 2, self.v1 >> 2
-        self.cell = self.at_cell[:n] + ((self.v2 & 3) << 2 | (self.v1 & 3)) + ((self.x1 == self.x2) << 4)
-        return self.cells[self.cell]
-
-    def learn(self, n: int, ids: np.ndarray, which: np.ndarray) -> None:
-        y = ids.astype(np.uint32) + 1
-        self.cells[self.cell, which] += CELL_STEP
-        if len(full := self.cell[self.cells[self.cell].sum(axis=1) > CELL_LIMIT]):
-            self.cells[full] = (self.cells[full] + 1) >> 1
-        for table, at, v, x in ((self.order2, self.i2, self.v2, self.x2), (self.order1, self.i1, self.v1, self.x1)):
-            table[at] = (y << 2) | np.where(x == y, np.minimum((v & 3) + 1, 3), 0).astype(np.uint32)
+        self.c2, self.c1 = self.v2 & 3, self.v1 & 3
+        self.cell = self.at_cell[:n] + (self.c2 << 2 | self.c1) + ((self.x1 == self.x2) << 4)
+        self.counts = self.cells[self.cell]
+        first = (self.counts & np.uint64(0xFFFF)).astype(np.uint32)
+        second = first + ((self.counts >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint32)
+        return first, second, second + (self.counts >> np.uint64(32)).astype(np.uint32)
+
+    def learn(self, n: int, ids: np.ndarray, which: np.ndarray, total: np.ndarray) -> None:
+        counts = self.counts + CELL_STEPS[which]
+        self.cells[self.cell] = np.where(total > CELL_LIMIT, ((counts + CELL_ONES) >> np.uint64(1)) & CELL_HALF, counts)
+        y = ids.astype(np.uint32) + np.uint32(1)
+        new = y << 2
+        self.order2[self.i2] = new | np.minimum(self.c2 + 1, 3) * (self.x2 == y)
+        self.order1[self.i1] = new | np.minimum(self.c1 + 1, 3) * (self.x1 == y)
         self.last2[:n] = self.last1[:n]
         self.last1[:n] = ids
 
-    def learn_class(self, lanes: np.ndarray, cls: np.ndarray) -> None:
-        self.freq[lanes, cls] += CLASS_STEP
-        if len(full := lanes[self.freq[lanes].sum(axis=1) > CLASS_LIMIT]):
-            self.freq[full] = (self.freq[full] + 1) >> 1
+    def learn_class(self, lanes: np.ndarray, cls: np.ndarray, total: np.ndarray) -> None:
+        self.below[lanes] += CLASS_STEPS[cls]
+        if len(full := lanes[total > CLASS_LIMIT]):  # halve, keeping every class at one or more
+            self.below[full] = (self.below[full] + np.arange(len(CLASSES) + 1, dtype=np.uint16)) >> 1
 
 
 class RangeEncoder:
     def __init__(self, lanes: int, words: int):
         self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint64)
+        self.range = np.full(lanes, 0xFFFFFFFF, np.uint32)
         self.pos = np.zeros(lanes, np.int64)
         self.out = np.zeros((max(words, 4), lanes), np.uint32)  # words with their carries, added up in the end
 
-    def put(self, lanes, cum: np.ndarray, freq: np.ndarray, total) -> None:
+    def reserve(self, words: int) -> None:
+        """Room for that many more words in every lane."""
+        if (need := int(self.pos.max()) + words) > len(self.out):
+            self.out = np.concatenate([self.out, np.zeros((need - len(self.out) + len(self.out) // 4, self.out.shape[1]), np.uint32)])
+
+    def put(self, lanes, cum: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
         part = self.range[lanes] // total
         self.low[lanes] += part * cum
         self._shrink(lanes, part * freq)
@@ -119,26 +138,24 @@ class RangeEncoder:
     def _shrink(self, lanes, size: np.ndarray) -> None:
         thin = np.flatnonzero(size < 0x10000)
         if len(thin):
-            size[thin] <<= np.uint64(16)
+            size[thin] <<= np.uint32(16)
             self._emit(thin if isinstance(lanes, slice) else lanes[thin])
         self.range[lanes] = size
 
     def _emit(self, lanes: np.ndarray) -> None:
-        at = self.pos[lanes]
-        if at.max() >= len(self.out):
-            self.out = np.concatenate([self.out, np.zeros_like(self.out[:max(64, len(self.out) // 4)])])
-        low = self.low[lanes]
+        at, low = self.pos[lanes], self.low[lanes]
         self.out[at, lanes] = low >> np.uint64(16)
         self.pos[lanes] = at + 1
         self.low[lanes] = (low & np.uint64(0xFFFF)) << np.uint64(16)
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.pos))
+        self.reserve(2)
         self._emit(every)
         self._emit(every)
         for p in range(int(self.pos.max()) - 1, 0, -1):
             self.out[p - 1] += self.out[p] >> 16
-        lanes = np.ascontiguousarray(self.out.T).astype("<u2")
+        lanes = np.ascontiguousarray(self.out[:int(self.pos.max())].astype("<u2").T)
         return [lanes[k, :n].tobytes() for k, n in enumerate(self.pos.tolist())]
 
 
@@ -149,13 +166,13 @@ class RangeDecoder:
         for k, p in enumerate(payloads):
             grid[k, :len(p) // 2] = np.frombuffer(p, "<u2")
         self.words = np.ascontiguousarray(grid.T)
-        self.range = np.full(len(payloads), 0xFFFFFFFF, np.uint64)
-        self.value = (self.words[0].astype(np.uint64) << np.uint64(16)) | self.words[1]
+        self.range = np.full(len(payloads), 0xFFFFFFFF, np.uint32)
+        self.value = (self.words[0].astype(np.uint32) << np.uint32(16)) | self.words[1]
         self.pos = np.full(len(payloads), 2, np.int64)
 
-    def place(self, lanes, total):
+    def place(self, lanes, total: np.ndarray) -> np.ndarray:
         self.part = self.range[lanes] // total
-        return np.minimum(self.value[lanes] // self.part, total - np.uint64(1))
+        return np.minimum(self.value[lanes] // self.part, total - np.uint32(1))
 
     def take(self, lanes, cum: np.ndarray, freq: np.ndarray) -> None:
         self.value[lanes] -= self.part * cum
@@ -171,10 +188,11 @@ class RangeDecoder:
     def _shrink(self, lanes, size: np.ndarray) -> None:
         thin = np.flatnonzero(size < 0x10000)
         if len(thin):
-            size[thin] <<= np.uint64(16)
-            at = thin if isinstance(lanes, slice) else lanes[thin]
-            self.value[at] = (self.value[at] << np.uint64(16)) | self.words[self.pos[at], at]
-            self.pos[at] += 1
+            size[thin] <<= np.uint32(16)
+            lane = thin if isinstance(lanes, slice) else lanes[thin]
+            at = self.pos[lane]
+            self.value[lane] = (self.value[lane] << np.uint32(16)) | self.words[at, lane]
+            self.pos[lane] = at + 1
         self.range[lanes] = size
 
 
@@ -192,26 +210,26 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, list
     steps = np.ascontiguousarray(grid.reshape(len(lengths), block).T)
     model, coder = Mixer(len(lengths)), RangeEncoder(len(lengths), min(block, len(ids)))
     for step, n in _lane_counts(lengths):
-        now = steps[step, :n].astype(np.int64)
-        counts = model.predict(n).astype(np.uint64)
-        y = now + 1
-        which = np.where(y == model.x2, 0, np.where(y == model.x1, 1, 2))
-        sums = np.cumsum(counts, axis=1)
-        lane = np.arange(n)
-        freq = counts[lane, which]
-        coder.put(slice(0, n), sums[lane, which] - freq, freq, sums[:, 2])
+        if step % 64 == 0:
+            coder.reserve(3 * 64)  # a step gives at most three words
+        now = steps[step, :n]
+        first, second, total = model.predict(n)
+        y = now.astype(np.uint32) + np.uint32(1)
+        hit2 = y == model.x2
+        hit1 = ~hit2 & (y == model.x1)
+        which = 2 - 2 * hit2.astype(np.int8) - hit1
+        cum = np.where(hit2, np.uint32(0), np.where(hit1, first, second))
+        coder.put(slice(0, n), cum, np.where(hit2, first, np.where(hit1, second, total)) - cum, total)
         miss = np.flatnonzero(which == 2)
         if len(miss):
             missed = now[miss]
             cls = CLASS_OF[missed]
-            known = model.freq[miss]
-            sums = np.cumsum(known, axis=1, dtype=np.uint64)
-            at = np.arange(len(miss))
-            freq = known[at, cls].astype(np.uint64)
-            coder.put(miss, sums[at, cls] - freq, freq, sums[:, -1])
-            coder.put_bits(miss, REST_OF[missed].astype(np.uint64), BITS_OF[missed].astype(np.uint64))
-            model.learn_class(miss, cls)
-        model.learn(n, now, which)
+            cum = model.below[miss, cls].astype(np.uint32)
+            all_of = model.below[miss, -1].astype(np.uint32)
+            coder.put(miss, cum, model.below[miss, cls + 1] - cum, all_of)
+            coder.put_bits(miss, REST_OF[missed], BITS_OF[missed])
+            model.learn_class(miss, cls, all_of)
+        model.learn(n, now, which, total)
     return lengths, coder.finish() if len(lengths) else []
 
 
@@ -222,27 +240,27 @@ def decode_blocks(lengths: np.ndarray, payloads: list[bytes]) -> np.ndarray:
     model, coder = Mixer(len(lengths)), RangeDecoder(payloads)
     out = np.zeros((int(lengths[0]), len(lengths)), np.uint16)
     for step, n in _lane_counts(lengths):
-        counts = model.predict(n).astype(np.uint64)
-        sums = np.cumsum(counts, axis=1)
+        first, second, total = model.predict(n)
         every = slice(0, n)
-        at = coder.place(every, sums[:, 2])
-        which = (at >= sums[:, 0]).astype(np.int64) + (at >= sums[:, 1])
-        lane = np.arange(n)
-        freq = counts[lane, which]
-        coder.take(every, sums[lane, which] - freq, freq)
-        now = np.where(which == 0, model.x2, model.x1).astype(np.int64) - 1
+        at = coder.place(every, total)
+        hit2 = at < first
+        hit1 = ~hit2 & (at < second)
+        which = 2 - 2 * hit2.astype(np.int8) - hit1
+        cum = np.where(hit2, np.uint32(0), np.where(hit1, first, second))
+        coder.take(every, cum, np.where(hit2, first, np.where(hit1, second, total)) - cum)
+        now = np.where(hit2, model.x2, model.x1).astype(np.int64) - 1
         miss = np.flatnonzero(which == 2)
         if len(miss):
-            known = model.freq[miss]
-            sums = np.cumsum(known, axis=1, dtype=np.uint64)
-            place = coder.place(miss, sums[:, -1])
-            cls = (sums <= place[:, None]).sum(axis=1)
-            at = np.arange(len(miss))
-            freq = known[at, cls].astype(np.uint64)
-            coder.take(miss, sums[at, cls] - freq, freq)
-            now[miss] = CLASSES[cls] + coder.bits(miss, CLASS_BITS[cls].astype(np.uint64)).astype(np.int64)
-            model.learn_class(miss, cls)
-        model.learn(n, now, which)
+            below = model.below[miss]
+            all_of = below[:, -1].astype(np.uint32)
+            place = coder.place(miss, all_of)
+            cls = (below[:, 1:] <= place.astype(np.uint16)[:, None]).sum(axis=1)
+            lane = np.arange(len(miss))
+            cum = below[lane, cls].astype(np.uint32)
+            coder.take(miss, cum, below[lane, cls + 1] - cum)
+            now[miss] = CLASSES[cls] + coder.bits(miss, CLASS_BITS[cls]).astype(np.int64)
+            model.learn_class(miss, cls, all_of)
+        model.learn(n, now, which, total)
         out[step, :n] = now
     flat = np.ascontiguousarray(out.T)
     return np.concatenate([flat[k, :n] for k, n in enumerate(lengths.tolist())])
