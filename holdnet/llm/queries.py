@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from holdnet.llm import chat, decontamination, lm, packing, quality_rules, secrets, simhash, token_counts, token_files, toxicity
 from holdnet.llm.common import table
+from holdnet.llm.oracles import LEAKS_SQL, QUALITY_SQL
 
 QUERIES = {}
 ORACLE = {}
@@ -21,7 +22,7 @@ def query(key: str, sql: str | None = None):
     return deco
 
 
-@query("op10_quality_rules")
+@query("op10_quality_rules", QUALITY_SQL)
 def op10(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
@@ -32,7 +33,7 @@ def op9(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op8_decontamination")
+@query("op8_decontamination", LEAKS_SQL)
 def op8(spark, sf_dir):
     found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
