@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdnet.llm.common import written
+
 BUDGET = 4096
 HISTORY = 1024
 MARK_TOKENS = 8
@@ -96,7 +98,7 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     """One row per window: ``conv_id, window, formatted, n_repeated, loss`` (array of start, end in code points)."""
     if not 0 < history <= budget - history:
         raise ValueError("history must be at most half of the budget")
-    t = placed(turns, conv, turn, role, text, budget, history)
+    t = written(placed(turns, conv, turn, role, text, budget, history), "turns")  # read three times below
     spans = t.groupBy("conv", "span").agg(F.min("before").alias("at"))
     following = spans.select(F.col("conv").alias("c"), (F.col("span") - 1).alias("s"), F.col("at").alias("next_at"))
     t = t.join(following, F.col("conv").eqNullSafe(F.col("c")) & (F.col("span") == F.col("s")), "left").drop("c", "s")

@@ -376,7 +376,7 @@ def read_files(spark: SparkSession, folder: str, counts: list[int]) -> DataFrame
                     start += len(ids)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder)
-    return files.select("path", "content").repartition(len(counts)).mapInArrow(run, schema)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
