@@ -17,7 +17,7 @@ WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = "[\\x20\\x09-\\x0D]"
 
 #: Arrow batches are cut into slices of about this many text bytes before any Python work.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
