@@ -29,15 +29,15 @@ def _cols(order: Sequence[str | Column]) -> list[Column]:
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                  weights: dict[str, str | Column], blocks: int | None = None) -> DataFrame:
     """Add inclusive running sums ``{out: weight}`` inside each ``keys`` group following ``order``."""
-    spark = df.sparkSession
-    n = blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = list(keys)
     order_cols = _cols(order)
     w_named = {f"_w_{o}": (F.col(w) if isinstance(w, str) else w) for o, w in weights.items()}
     base = df.withColumns(w_named)
     # Block ids come from the range shuffle, whose bounds are sampled: a recomputation (two branches
     # of one plan, or a lost executor) could draw other bounds.  A reliable checkpoint pins them once.
-    ranged = pin(base.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
+    # Without a given number, AQE joins neighbouring ranges by the size of the data.
+    by = [*[F.col(k) for k in keys], *order_cols]
+    ranged = pin((base.repartitionByRange(blocks, *by) if blocks else base.repartitionByRange(*by))
                  .withColumn("_blk", F.spark_partition_id()))
     local_w = (Window.partitionBy("_blk", *keys).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
