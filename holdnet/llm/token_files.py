@@ -39,7 +39,7 @@ from holdnet.llm.lm import save_bytes
 END_ID = 1
 BLOCK = 4096
 #: Ids that a task codes at a time, and text bytes per file aimed at.
-GROUP_IDS = 6_000_000
+GROUP_IDS = 12_000_000
 PART_BYTES = 16 << 20
 MAGIC = b"TOKIDS1\n"
 HEAD = struct.Struct("<QQIQQI")
