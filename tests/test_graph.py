@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import NODE_SCHEMA, rows
 from holdnet.operators import closeness, graph
+from holdnet.plans import graphs
 
 EDGE_SCHEMA = "src string, dst string, anho_mes string, value double, rel_id string"
 
@@ -144,6 +145,29 @@ def test_closeness_of_listed_groups_and_hubs(spark, monkeypatch):
     assert all(abs(r["closeness"] - want[r["grupo"], r["nodo"]]) < 1e-8 for r in got)
 
 
+def test_closeness_in_batches_of_source_words(spark, monkeypatch):
+    monkeypatch.setattr(closeness, "STATE_ROWS", 150)  # less than two words of the largest group
+    monkeypatch.setattr(closeness, "SUMS_HELD", 2)
+    rnd = random.Random(11)
+    data = [(g, f"{g}{rnd.randrange(n)}", f"{g}{rnd.randrange(n)}") for g, n, m in (("a", 140, 300), ("b", 15, 30), ("c", 4, 5)) for _ in range(m)]
+    ge = spark.createDataFrame(data, "grupo string, src string, dst string")
+    got = closeness.group_closeness(ge, spark.createDataFrame([("a",), ("b",), ("c",)], "grupo string")).collect()
+    want = brute_closeness(set(data))
+    assert {(r["grupo"], r["nodo"]) for r in got} == set(want)
+    assert all(abs(r["closeness"] - want[r["grupo"], r["nodo"]]) < 1e-8 for r in got)
+
+
+def test_closeness_query_searches_every_group(spark, monkeypatch):
+    names = "nodo string, grupo string, ind_filial_matriz string"
+    nodes = spark.createDataFrame([("a", "G", "M"), ("b", "G", "F"), ("c", "H", "F"), ("d", None, None)], names)
+    e = spark.createDataFrame([("a", "b", "202001", 1.0, "1"), ("b", "c", "202001", 1.0, "2"), ("c", "d", "202001", 1.0, "3")], EDGE_SCHEMA)
+    monkeypatch.setattr(graphs.fx, "nodos", lambda *_: nodes)
+    monkeypatch.setattr(graphs, "edges", lambda *_: e)
+    got = {(r["grupo"], r["nodo"]): r["closeness"] for r in graphs.q_group_closeness(spark, "").collect()}
+    want = brute_closeness({("G", "a", "b"), ("G", "b", "c"), ("H", "b", "c"), ("H", "c", "d")})
+    assert set(got) == set(want) and all(abs(got[k] - v) < 1e-8 for k, v in want.items())
+
+
 def test_sketched_closeness_is_near(spark):
     rnd = random.Random(3)
     data = [(g, f"{g}{rnd.randrange(n)}", f"{g}{rnd.randrange(n)}") for g, n, m in (("a", 300, 900), ("b", 15, 30)) for _ in range(m)]
