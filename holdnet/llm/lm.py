@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped to score.
+"""Interpolated modified Kneser-Ney model of order 2 or 3: counted in Spark, kept as sorted hash arrays, memory-mapped to score.
 
 Counting.  1. Tasks count their words' 64-bit hashes; shards of the hash range
 merge them into sorted arrays; a word's id is its place in all of them.
@@ -7,6 +7,12 @@ arrays.  A pair's shard depends on the previous word, and for a frequent one
 also on the next, so no word makes a shard large.  Each shard reports, per
 word, how many successors occur once, twice and more, and how many words
 precede it.  3. Those reports are added up per shard of word ids.
+With order 3, triples (pair before, id) are counted between 2. and 3.: a triple's
+shard depends on the pair before, and for a frequent one also on the next word.
+A shard keeps 64-bit hashes of its triples, and per pair before how many
+successors occur once, twice and more; it reports how many different words
+precede a pair.  Those counts take the place of the pairs' own in 3. (pairs
+after the start mark have nothing before them and keep their own).
 Shards grow in number with the text (``SHARD_BYTES`` each), not in size.
 
 The arrays are .npy files in the shared folder.  Scoring tasks memory-map them
@@ -17,8 +23,9 @@ read whole through its file system instead.)
 Tokens: A-Z lower-cased, runs without ASCII white space, then one end.  P(w | v)
 = (c(vw) - D) / c(v) + weight(v) P1(w), where P1 is the same kind of estimate
 from the number of different words before w, interpolated with 1 / (V + 1); the
-three discounts of each level come from its counts of counts.  The first word's
-context is a start mark; an unknown context backs off with weight 1.
+three discounts of each level come from its counts of counts.  With order 3,
+P(w | u v) = (c(uvw) - D) / c(uv) + weight(uv) P(w | v) with c(vw) as above.  The
+first word's context is one start mark; an unknown context backs off with weight 1.
 
 Defined results: null and empty texts are the end alone; a null id is trained
 on; rows that share an id are documents of their own; without training tokens
@@ -44,9 +51,12 @@ from holdnet.llm.common import (LOWER, NOT_WHITE, mix, shared_folder, span_hashe
                                 written)
 
 END = np.uint64(0x0123456789ABCDEF)
+#: Order of the query's model.
+ORDER = 3
 SHARD_BYTES = 16 << 20
 #: Entries that a task merges before it hands them on.
 HELD = 4_000_000
+HELD_TRIPLES = 2_000_000
 _U32 = np.uint64(32)
 
 
@@ -240,8 +250,8 @@ class Words:
         return self._gather(ids, "count", 1, self.docs)[:, 0]
 
     def stats(self, ids: np.ndarray) -> np.ndarray:
-        """Per id: successors seen once, twice, more, and different words before it."""
-        return self._gather(ids, "stats", 4, 0)
+        """Per id: successors seen once, twice, more, different words before it, and the sum of the successors' counts."""
+        return self._gather(ids, "stats", len(KINDS), 0)
 
 
 def _runs(ascending: np.ndarray):
@@ -310,9 +320,35 @@ def pair_shard(keys: np.ndarray, words: Words) -> np.ndarray:
     return (mix(before.astype(np.uint64) * np.uint64(0x9E3779B1) + salt) % np.uint64(1 << words.bits)).astype(np.int64)
 
 
-def count_pairs(docs: DataFrame, words: Words) -> DataFrame:
-    """Writes the pair shards; gives their reports: per word, how many successors occur once, twice or more
-    (``one, two, more``) and how many words precede it (``left``); ``tally`` counts pairs of counts 1 to 4."""
+REPORTS = "shard int, kind string, keys binary, counts binary, tally array<long>"
+
+
+def _reports(words: Words, s: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """Of a shard's pairs, per word, how many successors occur once, twice or more (``one, two, more``), the sum of their
+    counts (``sum``) and how many words precede it (``left``); ``tally`` counts pairs of counts 1 to 4."""
+    before, ids = halves(keys)
+    counts = counts.astype(np.int64)
+    heads, first = np.unique(before, return_index=True)
+    sums = [np.add.reduceat(x, first) for x in ((counts == 1).astype(np.int64), (counts == 2).astype(np.int64),
+                                                (counts > 2).astype(np.int64), counts)]
+    tails, left = np.unique(ids, return_counts=True)
+    rows = []
+    for kind, names, values in zip(KINDS, (heads, heads, heads, tails, heads), (*sums[:3], left, sums[3]), strict=True):
+        names, values = names[values > 0], values[values > 0]
+        to = np.minimum(np.searchsorted(words.offsets, names, "right") - 1, (1 << words.bits) - 1)
+        for target, lo, hi in _runs(to):
+            rows.append((target, kind, packed(names[lo:hi]), planes(values[lo:hi]), None))
+    return _report_table([*rows, (s, None, None, None, [int((counts == k).sum()) for k in range(1, 5)])])
+
+
+def _report_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    names=["shard", "kind", "keys", "counts", "tally"])
+
+
+def count_pairs(docs: DataFrame, words: Words, report: bool = True) -> DataFrame:
+    """Writes the pair shards; gives their reports (without ``report`` only which shards there are)."""
     def run(batches):
         held = _Held()
 
@@ -329,28 +365,151 @@ def count_pairs(docs: DataFrame, words: Words) -> DataFrame:
         s, keys, counts = _merged(t)
         save(words.folder, f"pair-{s}", keys)
         save(words.folder, f"times-{s}", _small(counts))
-        before, ids = halves(keys)
-        tally = [int((counts == k).sum()) for k in range(1, 5)]
-        heads, first = np.unique(before, return_index=True)
-        sums = [np.add.reduceat(x, first) for x in ((counts == 1).astype(np.int64), (counts == 2).astype(np.int64),
-                                                    (counts > 2).astype(np.int64))]
-        tails, left = np.unique(ids, return_counts=True)
-        rows = []
-        for kind, names, values in (("one", heads, sums[0]), ("two", heads, sums[1]), ("more", heads, sums[2]), ("left", tails, left)):
-            names, values = names[values > 0], values[values > 0]
-            to = np.minimum(np.searchsorted(words.offsets, names, "right") - 1, (1 << words.bits) - 1)
-            for target, lo, hi in _runs(to):
-                rows.append((target, kind, packed(names[lo:hi]), planes(values[lo:hi]), None))
-        rows.append((s, None, None, None, tally))
-        cols = list(zip(*rows, strict=True))
-        kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "kind", "keys", "counts", "tally"])
+        return _reports(words, s, keys, counts) if report else _report_table([(s, None, None, None, [0] * 4)])
 
     found = docs.select("text").mapInArrow(run, BLOBS).repartition(1 << words.bits, "shard").groupBy("shard").applyInArrow(
-        merge, "shard int, kind string, keys binary, counts binary, tally array<long>")
+        merge, REPORTS)
     return written(found, "reports")
 
 
+def known_pairs(words: Words, before: np.ndarray, ids: np.ndarray, name: str) -> np.ndarray:
+    """The pair's value in the files ``name``; 0 where an id is unknown (-1) or the pair is."""
+    out = np.zeros(len(ids), np.int64)
+    known = np.flatnonzero((before >= 0) & (ids >= 0))
+    keys, back = np.unique(pair_keys(before[known], ids[known]), return_inverse=True)
+    if len(keys):
+        out[known] = _looked_up(words, keys, pair_shard(keys, words), "pair", name, 1)[back, 0]
+    return out
+
+
+def _looked_up(words: Words, keys: np.ndarray, shard: np.ndarray, names: str, values: str, width: int) -> np.ndarray:
+    """Rows of the files ``values`` at the keys' places in the files ``names`` of their shards; 0 for absent keys."""
+    order = np.argsort(shard, kind="stable")
+    got = np.zeros((len(keys), width), np.int64)
+    for s, lo, hi in _runs(shard[order]):
+        want, there = keys[order[lo:hi]], words.file(names, s)
+        if not len(there):
+            continue
+        at = np.minimum(np.searchsorted(there, want), len(there) - 1)
+        ok = there[at] == want
+        got[order[lo:hi][ok]] = np.asarray(words.file(values, s)[at[ok]]).reshape(-1, width)
+    return got
+
+
+# ---- triples ----------------------------------------------------------------------------------------
+
+def triple_keys(pairs: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """64-bit hash of the pair before and the id."""
+    return mix(mix(pairs) + ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def triple_parts(times: np.ndarray, words: Words) -> np.ndarray:
+    """Parts that the successors of a pair of this training count are dealt to."""
+    return times * (1 << words.bits) // max(1, 2 * words.total) + 1
+
+
+def triple_shard(pairs: np.ndarray, salt: np.ndarray, words: Words) -> np.ndarray:
+    return (mix(mix(pairs) + salt.astype(np.uint64)) % np.uint64(1 << words.bits)).astype(np.int64)
+
+
+def salt_of(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.uint64)) % parts.astype(np.uint64)
+
+
+def second_before(before: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per token the id two places before it (-1 for a row's first token)."""
+    out = np.concatenate([[-1], before[:-1]])
+    out[first[:-1]] = -1
+    return out
+
+
+def _triples_summed(pairs: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, pairs))
+    pairs, ids, counts = pairs[order], ids[order], counts[order]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]) | (ids[1:] != ids[:-1])
+    first = np.flatnonzero(new)
+    return pairs[first], ids[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+TRIPLES = "shard int, pairs binary, ids binary, counts binary"
+
+
+def count_triples(docs: DataFrame, words: Words) -> DataFrame:
+    """Writes the triple shards; gives, per pair shard, how many different words precede a pair (blobs with a null
+    ``tally``) and per triple shard the ``tally`` of triples of counts 1 to 4."""
+    def blobs(parts):
+        pairs, ids, counts = _triples_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        heads, at = np.unique(pairs, return_inverse=True)
+        spread = triple_parts(known_pairs(words, *halves(heads), "times"), words)[at]
+        shard = triple_shard(pairs, salt_of(ids, spread), words)
+        order = np.argsort(shard, kind="stable")
+        pairs, ids, counts, shard = pairs[order], ids[order], counts[order], shard[order]
+        for s, lo, hi in _runs(shard):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s], pa.int32()), pa.array([packed(pairs[lo:hi])], pa.binary()),
+                 pa.array([planes(ids[lo:hi])], pa.binary()), pa.array([planes(counts[lo:hi])], pa.binary())],
+                names=["shard", "pairs", "ids", "counts"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in text_slices(batches):
+            h, first = tokens(b.column("text"))
+            ids, _, before = contexts(words, h, first)
+            second = second_before(before, first)
+            at = np.flatnonzero(second >= 0)
+            held.append((pair_keys(second[at], before[at]), ids[at].astype(np.uint32), np.ones(len(at), np.uint32)))
+            n += len(at)
+            if n >= HELD_TRIPLES:
+                yield from blobs(held)
+                held, n = [], 0
+        if n:
+            yield from blobs(held)
+
+    def merge(t: pa.Table) -> pa.Table:
+        s = t.column("shard")[0].as_py()
+        pairs, ids, counts = _triples_summed(
+            np.concatenate([unpacked(x) for x in t.column("pairs").to_pylist()]),
+            np.concatenate([unplanes(x) for x in t.column("ids").to_pylist()]),
+            np.concatenate([unplanes(x) for x in t.column("counts").to_pylist()]).astype(np.uint64))
+        keys = triple_keys(pairs, ids)
+        order = np.argsort(keys)
+        save(words.folder, f"triple-{s}", keys[order])
+        save(words.folder, f"triple_times-{s}", _small(counts[order]))
+        heads, first = np.unique(pairs, return_index=True)
+        after = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (counts == 1, counts == 2, counts > 2)], axis=1)
+        save(words.folder, f"head-{s}", heads)
+        save(words.folder, f"after-{s}", _small(after.ravel()).reshape(after.shape))
+        tails, left = np.unique(pair_keys(halves(pairs)[1], ids), return_counts=True)
+        to = pair_shard(tails, words)
+        by = np.argsort(to, kind="stable")
+        rows = [(target, "left", packed(tails[by[lo:hi]]), planes(left[by[lo:hi]]), None) for target, lo, hi in _runs(to[by])]
+        return _report_table([*rows, (s, None, None, None, [int((counts == k).sum()) for k in range(1, 5)])])
+
+    found = docs.select("text").mapInArrow(run, TRIPLES).repartition(1 << words.bits, "shard").groupBy("shard").applyInArrow(merge, REPORTS)
+    return written(found, "triples")
+
+
+def count_left(lefts: DataFrame, words: Words) -> DataFrame:
+    """Writes, beside every pair shard, the different words before a pair (its count after the start mark); gives the
+    reports of these counts."""
+    def merge(t: pa.Table) -> pa.Table:
+        s, keys, counts = _merged(t)
+        pairs = np.array(words.file("pair", s))
+        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+        left = np.where(keys[at] == pairs, counts[at], 0)
+        left = np.where(halves(pairs)[0] == words.n, words.file("times", s), left).astype(np.uint64)
+        save(words.folder, f"pair_left-{s}", _small(left))
+        return _reports(words, s, pairs, left)
+
+    none = np.zeros(1, np.uint64)  # every shard has a row, also one whose pairs all follow the start mark
+    every = lefts.sparkSession.createDataFrame(
+        [(s, packed(none), planes(none)) for s in words.there["pair"]], BLOBS)
+    found = (lefts.filter("tally is null").select("shard", "keys", "counts").unionByName(every)
+             .repartition(1 << words.bits, "shard").groupBy("shard").applyInArrow(merge, REPORTS))
+    return written(found, "lefts")
+
+
 def discounts(n: list[int]) -> list[float]:
     """The three discounts of modified Kneser-Ney from the counts of counts 1 to 4, each kept within 0 and its count."""
     if not n[0]:
@@ -367,24 +526,32 @@ class Model:
     word_discounts: list[float]
     left_total: int  # different pairs
     left_classes: list[int]  # words preceded by one, two and more different words
-
-    def pair_counts(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Training count of every pair of known ids; 0 where one is unknown."""
-        out = np.zeros(len(ids), np.int64)
-        known = np.flatnonzero((before >= 0) & (ids >= 0))
-        keys, back = np.unique(pair_keys(before[known], ids[known]), return_inverse=True)
+    triple_discounts: list[float] | None = None  # with order 3
+
+    def after_pairs(self, second: np.ndarray, before: np.ndarray, ids: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probabilities given two words, from ``p``, those given one."""
+        w, p = self.words, p.copy()
+        total = known_pairs(w, second, before, "times")
+        known = np.flatnonzero(total > 0)
+        if not len(known):
+            return p
+        pairs, ids, total = pair_keys(second[known], before[known]), ids[known], total[known]
+        parts = triple_parts(total, w)
+        times = np.zeros(len(known), np.int64)
+        there = np.flatnonzero(ids >= 0)
+        keys, one, back = np.unique(triple_keys(pairs[there], ids[there]), return_index=True, return_inverse=True)
         if len(keys):
-            shard = pair_shard(keys, self.words)
-            order = np.argsort(shard, kind="stable")
-            got = np.zeros(len(keys), np.int64)
-            for s, lo, hi in _runs(shard[order]):
-                want, there = keys[order[lo:hi]], self.words.file("pair", s)
-                if not len(there):
-                    continue
-                at = np.minimum(np.searchsorted(there, want), len(there) - 1)
-                got[order[lo:hi]] = np.where(there[at] == want, self.words.file("times", s)[at], 0)
-            out[known] = got[back]
-        return out
+            at = there[one]
+            shard = triple_shard(pairs[at], salt_of(ids[at], parts[at]), w)
+            times[there] = _looked_up(w, keys, shard, "triple", "triple_times", 1)[back, 0]
+        heads, one, back = np.unique(pairs, return_index=True, return_inverse=True)
+        spread, after = parts[one], np.zeros((len(heads), 3), np.int64)
+        for salt in range(int(spread.max())):  # a frequent pair's successors are in several shards
+            at = np.flatnonzero(spread > salt)
+            after[at] += _looked_up(w, heads[at], triple_shard(heads[at], np.full(len(at), salt), w), "head", "after", 3)
+        cut = np.array([0.0, *self.triple_discounts])[np.minimum(times, 3)]
+        p[known] = (times - cut + (after[back] @ np.array(self.triple_discounts)) * p[known]) / total
+        return p
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Per text: n_tokens, n_known, base_score and score (log10)."""
@@ -398,47 +565,60 @@ class Model:
                "base_score": np.add.reduceat(base, rows) if len(rows) else base, "score": np.zeros(len(rows))}
         if not w.total or not len(rows):
             return out
-        left = w.stats(ids)[:, 3]
+        left = w.stats(ids)[:, KINDS.index("left")]
         cut = np.array([0.0, *self.word_discounts])[np.minimum(left, 3)]
         spread = sum(d * k for d, k in zip(self.word_discounts, self.left_classes, strict=True))
         p = (left - cut + spread / (w.n + 1)) / self.left_total
-        total = w.counts_of(before)
-        times = self.pair_counts(before, ids)
-        after = w.stats(before)[:, :3]
+        times = known_pairs(w, before, ids, "pair_left" if self.triple_discounts else "times")
+        after = w.stats(before)
+        after, total = after[:, :3], after[:, KINDS.index("sum")]
         cut = np.array([0.0, *self.pair_discounts])[np.minimum(times, 3)]
         p = np.where(total > 0, (times - cut + (after @ np.array(self.pair_discounts)) * p) / np.maximum(total, 1), p)
+        if self.triple_discounts:
+            p = self.after_pairs(second_before(before, first), before, ids, p)
         out["score"] = np.add.reduceat(np.log10(p), rows)
         return out
 
 
-def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
+def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Model:
     """Fit on all rows of ``docs`` (column ``text``): counting jobs whose reports, not n-grams, reach the driver."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words = count_words(docs, shared_folder(spark, "lm"), max(0, int(size) // shard_bytes).bit_length())
-    reports = count_pairs(docs, words)
+    reports, triple_discounts = count_pairs(docs, words, order == 2), None
+    shards = [r.shard for r in reports.filter("tally is not null").select("shard").collect()]  # one row per shard
+    words.there |= dict.fromkeys(("pair", "times"), shards)
+    if order == 3:
+        lefts = count_triples(docs, words)
+        found = lefts.filter("tally is not null").select("shard", "tally").collect()  # one row per shard
+        triple_discounts = discounts([sum(r.tally[k] for r in found) for k in range(4)])
+        words.there |= dict.fromkeys(("triple", "triple_times", "head", "after"), [r.shard for r in found])
+        reports = count_left(lefts, words)
+        words.there |= {"pair_left": shards}
     tallies = reports.filter("tally is not null").select("shard", "tally").collect()  # one row per shard
     pair_n = [sum(r.tally[k] for r in tallies) for k in range(4)]
 
     def add_up(t: pa.Table) -> pa.Table:
         s = t.column("shard")[0].as_py()
         last = s == (1 << words.bits) - 1
-        out = np.zeros((words.sizes[s] + last, 4), np.int64)  # the last shard also holds the start mark
+        out = np.zeros((words.sizes[s] + last, len(KINDS)), np.int64)  # the last shard also holds the start mark
         for kind, keys, counts in zip(*(t.column(c).to_pylist() for c in ("kind", "keys", "counts")), strict=True):
             out[unpacked(keys).astype(np.int64) - words.offsets[s], KINDS.index(kind)] += unplanes(counts)
         save(words.folder, f"stats-{s}", _small(out.ravel()).reshape(out.shape))
-        left = out[:, 3]
+        left = out[:, KINDS.index("left")]
         return pa.table({"shard": pa.array([s], pa.int32()), "left": pa.array([[int((left == k).sum()) for k in range(1, 5)] + [int((left > 2).sum()), int(left.sum())]],
                                           pa.list_(pa.int64()))})
 
     sums = (reports.filter("kind is not null").repartition(1 << words.bits, "shard").groupBy("shard")
             .applyInArrow(add_up, "shard int, left array<long>")).collect()  # one row per shard
     left = [sum(r.left[k] for r in sums) for k in range(6)]
-    words.there |= dict.fromkeys(("pair", "times"), [r.shard for r in tallies]) | {"stats": [r.shard for r in sums]}
-    return Model(words, discounts(pair_n), discounts(left[:4]), left[5], [left[0], left[1], left[4]])
+    words.there |= {"stats": [r.shard for r in sums]}
+    return Model(words, discounts(pair_n), discounts(left[:4]), left[5], [left[0], left[1], left[4]], triple_discounts)
 
 
-KINDS = ("one", "two", "more", "left")
+KINDS = ("one", "two", "more", "left", "sum")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -76,7 +76,7 @@ def op5(spark, sf_dir):
 @query("op3_lm_scoring")
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    scored = lm.score(docs, lm.train(docs.filter(~lm.held_out(F.col("doc_id")))))
+    scored = lm.score(docs, lm.train(docs.filter(~lm.held_out(F.col("doc_id"))), order=lm.ORDER))
     return scored.withColumn("held_out", lm.held_out(F.col("doc_id")))
 
 

@@ -84,6 +84,58 @@ def test_scores_match_brute_force(spark, shard_bytes):
         assert sum(brute.p(a, b) for b in seen) == pytest.approx(1.0)
 
 
+class BruteTriples(Brute):
+    def __init__(self, texts):
+        super().__init__(texts)
+        docs = [["<s>", *words_of(t)] for t in texts]
+        self.triple = Counter(x for d in docs for x in zip(d, d[1:], d[2:], strict=False))
+        self.raw, own = dict(self.pair), Counter()
+        for _, a, b in self.triple:
+            own[a, b] += 1
+        self.pair = Counter({p: c if p[0] == "<s>" else own[p] for p, c in self.raw.items()})
+        self.total, self.succ = Counter(), defaultdict(Counter)
+        for (a, _), c in self.pair.items():
+            self.total[a] += c
+            self.succ[a][min(c, 3)] += 1
+        self.dp = self.disc(Counter(self.pair.values()))
+        self.after = defaultdict(Counter)
+        for (a, b, _), c in self.triple.items():
+            self.after[a, b][min(c, 3)] += 1
+        self.dt = self.disc(Counter(self.triple.values()))
+
+    def p3(self, a, b, w):
+        p = self.p(b, w)
+        if self.raw.get((a, b)):
+            c = self.triple[a, b, w]
+            p = (c - self.dt.get(min(c, 3), 0) + sum(self.dt[k] * self.after[a, b][k] for k in (1, 2, 3)) * p) / self.raw[a, b]
+        return p
+
+    def score(self, text):
+        d = ["<s>", *words_of(text)]
+        return *super().score(text)[:3], sum(math.log10(self.p3(d[k - 2], d[k - 1], d[k]) if k > 1 else self.p("<s>", d[1]))
+                                             for k in range(1, len(d)))
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 30, 4000])
+def test_order_three_matches_brute_force(spark, shard_bytes):
+    rows = corpus() + [(1000 + k, "the w1 w2 then w3") for k in range(40)]
+    df = spark.createDataFrame([(d, t, None) for d, t in rows], SCHEMA).repartition(4)
+    model = lm.train(df.filter(~lm.held_out(df.doc_id)), shard_bytes=shard_bytes, order=3)
+    brute = BruteTriples([t for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2])
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(df, model).collect()), key=key)
+    for g, w in zip(got, sorted(((d, *brute.score(t)) for d, t in rows), key=key), strict=True):
+        assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], rel=1e-9)
+    for a, b in (("<s>", "the"), ("the", "the"), ("w1", "w2"), ("never", "seen")):
+        assert sum(brute.p3(a, b, w) for w in [*brute.uni, "never seen"]) == pytest.approx(1.0)
+
+
+def test_order_three_without_triples(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "", None)], SCHEMA)
+    assert [r.score for r in lm.score(df, lm.train(df, order=3)).collect()] == pytest.approx([BruteTriples([None, ""]).score("")[3]] * 2)
+    assert {r.score for r in lm.score(df, lm.train(df.limit(0), order=3)).collect()} == {0.0}
+
+
 def test_no_training_rows(spark):
     df = spark.createDataFrame([(1, "a b", None), (2, None, None)], SCHEMA)
     got = lm.score(df, lm.train(df.limit(0))).collect()
