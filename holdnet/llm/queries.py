@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from holdnet.llm import chat, decontamination, lm, packing, quality_rules, secrets, simhash, token_counts, token_files, toxicity
+from holdnet.llm import (chat, decontamination, lm, packing, piece_codec, quality_rules, secrets, simhash, token_counts, token_files,
+                         toxicity)
 from holdnet.llm.common import table
 from holdnet.llm.oracles import LEAKS_SQL, QUALITY_SQL
 
@@ -83,3 +84,11 @@ def op3(spark, sf_dir):
 @query("op6_token_binary")
 def op6(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op12_sentencepiece")
+def op12(spark, sf_dir):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents"), model), model, keep_ids=True)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), piece_codec.ids_digest().alias("ids_sha256"),
+                       F.sha2(F.col("text"), 256).alias("decoded_sha256"))
