@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from holdnet.llm import (chat, decontamination, lm, packing, piece_codec, quality_rules, secrets, simhash, token_counts, token_files,
-                         toxicity)
+from holdnet.llm import (centroids, chat, decontamination, lm, packing, piece_codec, quality_rules, secrets, simhash,
+                         token_counts, token_files, toxicity)
 from holdnet.llm.common import table
 from holdnet.llm.oracles import LEAKS_SQL, QUALITY_SQL
 
@@ -92,3 +92,8 @@ def op12(spark, sf_dir):
     both = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents"), model), model, keep_ids=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), piece_codec.ids_digest().alias("ids_sha256"),
                        F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+
+
+@query("op13_centroids")
+def op13(spark, sf_dir):
+    return centroids.report(centroids.cluster(centroids.integer_vectors(table(spark, sf_dir, "embeddings"))))
