@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from holdnet.llm import (centroids, chat, decontamination, lm, packing, piece_codec, quality_rules, secrets, simhash,
-                         token_counts, token_files, toxicity)
+                         token_counts, token_files, toxicity, whitening)
 from holdnet.llm.common import table
 from holdnet.llm.oracles import LEAKS_SQL, QUALITY_SQL
 
@@ -97,3 +97,8 @@ def op12(spark, sf_dir):
 @query("op13_centroids")
 def op13(spark, sf_dir):
     return centroids.report(centroids.cluster(centroids.integer_vectors(table(spark, sf_dir, "embeddings"))))
+
+
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    return whitening.report(table(spark, sf_dir, "embeddings"))
