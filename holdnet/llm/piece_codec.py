@@ -39,9 +39,9 @@ from holdnet.llm.common import text_slices
 #: Chunks kept per worker and generation (two generations are kept); longer chunks are not kept.
 CACHE_CHUNKS, CACHE_CHARS = 300_000, 64
 #: Characters merged at a time; a longer chunk is merged on its own.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 #: Ids decoded at a time.
-BATCH_IDS = 1 << 20
+BATCH_IDS = 1 << 18
 SPACE = "▁"
 NEVER = np.int32(2**31 - 1)
 _CHUNK = re.compile(r" +[^ ]*")
