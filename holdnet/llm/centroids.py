@@ -9,7 +9,7 @@ round is two Spark jobs:
    rows to their slice of the centroids; a reduce by row adds the blocks and takes
    the nearest centroid (ties: the smaller number); the assignments are written,
    bucketed like the blocks;
-2. every block joins the assignments in place and adds its components per
+2. the blocks join the assignments in place and each adds its components per
    cluster; its slice of a centroid becomes floor(sum / count), an empty
    cluster keeps its slice.
 
@@ -126,24 +126,6 @@ def _partial(piece: np.ndarray):
     return run
 
 
-def _sums(start: int, width: int, k: int):
-    """Arrow function: rows of a block with their cluster -> per cluster and component the sum, with the count."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, count = np.zeros((k, width), np.int64), np.zeros(k, np.int64)
-        for batch in batches:
-            x = _flat(batch.column("part"), width)
-            cluster = batch.column("cluster").to_numpy(zero_copy_only=False)
-            for j in range(k):
-                total[j] += x[cluster == j].sum(axis=0)
-            count += np.bincount(cluster, minlength=k)
-        j, c = np.nonzero(np.repeat(count[:, None], width, axis=1))
-        if len(j):
-            yield pa.RecordBatch.from_arrays([
-                pa.array(j, pa.int32()), pa.array(c + start, pa.int32()), pa.array(total[j, c], pa.int64()),
-                pa.array(count[j], pa.int64())], names=["cluster", "dim", "total", "n"])
-    return run
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -164,18 +146,17 @@ def _assign(shards: _Shards, centroids: np.ndarray, label: str) -> str:
 
 
 def _update(shards: _Shards, centroids: np.ndarray, assigned: str) -> np.ndarray:
-    """Every block's slice of the centroids: floor of the mean of its cluster's components."""
-    spark, (k, dim) = shards.spark, centroids.shape
-    labels = spark.table(assigned).select("row", "cluster")
-    parts = []
-    for b, s in enumerate(shards.starts):
-        joined = shards.block(b).join(labels, "row").select("part", "cluster")
-        parts.append(joined.mapInArrow(_sums(s, min(shards.width, dim - s), k), "cluster int, dim int, total long, n long"))
-    added = _union(parts).groupBy("cluster", "dim").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    mean = added.select("cluster", "dim", F.expr("(total - pmod(total, n)) div n").alias("mean"))
+    """Every block's slice of the centroids: floor of the mean of its cluster's components, empty clusters as they were."""
+    labels = shards.spark.table(assigned).select("row", "cluster")
+    joined = shards.spark.table(shards.table).join(labels, "row")  # both bucketed by row: nothing moves
+    n = F.count(F.lit(1)).alias("n")
+    sums = joined.groupBy("block", "cluster").agg(n, *[F.sum(F.get("part", F.lit(i))).alias(f"s{i}") for i in range(shards.width)])
+    means = sums.select("block", "cluster", *[F.expr(f"(s{i} - pmod(s{i}, n)) div n").alias(f"s{i}") for i in range(shards.width)])
     new = centroids.copy()
-    for r in mean.collect():  # at most k x dim rows
-        new[r["cluster"], r["dim"]] = r["mean"]
+    for r in means.collect():  # at most k x blocks rows
+        start = shards.starts[r["block"]]
+        size = min(shards.width, new.shape[1] - start)
+        new[r["cluster"], start:start + size] = [r[f"s{i}"] for i in range(size)]
     return new
 
 
