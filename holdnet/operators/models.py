@@ -5,9 +5,9 @@ them: L2 logistic with C = 1 (regParam = 1 / n, no standardisation), a deep
 tree (MLlib caps depth at 30), 500 trees of depth 3 with seed 123 and sqrt
 feature sampling, and a scaled SVM searched over kernel {linear, rbf} x C {1, 10}
 with 5 stratified folds by accuracy, refit, and probabilities by a logistic (Platt)
-fit on the margin.  MLlib has only linear SVMs, so the rbf kernel is approximated
-with random Fourier features (a vectorised pandas UDF).  Every model's own
-prediction is passed on: a tree's majority class, the sign of the SVM's margin.
+fit on the out-of-fold margins.  MLlib has only linear SVMs; ``kernel_svm`` solves
+the dual with exact kernels.  Every model's own prediction is passed on: a tree's
+majority class, the sign of the SVM's margin.
 """
 
 from __future__ import annotations
@@ -18,17 +18,16 @@ from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
-                                       LogisticRegressionModel, RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, LogisticRegressionModel,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StandardScalerModel, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdnet.functions import flag
-from holdnet.operators import evaluate
+from holdnet.operators import evaluate, kernel_svm
 from holdnet.operators.ranks import row_numbers
 from holdnet.session import pin
 
@@ -41,6 +40,8 @@ MODEL_NAMES = ["logistic", "tree", "forest", "svm_grid"]
 FOREST_TREES, FOREST_DEPTH, TREE_SEED, TREE_DEPTH, SVM_SEED = 500, 3, 123, 30, 7
 #: Candidate split points per feature: a tree splits exactly while a feature has no more different values.
 MAX_BINS = 1024
+#: Bytes of features in a partition of a table that is fitted.
+PARTITION_BYTES = 1 << 18
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -77,65 +78,46 @@ def _train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class SvmGridModel:
-    """Scaler + (random Fourier features) + linear SVM chosen by 5-fold accuracy + Platt probabilities."""
-
-    def __init__(self, features, scaler, kernel, w, b, svc, platt, cv_scores):
-        self.features, self.scaler, self.kernel = list(features), scaler, kernel
-        self.w, self.b, self.svc, self.platt, self.cv_scores = w, b, svc, platt, cv_scores
-
-    @staticmethod
-    def rff(df: DataFrame, w: np.ndarray, b: np.ndarray, col: str = "scaled", out: str = "rff") -> DataFrame:
-        """cos(W x + b) * sqrt(2 / D) on the scaled vector, one Arrow batch at a time.
-
-        A D x d matrix product does not fit in generated JVM code as column
-        expressions (D * d terms), so this small numeric map is a vectorised
-        pandas UDF; the projection matrix travels in the closure (D x d doubles).
-        """
-        w_t = np.ascontiguousarray(w.T)
-        b_row = np.asarray(b, dtype=float)
-        scale = math.sqrt(2.0 / w.shape[0])
-
-        @F.pandas_udf("array<double>")
-        def _features(xs: pd.Series) -> pd.Series:
-            if len(xs) == 0:
-                return pd.Series([], dtype=object)
-            x = np.stack(xs.to_numpy())
-            z = np.cos(x @ w_t + b_row) * scale
-            return pd.Series(list(z))
-
-        return df.withColumn(out, array_to_vector(_features(vector_to_array(F.col(col)))))
+    """Scaler + kernel SVM (support vectors, weights, offset) chosen by 5-fold accuracy + Platt probabilities."""
+
+    def __init__(self, features, scaler, factor, kernel, support, bias, platt, cv_scores):
+        self.features, self.scaler, self.factor, self.kernel = list(features), scaler, factor, kernel
+        self.support, self.bias, self.platt, self.cv_scores = support, bias, platt, cv_scores
 
     def _margin_frame(self, df: DataFrame) -> DataFrame:
-        x = self.scaler.transform(_assembler(self.features, "raw").transform(df))
-        if self.kernel == "rbf":
-            x = self.rff(x, self.w, self.b)
-        m = self.svc.transform(x)
-        m = m.withColumn("margin", vector_to_array(F.col("rawPrediction"))[1]).withColumnRenamed("prediction", "_own")
-        return _assembler(["margin"], "margin_vec").transform(m.drop("rawPrediction"))
+        x = _scaled(self.scaler, self.factor, _assembler(self.features, "raw").transform(df))
+        m = kernel_svm.decision(x, "scaled", self.support, self.kernel, self.bias, "margin")
+        return _assembler(["margin"], "margin_vec").transform(m)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.platt.transform(self._margin_frame(df))
-        return out.withColumn("prediction", F.col("_own")).drop("_own", "margin_vec", "raw", "scaled", "rff")
+        """Adds ``margin``, ``probability`` and ``prediction`` (the margin's sign, as the reference's classifier has it)."""
+        out = self.platt.transform(self._margin_frame(df)).drop("prediction", "rawPrediction", "margin_vec", "raw", "scaled")
+        return out.withColumn("prediction", flag(F.col("margin") > 0).cast("double"))
 
     def save(self, path: str) -> None:
         self.scaler.write().overwrite().save(f"{path}/scaler")
-        self.svc.write().overwrite().save(f"{path}/svc")
+        self.support.write.mode("overwrite").parquet(f"{path}/support")
         self.platt.write().overwrite().save(f"{path}/platt")
-        meta = {"features": self.features, "kernel": self.kernel, "w": self.w.tolist(), "b": self.b.tolist(),
-                "cv_scores": self.cv_scores}
-        from pyspark.sql import SparkSession
-        SparkSession.getActiveSession().createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        meta = {"features": self.features, "factor": self.factor, "kernel": self.kernel.name, "gamma": self.kernel.gamma,
+                "bias": self.bias, "cv_scores": self.cv_scores}
+        spark = self.support.sparkSession
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
     def load(cls, path: str) -> SvmGridModel:
         from pyspark.sql import SparkSession
         spark = SparkSession.getActiveSession()
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        return cls(meta["features"], StandardScalerModel.load(f"{path}/scaler"), meta["kernel"],
-                   np.array(meta["w"]), np.array(meta["b"]), LinearSVCModel.load(f"{path}/svc"),
+        return cls(meta["features"], StandardScalerModel.load(f"{path}/scaler"), meta["factor"],
+                   kernel_svm.Kernel(meta["kernel"], meta["gamma"]), spark.read.parquet(f"{path}/support"), meta["bias"],
                    LogisticRegressionModel.load(f"{path}/platt"), meta["cv_scores"])
 
 
+def _scaled(scaler, factor: float, df: DataFrame) -> DataFrame:
+    """``scaled``: array of the inputs in units of their population deviation (MLlib's scaler uses the sample's)."""
+    return scaler.transform(df).withColumn("scaled", F.transform(vector_to_array(F.col("scaled")), lambda v: v * factor))
+
+
 def stratified_folds(df: DataFrame, label: str, folds: int, seed: int) -> DataFrame:
     """``_fold``: within each class, rows in seeded hash order are dealt to the folds in turn."""
     tie = [ID] if ID in df.columns else [c for c in df.columns if c != label]
@@ -145,60 +127,79 @@ def stratified_folds(df: DataFrame, label: str, folds: int, seed: int) -> DataFr
 
 
 def fit_svm_grid(train: DataFrame, features: Sequence[str], label: str = LABEL, folds: int = 5,
-                 cs: Sequence[float] = (1.0, 10.0), seed: int = SVM_SEED, max_iter: int = 100,
-                 parallelism: int | None = None, rff_components: int = 100) -> SvmGridModel:
-    """Grid search over C x kernel {linear, rbf} with ``folds`` stratified folds by accuracy, then refit.
-
-    The kernel is a features column (scaled inputs or their ``rff_components`` random Fourier
-    features, which keep their own scale).  A fit on n rows has regParam 1 / (C n).  All
-    (candidate, fold) fits are independent Spark jobs submitted from a thread
-    pool, so they share the cluster instead of running one fold after another;
-    each fit is a distributed MLlib solve.  Ties go to the first candidate in
-    grid order (C outer, kernel inner).
+                 cs: Sequence[float] = (1.0, 10.0), seed: int = SVM_SEED, tol: float = kernel_svm.TOL) -> SvmGridModel:
+    """Grid search over C x kernel {linear, rbf} with ``folds`` stratified folds by accuracy, refit and cross-fitted Platt.
+
+    All fits (candidates x folds, and every candidate on all rows) are problems of one distributed dual solve
+    (:mod:`kernel_svm`) with exact kernels.  The rbf width is 1 / (features x variance of a fit's scaled rows).  Every row has
+    a score in the fits that left it out, so accuracies need no further pass of predictions, and the probabilities are fitted on
+    the chosen candidate's out-of-fold margins, as margins of a fit's own rows are too sure.  A fold whose training rows have
+    one class has no accuracy.  Ties go to the first candidate in grid order (C outer, kernel inner).
     """
     base = stratified_folds(_assembler(features, "raw").transform(train).select(
         label, "raw", *([ID] if ID in train.columns else [])), label, folds, seed)
+    base = pin(base.select(label, "raw", "_fold"))
     scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(base)
-    d = scaler.mean.size
-    rng = np.random.default_rng(seed)
-    gamma = 1.0 / max(d, 1)  # 'scale' rule on standardised inputs (unit variance)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(rff_components, d))
-    b = rng.uniform(0.0, 2.0 * math.pi, size=rff_components)
-    frame = SvmGridModel.rff(scaler.transform(base), w, b).select(label, "_fold", "scaled", "rff").cache()
-    sizes = {r["_fold"]: r["count"] for r in frame.groupBy("_fold").count().collect()}
-    n = sum(sizes.values())
-    kernels = {"linear": "scaled", "rbf": "rff"}
-    grid = [(c, kernel) for c in cs for kernel in kernels]
-
-    def svc(c: float, kernel: str, rows: int) -> LinearSVC:
-        return LinearSVC(featuresCol=kernels[kernel], labelCol=label, maxIter=max_iter, regParam=1.0 / (c * max(rows, 1)),
-                         standardization=False)
-
-    def fold_accuracy(job):
-        (c, kernel), f = job
-        part = frame.filter(F.col("_fold") != f)
-        if part.select(label).distinct().count() < 2:
-            return None  # nothing to separate
-        m = svc(c, kernel, n - sizes.get(f, 0)).fit(part)
-        held = m.transform(frame.filter(F.col("_fold") == f))
-        return held.agg(F.avg(flag(F.col("prediction") == F.col(label)))).first()[0]
-
-    jobs = [(cand, f) for cand in grid for f in range(folds)]
-    workers = parallelism or max(1, min(len(jobs), train.sparkSession.sparkContext.defaultParallelism))
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        accs = list(pool.map(fold_accuracy, jobs))
+    dim, n = scaler.mean.size, base.count()
+    factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
+    y = F.when(F.col(label) == 1, 1).otherwise(-1)
+    rows = pin(sized(_scaled(scaler, factor, base).select(
+        F.monotonically_increasing_id().alias("row"), y.alias("y"), F.col("_fold").cast("int").alias("fold"), F.col("scaled").alias("x")),
+        n, dim))
+    gammas, mixed = _widths_of_folds(rows, folds, dim)
+    fits = [*range(folds), None]
+    grid = [(c, kernel) for c in cs for kernel in ("linear", "rbf")]
+    problems = [kernel_svm.Problem(kernel_svm.Kernel(kernel, gammas[f] if kernel == "rbf" else 0.0), float(c), f)
+                for c, kernel in grid for f in fits]
+    solved = kernel_svm.solve(rows, problems, dim, tol)
+    margins = F.transform(F.sequence(F.lit(0), F.lit(len(problems) - 1)), lambda p: F.get("score", p) + F.get(
+        F.array(*[F.lit(float(v)) for v in solved.bias]), p))
+    held = solved.state.select("y", "fold", margins.alias("m"))
+
+    def own(i: int):  # the margin that candidate i's fit without the row's fold gives it
+        return F.get("m", F.col("fold") + i * len(fits))
+
+    rights = held.groupBy("fold").agg(*[F.avg(flag((own(i) > 0) == (F.col("y") > 0))).alias(f"a{i}") for i in range(len(grid))]).collect()
     scores = {}
     for i, (c, kernel) in enumerate(grid):
-        vals = [a for a in accs[i * folds:(i + 1) * folds] if a is not None]
-        scores[f"{kernel}_C{c:g}"] = float(sum(vals) / len(vals)) if vals else float("nan")
+        known = [r[f"a{i}"] for r in rights if mixed[r["fold"]]]
+        scores[f"{kernel}_C{c:g}"] = float(sum(known) / len(known)) if known else float("nan")
     best = max(range(len(grid)), key=lambda i: (scores[f"{grid[i][1]}_C{grid[i][0]:g}"], -i))
-    c, kernel = grid[best]
-    svc_model = svc(c, kernel, n).fit(frame)
-    model = SvmGridModel(features, scaler, kernel, w, b, svc_model, None, scores)
-    platt_in = model._margin_frame(train.select(label, *features))
-    model.platt = LogisticRegression(featuresCol="margin_vec", labelCol=label, regParam=0.0).fit(platt_in)
-    frame.unpersist()
-    return model
+    chosen = best * len(fits) + folds
+    support = kernel_svm.support_table(solved, chosen)
+    platt = _platt(held.select(flag(F.col("y") > 0).alias(label), own(best).alias("margin")), label)
+    return SvmGridModel(features, scaler, factor, problems[chosen].kernel, support, solved.bias[chosen], platt, scores)
+
+
+def _widths_of_folds(rows: DataFrame, folds: int, dim: int) -> tuple[dict, dict]:
+    """Per left-out fold (None: none) the rbf width 1 / (dim x variance of all entries of the rest), and whether the rest has both classes."""
+    x = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    xx = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+    parts = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(xx).alias("xx"),
+                                     F.sum(flag(F.col("y") > 0)).alias("pos")).collect()
+    gammas, mixed = {}, {}
+    for f in [*range(folds), None]:
+        rest = [r for r in parts if r["fold"] != f]
+        n, pos = sum(r["n"] for r in rest), sum(r["pos"] for r in rest)
+        entries = max(n * dim, 1)
+        mean = sum(r["x"] for r in rest) / entries
+        variance = sum(r["xx"] for r in rest) / entries - mean * mean
+        gammas[f], mixed[f] = 1.0 / (max(dim, 1) * variance) if variance > 1e-15 else 1.0, 0 < pos < n
+    return gammas, mixed
+
+
+def _platt(margins: DataFrame, label: str) -> LogisticRegressionModel:
+    """Logistic fit on margins with Platt's targets: (n1 + 1) / (n1 + 2) for class 1, 1 / (n0 + 2) for class 0."""
+    n1, n0 = margins.agg(F.sum(flag(F.col(label) == 1)), F.sum(flag(F.col(label) == 0))).first()
+    target = F.when(F.col(label) == 1, ((n1 or 0) + 1.0) / ((n1 or 0) + 2.0)).otherwise(1.0 / ((n0 or 0) + 2.0))
+    sides = F.explode(F.array(F.struct(F.lit(1.0).alias(label), target.alias("w")), F.struct(F.lit(0.0).alias(label), (1 - target).alias("w"))))
+    weighted = _assembler(["margin"], "margin_vec").transform(margins.select("margin", sides.alias("s")).select("margin", "s.*"))
+    return LogisticRegression(featuresCol="margin_vec", labelCol=label, weightCol="w", regParam=0.0).fit(weighted)
+
+
+def sized(df: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Few enough partitions for the table's size: iterative fits run a job over all of them again and again."""
+    return df.repartition(rows * columns * 8 // PARTITION_BYTES + 1)
 
 
 def build(name: str, n_train: int, features: Sequence[str], label: str = LABEL, max_bins: int = MAX_BINS):

@@ -7,7 +7,24 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from holdnet.operators import evaluate, models
+from holdnet.operators import evaluate, kernel_svm, models
+
+
+def dense(kernel, x, y, c, to, tol=1e-9):
+    """Margins of a dense dual solution for the rows ``to``, and the multipliers: plain pairwise steps until nothing violates."""
+    k, a = kernel(x, x), np.zeros(len(y))
+    for _ in range(200_000):
+        error = y - k @ (a * y)
+        up, low = np.where(y > 0, a < c, a > 0), np.where(y > 0, a > 0, a < c)
+        i, j = np.where(up, error, -np.inf).argmax(), np.where(low, error, np.inf).argmin()
+        if error[i] - error[j] < tol:
+            break
+        t = min((error[i] - error[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12),
+                c - a[i] if y[i] > 0 else a[i], a[j] if y[j] > 0 else c - a[j])
+        a[i], a[j] = np.clip(a[i] + y[i] * t, 0, c), np.clip(a[j] - y[j] * t, 0, c)
+    free = (a > 1e-9) & (a < c - 1e-9)
+    bias = error[free].mean() if free.any() else (error[i] + error[j]) / 2
+    return kernel(to, x) @ (a * y) + bias, a
 
 
 def separable(spark, n=240, seed=4):
@@ -31,10 +48,10 @@ def test_models_learn_a_separable_target(spark):
         assert auc > 0.9, (name, auc)
 
 
-def test_svm_grid_rbf_features_and_probabilities(spark):
+def test_svm_grid_candidates_and_probabilities(spark):
     df = separable(spark).cache()
     train = df.filter(F.col("conjunto") == "train")
-    model = models.fit_svm_grid(train.coalesce(1), ["x1", "x2"], folds=2, max_iter=10)
+    model = models.fit_svm_grid(train.coalesce(1), ["x1", "x2"], folds=2)
     assert set(model.cv_scores) == {"linear_C1", "linear_C10", "rbf_C1", "rbf_C10"}
     preds = models.predict("svm_grid", model, df.filter(F.col("conjunto") == "test"))
     assert evaluate.roc_auc(preds).first()["auc"] > 0.9
@@ -89,7 +106,7 @@ def test_own_prediction_is_passed_on(spark):
     assert {(r["score"], r["prediction"]) for r in preds} == {(0.5, 0)}
 
 
-@pytest.mark.parametrize("name", ["logistic", "tree", "forest"])
+@pytest.mark.parametrize("name", ["logistic", "tree", "forest", "svm_grid"])
 def test_one_class_of_training_rows(spark, name, monkeypatch):
     monkeypatch.setattr(models, "FOREST_TREES", 5)
     df = separable(spark).filter("matriz_filia_binaria = 0")
@@ -104,17 +121,47 @@ def test_stratified_folds(spark):
         assert sorted(r["count"] for r in per if r["matriz_filia_binaria"] == y) == [n // 5] * 5
 
 
-def test_rbf_fit_keeps_feature_scale_and_svm_prediction_is_the_margin_sign(spark):
+def test_svm_prediction_is_the_margin_sign(spark):
     train = separable(spark).filter("conjunto = 'train'").cache()
-    model = models.fit_svm_grid(train.coalesce(1), ["x1", "x2"], folds=2, cs=(1.0,), max_iter=5, rff_components=30)
-    assert model.svc.getStandardization() is False and model.w.shape == (30, 2)
+    model = models.fit_svm_grid(train.coalesce(1), ["x1", "x2"], folds=2, cs=(1.0,))
     out = model.transform(train).select("margin", "prediction").collect()
     assert all((r["margin"] > 0) == (r["prediction"] == 1.0) for r in out)
 
 
+def test_grid_accuracies_are_those_of_separate_fits(spark):
+    """Every (candidate, fold) fit solved on its own by a dense solver on the driver."""
+    train = separable(spark, n=100, seed=9).filter("conjunto = 'train'").cache()
+    model = models.fit_svm_grid(train, ["x1", "x2"], folds=2)
+    rows = models.stratified_folds(train, models.LABEL, 2, models.SVM_SEED).select("x1", "x2", "_fold", models.LABEL).collect()
+    x, fold = np.array([[r["x1"], r["x2"]] for r in rows]), np.array([r["_fold"] for r in rows])
+    x, y = (x - x.mean(axis=0)) / x.std(axis=0), np.array([1 if r[models.LABEL] else -1 for r in rows])
+    for c in (1.0, 10.0):
+        for name in ("linear", "rbf"):
+            rights = []
+            for f in range(2):
+                a, b = x[fold != f], x[fold == f]
+                kernel = kernel_svm.Kernel(name, 1 / (2 * a.var()))
+                margin, _ = dense(kernel, a, y[fold != f], c, b)
+                rights.append(np.mean((margin > 0) == (y[fold == f] > 0)))
+            assert math.isclose(model.cv_scores[f"{name}_C{c:g}"], np.mean(rights), abs_tol=1e-12)
+
+
+def test_probabilities_on_noise_are_no_worse_than_the_constant(spark):
+    rnd = random.Random(8)
+    data = [(f"n{k}", "G", "train" if k < 300 else "test", *[rnd.gauss(0, 1) for _ in range(6)], int(rnd.random() < 0.3)) for k in range(900)]
+    df = spark.createDataFrame(data, "nodo string, grupo string, conjunto string, " + ", ".join(f"x{k} double" for k in range(6)) +
+                               ", matriz_filia_binaria int")
+    model = models.fit_svm_grid(df.filter("conjunto = 'train'"), [f"x{k}" for k in range(6)], cs=(10.0,))
+    held = models.predict("svm_grid", model, df.filter("conjunto = 'test'")).collect()
+    loss = -np.mean([math.log(r["score"] if r["label"] else 1 - r["score"]) for r in held])
+    base = np.mean([r[-1] for r in data if r[2] == "train"])
+    constant = -np.mean([math.log(base if r["label"] else 1 - base) for r in held])
+    assert loss < constant + 0.02
+
+
 def test_saved_models_predict_the_same(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(models, "FOREST_TREES", 5)
-    quick = functools.partial(models.fit_svm_grid, folds=2, cs=(1.0,), max_iter=3, rff_components=10)
+    quick = functools.partial(models.fit_svm_grid, folds=2, cs=(1.0,))
     monkeypatch.setattr(models, "fit_svm_grid", quick)
     df = separable(spark, n=100).coalesce(1).cache()
     kept = {(r["modelo"], r["nodo"]): (r["score"], r["prediction"]) for r in models.save_models(df, str(tmp_path / "m")).collect()}
