@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdnet.functions import flag
@@ -13,15 +18,21 @@ from holdnet.operators.ranks import row_numbers, running_sums
 
 #: Sums of products of counts stay exact far beyond 64 bits.
 WIDE = "decimal(38,0)"
+#: The exact law of U is used if a sample has at most so many values.
+SMALL = 8
+#: Rounds and modulus of the keyed permutations; draws made in one task.
+ROUNDS, PRIME, DRAWS_PER_TASK = 8, 2**31 - 1, 1 << 20
 
 
 def mann_whitney(samples: DataFrame, alpha: float = 0.05, digits: int = 10) -> DataFrame:
-    """Two-sided Mann-Whitney U with tie correction and continuity correction (normal approximation).
+    """Two-sided Mann-Whitney U test.
 
     Values are counted per distinct value, average ranks come from exact
     running sums over the distinct values, and U1 is computed in integers
-    (2 * R1 is an integer), in 38 digits.  The p-value is the complementary error
-    function of the one result row.  One output row.
+    (2 * R1 is an integer), in 38 digits.  The p-value of the one result row is exact (:func:`u_at_most`) if a sample has
+    at most ``SMALL`` values and no two values are equal, as the reference's test has it; else that of the normal
+    approximation with tie and continuity correction (complementary error function).  ``z`` is
+    the approximation's in either case.  One output row.
     """
     counts = samples.filter(F.col("value").isNotNull()).groupBy("value").agg(
         F.count(F.lit(1)).alias("c"), F.sum(flag(F.col("sample") == 1)).cast("long").alias("c1"))
@@ -45,39 +56,118 @@ def mann_whitney_counts(counts: DataFrame, alpha: float = 0.05, digits: int = 10
     sigma = F.sqrt(F.col("n1").cast("double") * F.col("n2").cast("double") / 12
                    * ((F.col("_n") + 1) - F.try_divide(F.col("_t"), F.col("_n") * (F.col("_n") - 1))))
     z = F.try_divide(F.abs(F.col("u1") - mu) - 0.5, sigma)
-    two_sided = F.udf(lambda z: None if z is None else min(1.0, math.erfc(z / math.sqrt(2.0))), "double")  # one row
-    out = u.withColumn("z", z).withColumn("p_value", two_sided("z"))
+    tied = F.col("_t") > 0
+    p_value = F.udf(lambda *row: two_sided_p(*row), "double")  # one row
+    out = u.withColumn("z", z).withColumn("p_value", p_value("u1", "n1", "n2", "z", tied))
     return out.select(
         "u1", "n1", "n2", F.round("z", digits).alias("z"), F.round("p_value", digits).alias("p_value"),
         F.when(F.col("p_value") > alpha, "same_distribution").otherwise("different_distribution").alias("verdict"))
 
 
+@functools.cache
+def _parts_series(m: int) -> tuple[int, list[int]]:
+    """(L, N) with 1 / ((1 - q)(1 - q)(1 - q^2)...(1 - q^m)) = N(q) / (1 - q^L)^(m + 1); L: least common multiple of 1 to m."""
+    period = math.lcm(*range(1, m + 1))
+    series = [1]
+    for i in [1, *range(1, m + 1)]:  # times 1 + q^i + q^2i + ... + q^(L - i)
+        grown = [0] * (len(series) + period - i)
+        for v, c in enumerate(series):
+            if c:
+                for t in range(v, v + period, i):
+                    grown[t] += c
+        series = grown
+    return period, series
+
+
+def _partitions(v: int, m: int) -> int:
+    """Partitions of all numbers up to ``v`` into parts of 1 to ``m``."""
+    if v < 0:
+        return 0
+    period, series = _parts_series(m)
+    t, r = divmod(v, period)
+    return sum(series[r + s * period] * math.comb(t - s + m, m) for s in range(m + 1) if r + s * period < len(series) and t >= s)
+
+
+def u_at_most(u: int, n1: int, n2: int) -> int:
+    """Of the orders of n1 and n2 different values, how many have U1 <= u; exact, and as quick for any n2.
+
+    The numbers of orders per U are the coefficients of the product over i = 1..n1 of (1 - q^(n2 + i)) / (1 - q^i).  Its
+    2^n1 numerator terms shift the series of the denominator, whose coefficients are a polynomial in v for every v mod lcm(1..n1).
+    """
+    m, other = min(n1, n2), max(n1, n2)
+    total = 0
+    for chosen in range(1 << m):
+        parts = [i for i in range(1, m + 1) if chosen >> (i - 1) & 1]
+        total += (-1) ** len(parts) * _partitions(u - sum(parts) - len(parts) * other, m)
+    return total
+
+
+def two_sided_p(u1: float | None, n1: int | None, n2: int | None, z: float | None, tied: bool | None) -> float | None:
+    """Two-sided p-value of one test; None if a sample is empty or all values are equal."""
+    if n1 and n2 and min(n1, n2) <= SMALL and not tied:
+        least = int(min(u1, n1 * n2 - u1))
+        return min(1.0, float(Fraction(2 * u_at_most(least, n1, n2), math.comb(n1 + n2, n1))))
+    return None if z is None else min(1.0, math.erfc(z / math.sqrt(2.0)))
+
+
 def _median_expr(lo: str, hi: str) -> Column:
     return (F.col(lo) + F.col(hi)) / 2
 
 
-def affine_draws(n: int, n_iter: int, seed: int) -> list[tuple[int, int, int]]:
-    """(it, a, b) with a coprime to n: draw k of permutation ``it`` is place (a k + b) mod n of the hashed base order.
+def round_keys(seed: int, it: int) -> list[tuple[int, int, int]]:
+    """Three 28-bit numbers for every round of permutation ``it``, from md5('<seed>:<it>:<round>')."""
+    out = []
+    for r in range(ROUNDS):
+        key = hashlib.md5(f"{seed}:{it}:{r}".encode()).hexdigest()
+        out.append((int(key[:7], 16), int(key[7:14], 16), int(key[14:21], 16)))
+    return out
+
+
+def shuffled(places: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """Where a keyed permutation of 0..n-1 puts every place; ``keys``: places x rounds x 3 (see :func:`round_keys`).
 
-    a and b come from the halves of md5('<seed>:<it>'); a is the next number that shares no factor with n.
+    A place is a pair (left, right) of the smallest near-square grid of n cells; the rounds in turn shift one half by a
+    keyed function of the other, which is a bijection of the grid.  A place that leaves 0..n-1 goes through the
+    rounds again until it is back inside, so 0..n-1 is permuted.
     """
-    out = []
-    for it in range(1, n_iter + 1):
-        key = hashlib.md5(f"{seed}:{it}".encode()).hexdigest()
-        a, b = int(key[:8], 16) % n + 1, int(key[8:16], 16) % n
-        while math.gcd(a, n) != 1:
-            a += 1
-        out.append((it, a, b))
+    high = math.isqrt(n - 1) + 1
+    wide = -(-n // high)
+    out, todo = places.astype(np.int64), np.arange(len(places))
+    while len(todo):
+        left, right = np.divmod(out[todo], wide)
+        for r in range(ROUNDS):
+            k = keys[todo, r]
+            t = ((right if r % 2 == 0 else left) * k[:, 0] + k[:, 1]) % PRIME
+            t = (t * t + k[:, 2]) % PRIME
+            if r % 2 == 0:
+                left = (left + t) % high
+            else:
+                right = (right + t) % wide
+        out[todo] = left * wide + right
+        todo = todo[out[todo] >= n]
     return out
 
 
+def relabellings(spark: SparkSession, n: int, m: int, n_iter: int, seed: int) -> DataFrame:
+    """``(it, g)``: for every permutation ``it`` = 1..n_iter the m of the places 0..n-1 that it gives to the first m."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            it, k = np.divmod(b.column("id").to_numpy(), m)
+            own, at = np.unique(it, return_inverse=True)
+            keys = np.array([round_keys(seed, int(i) + 1) for i in own], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(it + 1), pa.array(shuffled(k, keys[at], n))], names=["it", "g"])
+
+    rows = n_iter * m
+    parts = max(1, min(rows // DRAWS_PER_TASK + 1, 100_000))
+    return spark.range(0, rows, 1, parts).mapInArrow(run, "it long, g long")
+
+
 def permutation_differences(samples: DataFrame, n_iter: int = 10000, seed: int = 0) -> DataFrame:
     """``(it, diff)``: median(sample 1) - median(sample 2) of every random relabelling.
 
-    Rows get a base order by md5('<seed>:<row_id>').  Permutation ``it`` takes the
-    m rows (m: the smaller sample) at places (a k + b) mod n of it, k < m, with its
-    own a and b (see :func:`affine_draws`): different places for different k, so no
-    sorting or hashing of all n rows per permutation; n_iter * m rows are made.
+    Permutation ``it`` gives the smaller sample's label to m places of the global value order (value, row_id), through a keyed
+    bijection of the places (:func:`shuffled`) of its own: any set of m rows can come up.  n_iter * m rows are
+    made from a range; no row is joined, hashed or sorted per permutation but these.
     The larger sample's median is read from the global value order: its k-th
     value sits at position k + #{selected i : g_i - i <= k}, where g_i is the
     global position of the i-th selected row.  Medians are (a + b) / 2 of the
@@ -89,29 +179,21 @@ def permutation_differences(samples: DataFrame, n_iter: int = 10000, seed: int =
     if n1 == 0 or n2 == 0:
         raise ValueError("both samples need values")
     m = min(n1, n2)
-    spark = samples.sparkSession
-    vals = row_numbers(samples.select("value", "row_id"), [], ["value", "row_id"], out="g").withColumn("g", F.col("g") - 1)
-    placed = row_numbers(vals.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id")))), [], ["_h", "row_id"],
-                         out="place").select((F.col("place") - 1).alias("place"), "g", "value")
-    draws = spark.createDataFrame(affine_draws(n, n_iter, seed), "it long, a long, b long")
-    # n_iter * m rows: one task per permutation at most, so their number does not depend on the sample's size
-    parts = min(n_iter, 8 * spark.sparkContext.defaultParallelism)
-    picked = draws.repartition(parts, "it").select("it", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("k"))
-    place = ((F.col("a").cast(WIDE) * F.col("k") + F.col("b")) % n).cast("long")
-    chosen = picked.select("it", place.alias("place")).join(placed, "place").select("it", "g", "value")
-    chosen = row_numbers(chosen, ["it"], ["g"], out="i").withColumn("i", F.col("i") - 1)
+    vals = row_numbers(samples.select("value", "row_id"), [], ["value", "row_id"], out="g").select(
+        (F.col("g") - 1).alias("g"), "value")
+    chosen = row_numbers(relabellings(samples.sparkSession, n, m, n_iter, seed), ["it"], ["g"], out="i").withColumn("i", F.col("i") - 1)
     # median of the selected set: positions (m-1)//2 and m//2 in its own order; of the rest: its k-th values,
     # k = (r-1)//2 and r//2 with r = n - m
     a, b = (m - 1) // 2, m // 2
     k1, k2 = (n - m - 1) // 2, (n - m) // 2
     t = F.col("g") - F.col("i")
     per_it = chosen.groupBy("it").agg(
-        F.max(F.when(F.col("i") == a, F.col("value"))).alias("_a"), F.max(F.when(F.col("i") == b, F.col("value"))).alias("_b"),
-        (F.lit(k1) + F.sum(flag(t <= k1))).alias("p1"), (F.lit(k2) + F.sum(flag(t <= k2))).alias("p2"))
-    v1 = vals.select(F.col("g").alias("p1"), F.col("value").alias("_c"))
-    v2 = vals.select(F.col("g").alias("p2"), F.col("value").alias("_d"))
+        F.max(F.when(F.col("i") == a, F.col("g"))).alias("a"), F.max(F.when(F.col("i") == b, F.col("g"))).alias("b"),
+        (F.lit(k1) + F.sum(flag(t <= k1))).alias("c"), (F.lit(k2) + F.sum(flag(t <= k2))).alias("d"))
+    for place in "abcd":  # one value per permutation each
+        per_it = per_it.join(vals.select(F.col("g").alias(place), F.col("value").alias(f"_{place}")), place)
     rest, own = _median_expr("_c", "_d"), _median_expr("_a", "_b")
-    return per_it.join(v1, "p1").join(v2, "p2").select("it", ((own - rest) if n1 <= n2 else (rest - own)).alias("diff"))
+    return per_it.select("it", ((own - rest) if n1 <= n2 else (rest - own)).alias("diff"))
 
 
 def permutation_median(samples: DataFrame, n_iter: int = 10000, seed: int = 0) -> DataFrame:

@@ -44,18 +44,33 @@ def q_mann_whitney(spark, sf_dir):
     return hypothesis.mann_whitney(fx.samples(fx.nodos(spark, sf_dir)))
 
 
+KEY_NAMES = [f"k{r}{j}" for r in range(hypothesis.ROUNDS) for j in range(3)]
+KEYS_SQL = ", ".join(f"CAST('0x' || substr(md5(concat('{SEED}:', CAST(range AS VARCHAR), ':{r}')), {1 + 7 * j}, 7) AS BIGINT) AS k{r}{j}"
+                     for r in range(hypothesis.ROUNDS) for j in range(3))
+
+
+def _rounds_sql() -> str:
+    """The rounds of the keyed permutation as nested selects over the places that are not settled yet."""
+    sql = "(SELECT *, place // wide AS hi, place % wide AS lo FROM walk WHERE tries = 0 OR place >= n)"
+    for r in range(hypothesis.ROUNDS):
+        of, to, by = ("lo", "hi", "high") if r % 2 == 0 else ("hi", "lo", "wide")
+        t = f"(({of} * k{r}0 + k{r}1) % {hypothesis.PRIME})"
+        sql = f"(SELECT * REPLACE (({to} + ({t} * {t} + k{r}2) % {hypothesis.PRIME}) % {by} AS {to}) FROM {sql} r{r})"
+    return sql
+
+
+ROUNDS_SQL = _rounds_sql()
 PERM_SQL = [SAMPLES_SQL, ("size", "SELECT count(*) AS n, least(sum(CASE WHEN sample = 1 THEN 1 ELSE 0 END), "
              "sum(CASE WHEN sample = 2 THEN 1 ELSE 0 END)) AS m FROM smp"),
             ("its", f"""
-SELECT it, (SELECT min(a0 + j) FROM (SELECT range AS j FROM range(0, 1000)) q WHERE gcd(a0 + j, n) = 1) AS a, b, n, m FROM (
-  SELECT range AS it, n, m, CAST('0x' || substr(md5(concat('{SEED}:', CAST(range AS VARCHAR))), 1, 8) AS BIGINT) % n + 1 AS a0,
-         CAST('0x' || substr(md5(concat('{SEED}:', CAST(range AS VARCHAR))), 9, 8) AS BIGINT) % n AS b
-  FROM range(1, {N_ITER + 1}), size) r"""),
-            ("base", f"""
-SELECT value, row_id, sample, ROW_NUMBER() OVER (ORDER BY md5(concat('{SEED}:', row_id)), row_id) - 1 AS place FROM smp"""),
-            ("picked", """
-SELECT it, CAST((CAST(a AS HUGEINT) * k + b) % n AS BIGINT) AS place FROM its, (SELECT range AS k FROM range(0, 1000000)) ks
-WHERE k < m"""),
+SELECT range AS it, n, CAST(m AS BIGINT) AS m, high, CAST(ceil(n / CAST(high AS DOUBLE)) AS BIGINT) AS wide, {KEYS_SQL}
+FROM range(1, {N_ITER + 1}), (SELECT n, m, CAST(ceil(sqrt(n)) AS BIGINT) AS high FROM size) s"""),
+            ("walk", f"""
+SELECT it, range AS k, range AS place, 0 AS tries, its.* EXCLUDE (it) FROM its, LATERAL (SELECT range FROM range(0, (SELECT max(m) FROM its))) ks
+UNION ALL SELECT it, k, hi * wide + lo, tries + 1, n, m, high, wide, {', '.join(KEY_NAMES)} FROM {ROUNDS_SQL} t"""),
+            ("base", """
+SELECT value, row_id, sample, ROW_NUMBER() OVER (ORDER BY value, row_id) - 1 AS place FROM smp"""),
+            ("picked", "SELECT it, place FROM walk WHERE tries > 0 AND place < n"),
             ("perm", """
 SELECT i.it, s.value, s.row_id, CASE WHEN p.place IS NULL THEN 0 ELSE 1 END AS chosen
 FROM its i CROSS JOIN base s LEFT JOIN picked p ON p.it = i.it AND p.place = s.place"""),

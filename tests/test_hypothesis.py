@@ -1,4 +1,6 @@
-import hashlib
+import collections
+import functools
+import itertools
 import math
 import random
 import statistics
@@ -35,20 +37,98 @@ def test_mann_whitney_matches_brute_force(spark):
     assert abs(full["p_value"] - math.erfc(z / math.sqrt(2))) < 1e-12
 
 
+def brute_shuffle(place, keys, n):
+    """The keyed permutation in plain Python."""
+    high = math.ceil(math.sqrt(n))
+    wide = math.ceil(n / high)
+    while True:
+        left, right = divmod(place, wide)
+        for r, (a, b, c) in enumerate(keys):
+            t = (((right, left)[r % 2] * a + b) % (2**31 - 1)) ** 2 + c
+            if r % 2 == 0:
+                left = (left + t % (2**31 - 1)) % high
+            else:
+                right = (right + t % (2**31 - 1)) % wide
+        place = left * wide + right
+        if place < n:
+            return place
+
+
 def brute_differences(data, n_iter, seed):
     n, n1 = len(data), sum(1 for s, _, _ in data if s == 1)
     m = min(n1, n - n1)
-    base = sorted(data, key=lambda r: (hashlib.md5(f"{seed}:{r[2]}".encode()).hexdigest(), r[2]))
+    base = sorted(v for _, v, _ in data)
     out = {}
-    for it, a, b in hypothesis.affine_draws(n, n_iter, seed):
-        chosen = {(a * k + b) % n for k in range(m)}
+    for it in range(1, n_iter + 1):
+        keys = hypothesis.round_keys(seed, it)
+        chosen = {brute_shuffle(k, keys, n) for k in range(m)}
         assert len(chosen) == m
-        own = statistics.median([base[p][1] for p in chosen])
-        rest = statistics.median([base[p][1] for p in range(n) if p not in chosen])
+        own = statistics.median([base[p] for p in chosen])
+        rest = statistics.median([base[p] for p in range(n) if p not in chosen])
         out[it] = own - rest if n1 <= n - n1 else rest - own
     return out
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 12, 20, 101, 1600])
+def test_keyed_shuffle_is_a_permutation(n):
+    for it in range(30):
+        keys = np.array([hypothesis.round_keys(4, it)] * n, np.int64)
+        assert sorted(hypothesis.shuffled(np.arange(n), keys, n).tolist()) == list(range(n))
+
+
+@pytest.mark.parametrize("n,m", [(5, 2), (6, 3), (7, 3), (8, 4), (9, 2), (12, 2)])
+def test_all_sets_of_a_small_sample_come_up_evenly(n, m):
+    """Chi-square of the drawn sets against equal shares, at six deviations above its mean."""
+    draws = 20_000
+    keys = np.array([hypothesis.round_keys(1, it) for it in range(draws)], np.int64)
+    places = np.stack([hypothesis.shuffled(np.full(draws, k), keys, n) for k in range(m)], axis=1)
+    sets = collections.Counter(map(frozenset, places.tolist()))
+    cells = math.comb(n, m)
+    assert len(sets) == cells
+    chi = sum((c - draws / cells) ** 2 for c in sets.values()) * cells / draws
+    assert chi < cells - 1 + 6 * math.sqrt(2 * (cells - 1))
+    firsts = collections.Counter(places[:, 0].tolist())  # single places too
+    assert max(abs(c - draws / n) for c in firsts.values()) < 6 * math.sqrt(draws / n)
+
+
+def u_counts(n1, n2):
+    """Orders per value of U by the counting recursion."""
+    @functools.cache
+    def count(a, b, u):
+        if u < 0:
+            return 0
+        if a == 0 or b == 0:
+            return int(u == 0)
+        return count(a - 1, b, u - b) + count(a, b - 1, u)
+    return [count(n1, n2, u) for u in range(n1 * n2 + 1)]
+
+
+def test_exact_law_of_u_for_all_small_samples():
+    for n1 in range(1, 9):
+        for n2 in range(1, 9):
+            counts = u_counts(n1, n2)
+            assert [hypothesis.u_at_most(u, n1, n2) for u in range(n1 * n2 + 1)] == list(itertools.accumulate(counts))
+    orders = collections.Counter(sum(sum(x > y for y in set(range(7)) - set(s)) for x in s) for s in itertools.combinations(range(7), 3))
+    assert [orders[u] for u in range(13)] == u_counts(3, 4)
+    assert hypothesis.u_at_most(5 * 200, 5, 200) == math.comb(205, 5)
+    assert hypothesis.u_at_most(431, 5, 200) == sum(u_counts(5, 200)[:432])
+    assert hypothesis.u_at_most(8 * 10**12, 8, 10**12) == math.comb(10**12 + 8, 8)
+
+
+def test_small_samples_without_ties_use_the_exact_law(spark):
+    for n1, n2, seed in ((3, 4, 1), (8, 30, 2), (1, 9, 3), (12, 8, 4)):
+        values = random.Random(seed).sample(range(1000), n1 + n2)
+        data = [(1 if k < n1 else 2, float(v), f"r{k}") for k, v in enumerate(values)]
+        got = hypothesis.mann_whitney(spark.createDataFrame(data, "sample int, value double, row_id string"), digits=14).first()
+        u1 = sum(x > y for x in values[:n1] for y in values[n1:])
+        counts = u_counts(n1, n2)
+        tail = sum(counts[max(u1, n1 * n2 - u1):]) / sum(counts)
+        assert got["u1"] == u1 and got["p_value"] == pytest.approx(min(1.0, 2 * tail), abs=1e-13)
+    tied = spark.createDataFrame([(1, 1.0, "a"), (1, 2.0, "b"), (2, 2.0, "c"), (2, 3.0, "d")], "sample int, value double, row_id string")
+    got = hypothesis.mann_whitney(tied).first()  # ties: the approximation
+    assert got["p_value"] == pytest.approx(math.erfc(got["z"] / math.sqrt(2)), abs=1e-9)
+
+
 @pytest.mark.parametrize("n1,n2", [(9, 40), (5, 400), (300, 6), (50, 50)])
 def test_permutation_median_matches_brute_force(spark, n1, n2):
     data = sample_rows(n1=n1, n2=n2)
