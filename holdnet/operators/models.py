@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdnet.functions import flag
-from holdnet.operators import evaluate, kernel_svm
+from holdnet.operators import evaluate, kernel_svm, tree_shap
 from holdnet.operators.ranks import row_numbers
 from holdnet.session import pin
 
@@ -329,7 +329,8 @@ def learning_curve(df: DataFrame, name: str = "logistic", sizes: Sequence[float]
 
 
 def feature_importance(df: DataFrame, model, name: str = "forest", label: str = LABEL, seed: int = 11) -> DataFrame:
-    """Of a fitted tree model: impurity importances plus permutation importance on the test groups.
+    """Of a fitted tree model: impurity importances, and on the test groups the mean absolute SHAP value (what the reference's
+    summary is ordered by) and permutation importance.
 
     Permutation importance is the AUC lost when one feature's values are permuted by a seeded hash order (an exact
     distributed shuffle).  All permuted tables are scored in one pass and their AUCs come from one table; the dummies of
@@ -351,9 +352,17 @@ def feature_importance(df: DataFrame, model, name: str = "forest", label: str =
         [(f, float(impurity[at[j]:at[j + 1]].sum())) for j, f in enumerate(feats)], "feature string, importance double")
     auc = pin(auc)
     orig.unpersist()
+    shap = tree_shap.tree_shap(model, test, feats, widths).groupBy("feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap"))
     whole = auc.filter("which = ''").select("auc").scalar()
     drops = auc.filter("which <> ''").select(F.col("which").alias("feature"), (whole - F.col("auc")).alias("permutation_auc_drop"))
-    return weights.join(drops, "feature", "left")
+    return weights.join(drops, "feature", "left").join(shap, "feature", "left")
+
+
+def shap_values(df: DataFrame, model, label: str = LABEL) -> DataFrame:
+    """``nodo, base, score, feature, shap`` of the test groups' rows: what each feature adds to the probability of class 1."""
+    _, test = _train_test(df)
+    feats = feature_columns(df)
+    return tree_shap.tree_shap(model, test, feats, _widths(test, feats), keep=[ID])
 
 
 def _widths(df: DataFrame, feats: Sequence[str]) -> Mapping[str, int]:

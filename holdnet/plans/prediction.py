@@ -307,3 +307,10 @@ def q_feature_importance(spark, sf_dir):
     df = model_frame(spark, sf_dir)
     train = df.filter(F.col("conjunto") == "train")
     return models.feature_importance(df, models.fit("forest", train, models.feature_columns(df)))
+
+
+@register("shap_values")
+def q_shap_values(spark, sf_dir):
+    df = model_frame(spark, sf_dir)
+    train = df.filter(F.col("conjunto") == "train")
+    return models.shap_values(df, models.fit("forest", train, models.feature_columns(df)))
