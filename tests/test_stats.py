@@ -1,7 +1,9 @@
+import math
 import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import NODE_SCHEMA, rows
@@ -48,6 +50,26 @@ def test_quantiles_match_numpy_with_hot_key(spark):
         assert np.allclose(got[k], want), k
 
 
+@pytest.mark.parametrize("ranked,buckets", [(50_000, 256), (40, 16), (3, 4)])
+def test_quantiles_by_refined_histograms(spark, monkeypatch, ranked, buckets):
+    monkeypatch.setattr(ranks, "RANKED", ranked)
+    monkeypatch.setattr(ranks, "BUCKETS", buckets)
+    rnd = random.Random(8)
+    groups = {"heavy": [rnd.paretovariate(0.3) for _ in range(500)], "wide": [rnd.uniform(-1, 1) * 10.0 ** rnd.randrange(-200, 300) for _ in range(300)],
+              "near": [1.0 + k * 2.0**-52 for k in range(100)], None: [float(rnd.randrange(9)) for _ in range(200)], "same": [7.0] * 50,
+              "ends": [-1.7e308, 1.7e308, 0.0, 5.0, 1.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("none", None)], "k string, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r["k"]: [r[f"q{i}"] for i in range(6)] for r in ranks.quantiles(df, ["k"], "v", probs, [f"q{i}" for i in range(6)]).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        vs = sorted(vs)
+        for p, q in zip(probs, got[k], strict=True):
+            at = p * (len(vs) - 1)
+            lo, hi = vs[math.floor(at)], vs[math.ceil(at)]
+            assert q == pytest.approx(lo + (hi - lo) * (at - math.floor(at)), rel=1e-12), (k, p)
+
+
 def test_running_sums_match_pandas(spark):
     rnd = random.Random(9)
     data = [(rnd.choice(["a", "a", "a", "b", None]), i, rnd.randrange(10)) for i in range(2000)]
