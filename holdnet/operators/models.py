@@ -38,8 +38,8 @@ NON_FEATURES = {ID, "grupo", SPLIT, LABEL}
 #: Fixed values of the models: names, forest size and depth, seeds, depth of the tree (MLlib's limit).
 MODEL_NAMES = ["logistic", "tree", "forest", "svm_grid"]
 FOREST_TREES, FOREST_DEPTH, TREE_SEED, TREE_DEPTH, SVM_SEED = 500, 3, 123, 30, 7
-#: Candidate split points per feature: a tree splits exactly while a feature has no more different values.
-MAX_BINS = 1024
+#: Most candidate split points per feature of the tree: it splits exactly while a feature has no more different values.
+MAX_BINS = 1 << 17
 #: Bytes of features in a partition of a table that is fitted.
 PARTITION_BYTES = 1 << 18
 
@@ -202,12 +202,15 @@ def sized(df: DataFrame, rows: int, columns: int) -> DataFrame:
     return df.repartition(rows * columns * 8 // PARTITION_BYTES + 1)
 
 
-def build(name: str, n_train: int, features: Sequence[str], label: str = LABEL, max_bins: int = MAX_BINS):
+def build(name: str, n_train: int, features: Sequence[str], label: str = LABEL):
+    """Unfitted pipeline.  The tree may split between any two values: it gets as many bins as there can be different values
+    (MLlib then takes all rows to find the split points and keeps only as many bins as a feature has values)."""
     if name == "logistic":
         est = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / max(n_train, 1),
                                  elasticNetParam=0.0, standardization=False, maxIter=100)
     elif name == "tree":
-        est = DecisionTreeClassifier(featuresCol="features", labelCol=label, maxDepth=TREE_DEPTH, seed=TREE_SEED, maxBins=max_bins)
+        est = DecisionTreeClassifier(featuresCol="features", labelCol=label, maxDepth=TREE_DEPTH, seed=TREE_SEED,
+                                     maxBins=max(32, min(n_train, MAX_BINS)))
     elif name == "forest":
         est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH,
                                      seed=TREE_SEED, featureSubsetStrategy="sqrt")
@@ -221,7 +224,7 @@ def fit(name: str, train: DataFrame, features: Sequence[str] | None = None, labe
     if name == "svm_grid":
         return fit_svm_grid(train, features, label)
     n = train.count()
-    return build(name, n, features, label).fit(train)
+    return build(name, n, features, label).fit(sized(train, n, len(features)))
 
 
 def predict(name: str, model, df: DataFrame, label: str = LABEL, keep: Sequence[str] = ()) -> DataFrame:
@@ -304,7 +307,7 @@ def learning_curve(df: DataFrame, name: str = "logistic", sizes: Sequence[float]
     ranked = []
     for s in range(n_splits):
         key = F.md5(F.concat(F.lit(f"{seed}:{s}:"), F.col(ID)))
-        ranked.append(row_numbers(df.withColumn("_h", key), [], ["_h", ID], out="_rk").cache())
+        ranked.append(sized(row_numbers(df.withColumn("_h", key), [], ["_h", ID], out="_rk"), 2 * half, len(feats)).cache())
 
     def job(s: int, f: float):
         k = max(1, int(f * half))

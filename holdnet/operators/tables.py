@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from holdnet.functions import year_prefix
@@ -42,6 +42,19 @@ def attach(df: DataFrame, agg: DataFrame, keys: Sequence[str]) -> DataFrame:
         *df.columns, *[c for c in agg.columns if c not in keys])
 
 
+def observed(df: DataFrame, name: str, counts: dict[str, Observation] | None) -> DataFrame:
+    """``df`` with its rows counted as they pass, if ``counts`` is there to hold the observation."""
+    if counts is None:
+        return df
+    counts[name] = Observation()
+    return df.observe(counts[name], F.count(F.lit(1)).alias("rows"))
+
+
+def row_counts(counts: dict[str, Observation]) -> dict[str, int]:
+    """Rows per observed step, once a job over the observed table has ended (waits for it otherwise)."""
+    return {name: o.get["rows"] for name, o in counts.items()}
+
+
 def node_table(df: DataFrame, columns_normalized: Sequence[str], columns_ini: Sequence[str],
                columns_fin: Sequence[str]) -> DataFrame:
     """Start-side and end-side company rows, each de-duplicated, renamed by position and
@@ -67,8 +80,8 @@ def with_month_key(df: DataFrame, year: str = "date_year_ini", month: str = "dat
 
 
 def edge_table(df: DataFrame, columns: Sequence[str] = ("src", "dst", "anho_mes", "value", "rel_id"),
-               tie_break: str = "rel_id") -> DataFrame:
-    """Rename the ends to ``src``/``dst``, project, keep one row per (src, dst, anho_mes)."""
+               tie_break: str = "rel_id", counts: dict[str, Observation] | None = None) -> DataFrame:
+    """Rename the ends to ``src``/``dst``, project, keep one row per (src, dst, anho_mes); ``counts``: see :func:`observed`."""
     e = (with_month_key(df)
          .withColumnRenamed("nodo_ini", "src").withColumnRenamed("nodo_fin", "dst"))
     if "value" not in e.columns and "score_fin" in e.columns:
@@ -76,7 +89,7 @@ def edge_table(df: DataFrame, columns: Sequence[str] = ("src", "dst", "anho_mes"
     cols = list(columns)
     if tie_break not in cols:
         cols.append(tie_break)
-    return keep_first(e.select(*cols), ["src", "dst", "anho_mes"], [tie_break])
+    return observed(keep_first(e.select(*cols), ["src", "dst", "anho_mes"], [tie_break]), "edges", counts)
 
 
 def year_of_date(df: DataFrame, col: str = "fechadato", out: str = "fechadato_year") -> DataFrame:

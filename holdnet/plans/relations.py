@@ -155,6 +155,26 @@ def q_full_relation_table(spark, sf_dir):
     return out.withColumn("score_fin", F.col("score_fin").cast("double"))
 
 
+@register("row_counts", """
+SELECT 'roles_ini' AS paso, count(*) AS filas FROM relaciones r LEFT JOIN nodos m ON r.nodo_ini = m.nodo
+UNION ALL SELECT 'roles_fin', count(*) FROM relaciones r LEFT JOIN nodos m ON r.nodo_fin = m.nodo
+UNION ALL SELECT 'features_ini', count(*) FROM relaciones r
+  LEFT JOIN profile p ON r.nodo_ini = p.id AND r.date_year_ini = p.date_year_ini AND r.date_month_ini = p.date_month_ini
+UNION ALL SELECT 'features_fin', count(*) FROM relaciones r
+  LEFT JOIN profile p ON r.nodo_fin = p.id AND r.date_year_ini = p.date_year_ini AND r.date_month_ini = p.date_month_ini
+UNION ALL SELECT 'edges', count(*) FROM edges""", [LATEST_BAL_SQL, PROFILE_SQL, EDGES_SQL])
+def q_row_counts(spark, sf_dir):
+    """Rows after each join and of the edge table, observed while the tables are made."""
+    nodes, counts = fx.nodos(spark, sf_dir), {}
+    profile = joins.company_profile(fx.identity(spark, sf_dir), fx.legal(spark, sf_dir), fx.balance(spark, sf_dir))
+    sides = [joins.profile_side(profile, s, ["cif", "forma_juridica", "importe_balance"]) for s in ("ini", "fin")]
+    rel = fx.relaciones(spark, sf_dir, nodes)
+    full = joins.full_relation_table(rel, *sides, FULL_COLS, *[fx.roles(spark, sf_dir, s, nodes) for s in ("ini", "fin")], counts=counts)
+    for made in (full, tables.edge_table(rel, counts=counts)):
+        made.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(list(tables.row_counts(counts).items()), "paso string, filas long")
+
+
 # ---- flags -------------------------------------------------------------------------------------------
 
 @register("client_flag", f"SELECT {REL_SQL.replace('score_fin', 'CAST(score_fin AS DOUBLE) AS score_fin')}, "

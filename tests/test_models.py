@@ -98,6 +98,37 @@ def test_tree_splits_exactly(spark):
     assert tree.numNodes == 3 and below <= tree._call_java("rootNode").split().threshold() <= above
 
 
+def test_tree_splits_exactly_between_thousands_of_values(spark):
+    """Root and both children against the best Gini split over all gaps between different values."""
+    rnd = random.Random(12)
+    x = [(rnd.random(), rnd.gauss(0, 1)) for _ in range(3000)]
+    y = [int(rnd.random() < (0.8 if 0.31 < a < 0.65 else 0.3) + (0.15 if b > 0.7 else 0)) for a, b in x]
+    df = spark.createDataFrame([(f"n{k}", "G", "train", *v, c) for k, (v, c) in enumerate(zip(x, y, strict=True))],
+                               "nodo string, grupo string, conjunto string, x1 double, x2 double, matriz_filia_binaria int")
+    root = models.fit("tree", df, ["x1", "x2"]).stages[-1]._call_java("rootNode")
+
+    def best(rows):
+        found = []
+        for f in range(2):
+            order = sorted(rows, key=lambda r: x[r][f])
+            ones, total = np.cumsum([y[r] for r in order]), sum(y[r] for r in order)
+            n = np.arange(1, len(order) + 1)
+            right_n, right_ones = len(order) - n, total - ones
+            with np.errstate(divide="ignore", invalid="ignore"):
+                impurity = ones * (1 - ones / n) + np.where(right_n > 0, right_ones * (1 - right_ones / right_n), 0)
+            k = int(np.argmin(impurity[:-1]))
+            found.append((impurity[k], f, x[order[k]][f], x[order[k + 1]][f]))
+        return min(found)
+
+    todo = [(root, list(range(3000)))]
+    for node, rows in todo:
+        _, f, below, above = best(rows)
+        split = node.split()
+        assert split.featureIndex() == f and below <= split.threshold() <= above
+        if node is root:
+            todo += [(node.leftChild(), [r for r in rows if x[r][f] <= below]), (node.rightChild(), [r for r in rows if x[r][f] > below])]
+
+
 def test_own_prediction_is_passed_on(spark):
     # a leaf of one row of each class: the tree says 0, a threshold of 0.5 on its probability would say 1
     df = spark.createDataFrame([(f"n{k}", "G", "train", 1.0, 1.0, k % 2) for k in range(10)],

@@ -84,3 +84,25 @@ def test_fill_unknown_all_columns(spark):
     out = flags.fill_unknown(df, ["s", "n"])
     assert rows(out, "s", "n") == [("a", "2"), ("desconocido_s", "desconocido_n")]
     assert flags.fill_unknown(df, []) is df
+
+
+def test_observed_row_counts_cost_no_job(spark):
+    keys = ["nodo_ini", "nodo_fin", *joins.MONTH]
+    r = spark.createDataFrame([("A", "B", 2020, 1), ("A", "C", 2020, 1), ("B", "C", 2020, 2), (None, "C", 2020, 2)],
+                              "nodo_ini string, nodo_fin string, date_year_ini int, date_month_ini int").cache()
+    r.count()
+    ini = spark.createDataFrame([("A", 2020, 1, "x"), ("A", 2020, 2, "y")], "nodo_ini string, date_year_ini int, date_month_ini int, p string")
+    fin = spark.createDataFrame([("C", 2020, 1, "x"), ("C", 2020, 1, "y")], "nodo_fin string, date_year_ini int, date_month_ini int, q string")
+    role = spark.createDataFrame([("C", "M")], "nodo_fin string, role string")
+    sc, jobs = spark.sparkContext, {}
+    for name, counts in (("plain", None), ("observed", {})):
+        sc.setJobGroup(name, name)
+        got = rows(joins.full_relation_table(r, ini, fin, [*keys, "p", "q", "role"], roles_fin=role, counts=counts))
+        jobs[name] = len(sc.statusTracker().getJobIdsForGroup(name))
+        if counts is not None:
+            found = tables.row_counts(counts)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {"roles_fin": 4, "features_ini": 4, "features_fin": 5} and len(got) == 5
+    assert jobs["plain"] == jobs["observed"] > 0
+    empty = {}
+    assert joins.full_relation_table(r.limit(0), ini, fin, keys, counts=empty).count() == 0
