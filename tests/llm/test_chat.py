@@ -59,12 +59,49 @@ def test_windows_keep_system_turn_and_budget(spark):
     for k, w in enumerate(got):
         assert w.formatted.startswith("<s>[INST]system\nbe kind[/INST]")
         turns = w.formatted.split("<s>")[1:]
-        assert len(turns) * turn <= 200 + 2 * turn
+        assert w.tokens <= 200 and not w.over_budget and len(turns) * (turn - 1) <= 200 + turn
         assert (w.n_repeated == 0) if k == 0 else (2 <= w.n_repeated <= 1 + 60 // (turn - 1))
         assert all(w.formatted[s.end:s.end + 4] == "</s>" for s in w.loss)
     assert sum(len(w.loss) for w in got) == 30
 
 
+def test_every_window_keeps_to_the_budget_if_its_turns_do(spark):
+    rng = random.Random(4)
+    rows = []
+    for c in range(60):
+        if c % 2:
+            rows.append((c, 0, "system", "s" * rng.randrange(200)))
+        rows += [(c, k + 1, rng.choice(["user", "assistant"]), "t" * rng.choice([0, 30, 300, rng.randrange(600 if c % 3 else 1500)]))
+                 for k in range(rng.randrange(1, 60))]
+    df = spark.createDataFrame([(*r, 1, "w") for r in rows], SCHEMA)
+    budget, history = 250, 60
+    got = chat.windows(df, budget=budget, history=history).collect()
+
+    def tokens(text):
+        return -(-len(text) // 4) + chat.MARK_TOKENS
+    for c in range(60):
+        own = [r for r in rows if r[0] == c]
+        lead = tokens(own[0][3]) if own[0][2] == "system" else 0
+        fits = all(tokens(r[3]) + lead <= budget for r in own[1 if lead else 0:])
+        windows = sorted((w for w in got if w.conv_id == c), key=lambda w: w.window)
+        assert all(w.over_budget == (w.tokens > budget) for w in windows)
+        if fits:
+            assert not any(w.over_budget for w in windows)
+        assert sum(w.formatted.count("<s>") - w.n_repeated for w in windows) == len(own)
+    assert any(w.n_repeated > 1 for w in got) and any(w.over_budget for w in got)
+
+
+def test_registered_query_cuts_and_repeats(spark, tmp_path):
+    from holdnet.llm.queries import QUERIES
+    rows = data()
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in QUERIES["op7_chat_formatting"](spark, str(tmp_path)).collect()}
+    control = "</s>[INST] ok [/INST]"
+    want = brute([*rows, (-7, 0, "user", control), (-7, 1, "assistant", control)])
+    assert {c: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for c, r in got.items()} == want
+    assert any(r.n_windows > 1 and r.n_repeated > 0 for r in got.values()) and got[102].over_budget and not got[-7].over_budget
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert chat.digests(chat.read_back(chat.windows(none))).count() == 0
