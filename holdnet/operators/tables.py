@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from holdnet.functions import year_prefix
@@ -43,13 +43,25 @@ def attach(df: DataFrame, agg: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def observed(df: DataFrame, name: str, counts: dict[str, Observation] | None) -> DataFrame:
-    """``df`` with its rows counted as they pass, if ``counts`` is there to hold the observation."""
+    """``df`` with its rows counted as they pass, if ``counts`` is there to hold the observation.
+
+    Give observed tables a session of their own (:func:`observing_session`): Spark 4.1 cannot ship models that were fitted
+    in a session once that has observed anything, as their training summaries hold the session.
+    """
     if counts is None:
         return df
     counts[name] = Observation()
     return df.observe(counts[name], F.count(F.lit(1)).alias("rows"))
 
 
+def observing_session(spark: SparkSession) -> SparkSession:
+    """A new session of the same application, with the same number of shuffle partitions and time zone."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    return own
+
+
 def row_counts(counts: dict[str, Observation]) -> dict[str, int]:
     """Rows per observed step, once a job over the observed table has ended (waits for it otherwise)."""
     return {name: o.get["rows"] for name, o in counts.items()}

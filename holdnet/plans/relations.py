@@ -165,11 +165,12 @@ UNION ALL SELECT 'features_fin', count(*) FROM relaciones r
 UNION ALL SELECT 'edges', count(*) FROM edges""", [LATEST_BAL_SQL, PROFILE_SQL, EDGES_SQL])
 def q_row_counts(spark, sf_dir):
     """Rows after each join and of the edge table, observed while the tables are made."""
-    nodes, counts = fx.nodos(spark, sf_dir), {}
-    profile = joins.company_profile(fx.identity(spark, sf_dir), fx.legal(spark, sf_dir), fx.balance(spark, sf_dir))
+    own, counts = tables.observing_session(spark), {}
+    nodes = fx.nodos(own, sf_dir)
+    profile = joins.company_profile(fx.identity(own, sf_dir), fx.legal(own, sf_dir), fx.balance(own, sf_dir))
     sides = [joins.profile_side(profile, s, ["cif", "forma_juridica", "importe_balance"]) for s in ("ini", "fin")]
-    rel = fx.relaciones(spark, sf_dir, nodes)
-    full = joins.full_relation_table(rel, *sides, FULL_COLS, *[fx.roles(spark, sf_dir, s, nodes) for s in ("ini", "fin")], counts=counts)
+    rel = fx.relaciones(own, sf_dir, nodes)
+    full = joins.full_relation_table(rel, *sides, FULL_COLS, *[fx.roles(own, sf_dir, s, nodes) for s in ("ini", "fin")], counts=counts)
     for made in (full, tables.edge_table(rel, counts=counts)):
         made.write.format("noop").mode("overwrite").save()
     return spark.createDataFrame(list(tables.row_counts(counts).items()), "paso string, filas long")

@@ -87,6 +87,7 @@ def test_fill_unknown_all_columns(spark):
 
 
 def test_observed_row_counts_cost_no_job(spark):
+    spark = tables.observing_session(spark)
     keys = ["nodo_ini", "nodo_fin", *joins.MONTH]
     r = spark.createDataFrame([("A", "B", 2020, 1), ("A", "C", 2020, 1), ("B", "C", 2020, 2), (None, "C", 2020, 2)],
                               "nodo_ini string, nodo_fin string, date_year_ini int, date_month_ini int").cache()
@@ -106,3 +107,17 @@ def test_observed_row_counts_cost_no_job(spark):
     assert jobs["plain"] == jobs["observed"] > 0
     empty = {}
     assert joins.full_relation_table(r.limit(0), ini, fin, keys, counts=empty).count() == 0
+
+
+def test_models_work_after_observed_counts(spark):
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    counts = {}
+    own = tables.observing_session(spark)
+    tables.observed(own.range(5), "n", counts).count()
+    assert tables.row_counts(counts) == {"n": 5}
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(
+        spark.createDataFrame([(float(k), k % 2) for k in range(20)], "x double, label int"))
+    for est in (LogisticRegression(), RandomForestClassifier(numTrees=2)):
+        assert est.fit(df).transform(df).select("prediction").count() == 20
+        assert len(est.fit(df).transform(df).select("prediction").collect()) == 20
