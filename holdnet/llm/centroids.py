@@ -45,6 +45,8 @@ DIM, SCALE, CLUSTERS, ROUNDS = 64, 1024, 8, 10
 WIDTH = 16
 #: Rows of a block whose distances are computed at a time.
 SLICE_ROWS = 8192
+#: Bytes of components in a bucket, while there are no more buckets than shuffle partitions.
+BUCKET_BYTES = 4 << 20
 LARGEST = 1 << 26
 
 
@@ -83,7 +85,6 @@ class _Shards:
 
     def __init__(self, vectors: DataFrame, width: int):
         self.spark, self.width = vectors.sparkSession, width
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.tables: list[str] = []
         self.base = shared_folder(self.spark, "centroids")
         vectors.withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{self.base}/rows")
@@ -101,6 +102,8 @@ class _Shards:
         if 4 * LARGEST * LARGEST * dim >= 1 << 63:
             raise ValueError(f"squared distances of {dim} components do not fit into 64 bits")
         self.starts = list(range(0, dim, self.width))
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(1, min(most, self.rows.count() * dim * 4 // BUCKET_BYTES + 1))
         block = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.slice("x", s + 1, self.width).alias("part"))
                                     for b, s in enumerate(self.starts)])).alias("b")
         blocks = self.rows.select("row", block).select("row", "b.*")
