@@ -128,7 +128,8 @@ def _partner_counts(df: DataFrame, onto: DataFrame) -> DataFrame:
              .select("nodo_ini", "nodo_fin").distinct())
     ini = pairs.groupBy("nodo_ini").agg(F.count("nodo_fin").alias("conteo_relacion_mismogrupo_ini"))
     fin = pairs.groupBy("nodo_fin").agg(F.count("nodo_ini").alias("conteo_relacion_mismogrupo_fin"))
-    out = attach(attach(onto, ini, ["nodo_ini"]), fin, ["nodo_fin"])
+    # a row per company: joined by a shuffle at every size
+    out = attach(attach(onto, ini.hint("merge"), ["nodo_ini"]), fin.hint("merge"), ["nodo_fin"])
     return out.fillna(0, subset=["conteo_relacion_mismogrupo_ini", "conteo_relacion_mismogrupo_fin"])
 
 

@@ -95,6 +95,14 @@ def test_a_share_of_some_thousand_companies_is_shuffled(spark):
     assert rows(out.groupBy("proporcion_relaciones_congrupo_ini").count()) == [(0.0, 8_000), (1.0, 8_000)]
 
 
+def test_partner_counts_are_shuffled_alike_at_every_size(spark):
+    f = flags.same_group_flag(flags.client_flag(spark.createDataFrame(REL, REL_SCHEMA)))
+    out = shares.same_group_partner_count(f)
+    assert _plan(out).count("strategy=merge") == 2
+    assert rows(out, "rel_id", "conteo_relacion_mismogrupo_ini", "conteo_relacion_mismogrupo_fin") == [
+        ("r1", 1, 1), ("r2", 1, 1), ("r3", 0, 1), ("r4", 1, 0)]
+
+
 def test_partner_counts_take_both_ends_in_one_pass(spark):
     df = spark.createDataFrame(REL, REL_SCHEMA)
     out = shares.node_partner_counts(df.withColumns({f"conteo_relacion_mismogrupo_{s}": F.length(f"nodo_{s}") for s in ("ini", "fin")}))
