@@ -240,3 +240,23 @@ def test_wide_categories(spark):
     out = models.encode_categories(df, ["sector"]).collect()
     assert {r["sector_vec"].size for r in out} == {1500}
     assert sum(r["sector_vec"].numNonzeros() == 0 for r in out) == 1
+
+
+def test_fits_of_a_learning_curve_run_few_tasks_each(spark, monkeypatch):
+    """Fits that run side by side need no small partitions: each iteration of each fit is a task per partition."""
+    n, built, seen = 6_000, models.build, []
+
+    class Spy:
+        def __init__(self, pipeline):
+            self.pipeline = pipeline
+
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return self.pipeline.fit(df)
+
+    monkeypatch.setattr(models, "build", lambda *a: Spy(built(*a)))
+    df = spark.range(n).select(F.concat(F.lit("C"), F.col("id")).alias("nodo"), (F.col("id") % 2).cast("int").alias(models.LABEL),
+                               *[(F.col("id") % (k + 3)).cast("double").alias(f"x{k}") for k in range(8)])
+    out = models.learning_curve(df, sizes=(1.0,), n_splits=2).collect()
+    assert seen == [1, 1] and [r.n_train for r in out] == [n // 2] * len(out)
+    assert n * 8 * 8 > models.PARTITION_BYTES
