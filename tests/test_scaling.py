@@ -1,13 +1,15 @@
 """Plans of the relation steps: what travels through their shuffles, and the same rows as the plain joins."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import REL_SCHEMA, rows
 from holdnet.operators import flags, shares, tables
-from holdnet.plans import relations
+from holdnet.plans import prediction, relations
+from holdnet.session import written
 from holdnet.sources import fixtures as fx
 
 
@@ -108,3 +110,24 @@ def test_partner_counts_take_both_ends_in_one_pass(spark):
     out = shares.node_partner_counts(df.withColumns({f"conteo_relacion_mismogrupo_{s}": F.length(f"nodo_{s}") for s in ("ini", "fin")}))
     assert _plan(out).count("LogicalRDD") == 1
     assert rows(out) == [("A", "G", 1), ("B", "G", 1), (None, None, None)]
+
+
+def _shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in found.split("\n") if "/shuffle_" in f and f.endswith(".data")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    table = written(spark.range(1000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # executors drop the files in the background
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left and sorted(r["count"] for r in table.collect()) == [142, 143, 143, 143, 143, 143, 143]
+
+
+def test_model_features_read_relations_once_written(spark, sf):
+    """The parts that come from relations are tables of their own: joining them reads no lines and no orders again."""
+    files = prediction.company_model_features(spark, sf).inputFiles()
+    assert files and not any("lineitem" in f or "orders" in f for f in files)
