@@ -9,13 +9,15 @@ word, how many successors occur once, twice and more, and how many words
 precede it.  3. Those reports are added up per shard of word ids.
 With order 3, triples (pair before, id) are counted between 2. and 3.: a triple's
 shard depends on the pair before, and for a frequent one also on the next word.
-A shard keeps 64-bit hashes of its triples, and per pair before how many
-successors occur once, twice and more; it reports how many different words
-precede a pair.  Those counts take the place of the pairs' own in 3. (pairs
-after the start mark have nothing before them and keep their own).
+A shard keeps 64-bit hashes of its triples; it reports, per pair before, how many
+successors occur once, twice and more, and how many different words precede a
+pair.  The pairs' shards keep both beside their pairs; the latter take the place
+of the pairs' own counts in 3. (pairs after the start mark have nothing before
+them and keep their own).
 Shards grow in number with the text (``SHARD_BYTES`` each), not in size.
 
-The arrays are .npy files in the shared folder.  Scoring tasks memory-map them
+The arrays are .npy files in the shared folder, counts with a byte each (those of
+255 and more lie beside them); a step's shuffle is dropped as it ends.  Scoring tasks memory-map them
 and look up a slice's different words and pairs in sorted order; nothing of the
 model is broadcast.  (Where the shared folder is not a mounted path, a shard is
 read whole through its file system instead.)
@@ -49,6 +51,7 @@ from pyspark.sql import functions as F
 
 from holdnet.llm.common import (LOWER, NOT_WHITE, mix, shared_folder, span_hashes, text_bytes, text_slices, word_spans,
                                 written)
+from holdnet.session import shuffles_dropped
 
 END = np.uint64(0x0123456789ABCDEF)
 #: Order of the query's model.
@@ -57,6 +60,9 @@ SHARD_BYTES = 16 << 20
 #: Entries that a task merges before it hands them on.
 HELD = 4_000_000
 HELD_TRIPLES = 2_000_000
+#: Counts from here on do not fit a byte, and the files that hold counts.
+MANY = 255
+COUNTED = {"count", "times", "pair_left", "triple_times", "after", "stats"}
 _U32 = np.uint64(32)
 
 
@@ -131,8 +137,30 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _small(counts: np.ndarray) -> np.ndarray:
-    return counts.astype(np.uint32 if len(counts) == 0 or counts.max() < 2**32 else np.uint64)
+def save_counts(folder: str, name: str, shard: int, counts: np.ndarray) -> None:
+    """A byte per count; counts of ``MANY`` and more, with their places in the flat array, go to a second file."""
+    flat = counts.ravel()
+    many = np.flatnonzero(flat >= MANY)
+    save(folder, f"{name}-{shard}", np.minimum(counts, MANY).astype(np.uint8))
+    save(folder, f"{name}_many-{shard}", np.stack([many.astype(np.uint64), flat[many].astype(np.uint64)]))
+
+
+class Counts:
+    """The counts that :func:`save_counts` wrote, read at given rows."""
+
+    def __init__(self, low: np.ndarray, many: np.ndarray):
+        self.low, self.many = low, many
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.array(self.low[rows], np.int64)
+        flat, width = out.reshape(-1), self.low[:1].size
+        at = np.flatnonzero(flat == MANY)
+        if len(at):
+            flat[at] = self.many[1][np.searchsorted(self.many[0], (rows[at // width] * width + at % width).astype(np.uint64))]
+        return out
 
 
 # ---- tokens -----------------------------------------------------------------------------------------
@@ -208,10 +236,13 @@ class Words:
     def __reduce__(self):
         return Words, (self.folder, self.bits, self.sizes, self.total, self.docs, self.there)
 
-    def file(self, name: str, shard: int) -> np.ndarray:
+    def file(self, name: str, shard: int) -> np.ndarray | Counts:
         """A shard's array, memory-mapped; empty if the shard has none."""
         if (name, shard) not in self.files:
-            self.files[name, shard] = load(self.folder, f"{name}-{shard}") if shard in self.there[name] else np.zeros(0, np.uint64)
+            found = load(self.folder, f"{name}-{shard}") if shard in self.there[name] else np.zeros(0, np.uint64)
+            if name in COUNTED and shard in self.there[name]:
+                found = Counts(found, load(self.folder, f"{name}_many-{shard}"))
+            self.files[name, shard] = found
         return self.files[name, shard]
 
     def shard_of(self, h: np.ndarray) -> np.ndarray:
@@ -273,7 +304,7 @@ def count_words(docs: DataFrame, folder: str, bits: int) -> Words:
     def merge(t: pa.Table) -> pa.Table:
         s, keys, counts = _merged(t)
         save(folder, f"word-{s}", keys)
-        save(folder, f"count-{s}", _small(counts))
+        save_counts(folder, "count", s, counts)
         return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(keys)], pa.int64()),
                          "total": pa.array([int(counts.sum())], pa.int64()),
                          "ends": pa.array([int(counts[keys == END].sum())], pa.int64())})
@@ -364,7 +395,7 @@ def count_pairs(docs: DataFrame, words: Words, report: bool = True) -> DataFrame
     def merge(t: pa.Table) -> pa.Table:
         s, keys, counts = _merged(t)
         save(words.folder, f"pair-{s}", keys)
-        save(words.folder, f"times-{s}", _small(counts))
+        save_counts(words.folder, "times", s, counts)
         return _reports(words, s, keys, counts) if report else _report_table([(s, None, None, None, [0] * 4)])
 
     found = docs.select("text").mapInArrow(run, BLOBS).repartition(1 << words.bits, "shard").groupBy("shard").applyInArrow(
@@ -436,8 +467,9 @@ TRIPLES = "shard int, pairs binary, ids binary, counts binary"
 
 
 def count_triples(docs: DataFrame, words: Words) -> DataFrame:
-    """Writes the triple shards; gives, per pair shard, how many different words precede a pair (blobs with a null
-    ``tally``) and per triple shard the ``tally`` of triples of counts 1 to 4."""
+    """Writes the triple shards; gives, per pair shard, how many successors of a pair occur once, twice and more and how
+    many different words precede it (blobs with a null ``tally``), and per triple shard the ``tally`` of triples of
+    counts 1 to 4."""
     def blobs(parts):
         pairs, ids, counts = _triples_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         heads, at = np.unique(pairs, return_inverse=True)
@@ -475,37 +507,44 @@ def count_triples(docs: DataFrame, words: Words) -> DataFrame:
         keys = triple_keys(pairs, ids)
         order = np.argsort(keys)
         save(words.folder, f"triple-{s}", keys[order])
-        save(words.folder, f"triple_times-{s}", _small(counts[order]))
-        heads, first = np.unique(pairs, return_index=True)
-        after = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (counts == 1, counts == 2, counts > 2)], axis=1)
-        save(words.folder, f"head-{s}", heads)
-        save(words.folder, f"after-{s}", _small(after.ravel()).reshape(after.shape))
-        tails, left = np.unique(pair_keys(halves(pairs)[1], ids), return_counts=True)
-        to = pair_shard(tails, words)
-        by = np.argsort(to, kind="stable")
-        rows = [(target, "left", packed(tails[by[lo:hi]]), planes(left[by[lo:hi]]), None) for target, lo, hi in _runs(to[by])]
+        save_counts(words.folder, "triple_times", s, counts[order])
+        del keys, order
+        tails = pair_keys(halves(pairs)[1], ids)
+        rows = []
+        for kind, of in (("one", pairs[counts == 1]), ("two", pairs[counts == 2]), ("more", pairs[counts > 2]), ("left", tails)):
+            names, n = np.unique(of, return_counts=True)
+            to = pair_shard(names, words)
+            by = np.argsort(to, kind="stable")
+            rows += [(target, kind, packed(names[by[lo:hi]]), planes(n[by[lo:hi]]), None) for target, lo, hi in _runs(to[by])]
         return _report_table([*rows, (s, None, None, None, [int((counts == k).sum()) for k in range(1, 5)])])
 
     found = docs.select("text").mapInArrow(run, TRIPLES).repartition(1 << words.bits, "shard").groupBy("shard").applyInArrow(merge, REPORTS)
     return written(found, "triples")
 
 
+PAIR_BLOBS = "shard int, kind string, keys binary, counts binary"
+
+
 def count_left(lefts: DataFrame, words: Words) -> DataFrame:
-    """Writes, beside every pair shard, the different words before a pair (its count after the start mark); gives the
-    reports of these counts."""
+    """Writes, beside every pair shard, its pairs' successors that occur once, twice and more and the different words
+    before a pair (its count after the start mark); gives the reports of the latter."""
     def merge(t: pa.Table) -> pa.Table:
-        s, keys, counts = _merged(t)
+        s = t.column("shard")[0].as_py()
         pairs = np.array(words.file("pair", s))
-        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-        left = np.where(keys[at] == pairs, counts[at], 0)
-        left = np.where(halves(pairs)[0] == words.n, words.file("times", s), left).astype(np.uint64)
-        save(words.folder, f"pair_left-{s}", _small(left))
+        found = {kind: np.zeros(len(pairs), np.uint64) for kind in KINDS[:4]}
+        there = t.filter(t.column("keys").is_valid())
+        for kind, keys, counts in zip(*(there.column(c).to_pylist() for c in ("kind", "keys", "counts")), strict=True):
+            found[kind][np.searchsorted(pairs, unpacked(keys))] += unplanes(counts)  # a blob's pairs are different
+        left, first = found["left"], np.flatnonzero(halves(pairs)[0] == words.n)
+        left[first] = words.file("times", s)[first]
+        save_counts(words.folder, "pair_left", s, left)
+        save_counts(words.folder, "after", s, np.stack([found[kind] for kind in KINDS[:3]], axis=1))
         return _reports(words, s, pairs, left)
 
-    none = np.zeros(1, np.uint64)  # every shard has a row, also one whose pairs all follow the start mark
+    # every shard has a row, also one whose pairs all follow the start mark
     every = lefts.sparkSession.createDataFrame(
-        [(s, packed(none), planes(none)) for s in words.there["pair"]], BLOBS)
-    found = (lefts.filter("tally is null").select("shard", "keys", "counts").unionByName(every)
+        [(s, "left", None, None) for s in words.there["pair"]], PAIR_BLOBS)
+    found = (lefts.filter("tally is null").select("shard", "kind", "keys", "counts").unionByName(every)
              .repartition(1 << words.bits, "shard").groupBy("shard").applyInArrow(merge, REPORTS))
     return written(found, "lefts")
 
@@ -544,11 +583,8 @@ class Model:
             at = there[one]
             shard = triple_shard(pairs[at], salt_of(ids[at], parts[at]), w)
             times[there] = _looked_up(w, keys, shard, "triple", "triple_times", 1)[back, 0]
-        heads, one, back = np.unique(pairs, return_index=True, return_inverse=True)
-        spread, after = parts[one], np.zeros((len(heads), 3), np.int64)
-        for salt in range(int(spread.max())):  # a frequent pair's successors are in several shards
-            at = np.flatnonzero(spread > salt)
-            after[at] += _looked_up(w, heads[at], triple_shard(heads[at], np.full(len(at), salt), w), "head", "after", 3)
+        heads, back = np.unique(pairs, return_inverse=True)
+        after = _looked_up(w, heads, pair_shard(heads, w), "pair", "after", 3)
         cut = np.array([0.0, *self.triple_discounts])[np.minimum(times, 3)]
         p[known] = (times - cut + (after[back] @ np.array(self.triple_discounts)) * p[known]) / total
         return p
@@ -584,6 +620,11 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
     """Fit on all rows of ``docs`` (column ``text``): counting jobs whose reports, not n-grams, reach the driver."""
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
+    with shuffles_dropped(docs.sparkSession):  # what a step leaves is in files
+        return _trained(docs, shard_bytes, order)
+
+
+def _trained(docs: DataFrame, shard_bytes: int, order: int) -> Model:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words = count_words(docs, shared_folder(spark, "lm"), max(0, int(size) // shard_bytes).bit_length())
@@ -594,9 +635,9 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
         lefts = count_triples(docs, words)
         found = lefts.filter("tally is not null").select("shard", "tally").collect()  # one row per shard
         triple_discounts = discounts([sum(r.tally[k] for r in found) for k in range(4)])
-        words.there |= dict.fromkeys(("triple", "triple_times", "head", "after"), [r.shard for r in found])
+        words.there |= dict.fromkeys(("triple", "triple_times"), [r.shard for r in found])
         reports = count_left(lefts, words)
-        words.there |= {"pair_left": shards}
+        words.there |= dict.fromkeys(("pair_left", "after"), shards)
     tallies = reports.filter("tally is not null").select("shard", "tally").collect()  # one row per shard
     pair_n = [sum(r.tally[k] for r in tallies) for k in range(4)]
 
@@ -606,7 +647,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, order: int = 2) -> Mo
         out = np.zeros((words.sizes[s] + last, len(KINDS)), np.int64)  # the last shard also holds the start mark
         for kind, keys, counts in zip(*(t.column(c).to_pylist() for c in ("kind", "keys", "counts")), strict=True):
             out[unpacked(keys).astype(np.int64) - words.offsets[s], KINDS.index(kind)] += unplanes(counts)
-        save(words.folder, f"stats-{s}", _small(out.ravel()).reshape(out.shape))
+        save_counts(words.folder, "stats", s, out)
         left = out[:, KINDS.index("left")]
         return pa.table({"shard": pa.array([s], pa.int32()), "left": pa.array([[int((left == k).sum()) for k in range(1, 5)] + [int((left > 2).sum()), int(left.sum())]],
                                           pa.list_(pa.int64()))})

@@ -130,6 +130,18 @@ def test_order_three_matches_brute_force(spark, shard_bytes):
         assert sum(brute.p3(a, b, w) for w in [*brute.uni, "never seen"]) == pytest.approx(1.0)
 
 
+def test_counts_take_a_byte_and_larger_ones_lie_beside(spark):
+    """Also where more than 255 different words precede a pair or follow it."""
+    rows = corpus() + [(8, "a b c a b d")] * 300 + [(9, f"v{k} a b x{k}") for k in range(280)]
+    df = spark.createDataFrame([(d, t, None) for d, t in rows], SCHEMA).repartition(2)
+    model, brute = lm.train(df, order=3), BruteTriples([t for _, t in rows])
+    assert {str(lm.load(model.words.folder, f"{name}-0").dtype) for name in lm.COUNTED} == {"uint8"}
+    texts = ["a b c a b d", "v3 a b x3", "a b x4", "a b never", "b c a", None]
+    got = model.score(pa.array(texts))
+    assert got["score"].tolist() == pytest.approx([brute.score(t)[3] for t in texts], rel=1e-9)
+    assert len(lm.load(model.words.folder, "after-0")) == len(lm.load(model.words.folder, "pair-0"))
+
+
 def test_order_three_without_triples(spark):
     df = spark.createDataFrame([(1, None, None), (2, "", None)], SCHEMA)
     assert [r.score for r in lm.score(df, lm.train(df, order=3)).collect()] == pytest.approx([BruteTriples([None, ""]).score("")[3]] * 2)
