@@ -21,3 +21,26 @@ def test_ids_are_those_of_the_library(name, kind, lower):
         got += [list(array(kind, x)) for x in enc.encode(texts[lo:lo + 100])]
     bad = [(t, g, w) for t, g, w in zip(texts, got, want, strict=True) if g != w]
     assert not bad, bad[0]
+
+
+@pytest.mark.parametrize(("name", "kind", "lower"), [("byte_bpe_50k.json", "I", False), ("word_bpe_49k.json", "H", True)])
+def test_a_word_is_encoded_once_whatever_marks_follow(name, kind, lower):
+    enc = ChunkEncoder(public_tokenizers.path(name), kind, lower)
+    sent, encode, words = [], enc._encode, enc._words
+    enc._encode = lambda texts: sent.extend(texts) or encode(texts)
+    enc._words = lambda chunks: sent.extend(chunks) or words(chunks)
+    text = "first glorp glorp. glorp.%%% glorp### glorp, glorp!! (glorp) glorp's"
+    for _ in range(2):
+        assert list(array(kind, enc.encode([text])[0])) == enc.tok.encode(text, add_special_tokens=False).ids
+    assert sent.count("glorp") == 1
+    assert not any(x in sent for x in (" glorp.", " glorp.%%%", " glorp###", "glorp.%%%", "glorp###"))
+
+
+def test_letters_that_the_model_gets_past_the_cutting():
+    enc = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), "I")
+    low = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), "H", lower=True)
+    words = [chr(c) * n for c in range(0x21, 0x600) for n in (1, 3)] + ["Éclair", "naïve", "Straße", "ÖL", "мир", "Σάς", "ét"]
+    for e in (enc, low):
+        want = [x.ids for x in e.tok.encode_batch([f"x {w} y" for w in words], add_special_tokens=False)]
+        got = [list(array(e.dtype, x)) for x in e.encode([f"x {w} y" for w in words])]
+        assert got == want
