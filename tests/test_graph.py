@@ -157,6 +157,36 @@ def test_closeness_in_batches_of_source_words(spark, monkeypatch):
     assert all(abs(r["closeness"] - want[r["grupo"], r["nodo"]]) < 1e-8 for r in got)
 
 
+def test_closeness_runs_no_job_a_round(spark):
+    """A chain of 120 nodes needs 119 rounds; the number of jobs does not follow them."""
+    sc = spark.sparkContext
+    sc.setJobGroup("chain", "chain")
+    e = [("G", f"n{k:03}", f"n{k + 1:03}") for k in range(119)] + [("H", "a", "a"), ("H", "b", "a"), ("H", None, "a"), (None, "b", "a")]
+    got = closeness.inward_distance_sums(spark.createDataFrame(e, "grupo string, src string, dst string")).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("chain"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    want = {("G", f"n{k:03}"): (120, k, k * (k + 1) // 2) for k in range(120)} | {("H", "a"): (2, 1, 1), ("H", "b"): (2, 0, 0)}
+    assert {(r["grupo"], r["nodo"]): (r["n"], r["reach"], r["dist_sum"]) for r in got} == want
+    assert jobs < 60
+    empty = spark.createDataFrame([], "grupo string, src string, dst string")
+    assert closeness.inward_distance_sums(empty).collect() == []
+
+
+def test_closeness_by_tasks_and_by_joins(spark, monkeypatch):
+    rnd = random.Random(12)
+    data = sorted({(g, f"{g}{min(rnd.randrange(n), rnd.randrange(n))}", f"{g}{rnd.randrange(n)}")
+                   for g, n, m in (("a", 150, 400), ("b", 70, 90), ("c", 4, 5)) for _ in range(m)})
+    ge = spark.createDataFrame(data, "grupo string, src string, dst string")
+    whole = rows(closeness.inward_distance_sums(ge))
+    monkeypatch.setattr(closeness, "HUB_DEGREE", 3)
+    monkeypatch.setattr(closeness, "BLOCK_EDGES", 50)
+    monkeypatch.setattr(closeness, "TABLE_WORDS", 1)
+    assert rows(closeness.inward_distance_sums(ge)) == whole
+    for edges in (0, 100):  # all graphs by joins; the largest by joins, the others by tasks
+        monkeypatch.setattr(closeness, "TASK_EDGES", edges)
+        assert rows(closeness.inward_distance_sums(ge)) == whole
+
+
 def test_closeness_query_searches_every_group(spark, monkeypatch):
     names = "nodo string, grupo string, ind_filial_matriz string"
     nodes = spark.createDataFrame([("a", "G", "M"), ("b", "G", "F"), ("c", "H", "F"), ("d", None, None)], names)
