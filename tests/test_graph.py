@@ -4,8 +4,10 @@ from collections import defaultdict, deque
 from pyspark.sql import functions as F
 
 from conftest import NODE_SCHEMA, rows
+from holdnet import session
 from holdnet.operators import closeness, graph
 from holdnet.plans import graphs
+from holdnet.session import written
 
 EDGE_SCHEMA = "src string, dst string, anho_mes string, value double, rel_id string"
 
@@ -209,6 +211,23 @@ def test_sketched_closeness_is_near(spark):
     assert errors[len(errors) // 2] < 0.03 and errors[int(0.95 * len(errors))] < 0.10
 
 
+def test_sketches_in_batches_leave_only_sums(spark, monkeypatch, tmp_path):
+    rnd = random.Random(4)
+    data = [(g, f"{g}{rnd.randrange(n)}", f"{g}{rnd.randrange(n)}") for g, n, m in (("a", 60, 150), ("b", 15, 30), ("c", 9, 9)) for _ in range(m)]
+    data += [("d", "x", "x"), ("e", "y", None), (None, "x", "y")]
+    ge = spark.createDataFrame(data, "grupo string, src string, dst string")
+    whole = rows(closeness.sketched_distance_sums(ge))
+    assert {r[0] for r in whole} == set("abcde") and ("d", "x", 1, 0.0, 0.0) in whole
+    monkeypatch.setattr(closeness, "SKETCH_ROWS", 1)  # a batch a graph
+    monkeypatch.setattr(closeness, "written", lambda df, label="table", *more: folders.append(label) or written(df, label, *more))
+    monkeypatch.setattr(session, "shared_folder", lambda _, label: f"{tmp_path}/{label}-{len(folders)}")
+    folders = []
+    assert rows(closeness.sketched_distance_sums(ge)) == whole
+    kept = [p.name.rpartition("-")[0] for p in tmp_path.iterdir()]
+    assert folders.count("sums") == 5 and sorted(kept) == ["edges", "graphs", "nodes", *["sums"] * 5]
+    assert closeness.sketched_distance_sums(ge.limit(0)).collect() == []
+
+
 def test_listed_groups(spark):
     nodes = spark.createDataFrame([("a", "G", "M"), ("b", "G", "F"), ("c", "H", "F")], "nodo string, grupo string, ind_filial_matriz string")
     groups = spark.createDataFrame([("G",), ("empty",)], "grupo string")
