@@ -1,13 +1,14 @@
 """Plans of the relation steps: what travels through their shuffles, and the same rows as the plain joins."""
 
 import datetime
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import REL_SCHEMA, rows
-from holdnet.operators import flags, shares, tables
+from holdnet.operators import flags, joins, shares, tables
 from holdnet.plans import prediction, relations
 from holdnet.session import written
 from holdnet.sources import fixtures as fx
@@ -105,6 +106,31 @@ def test_partner_counts_are_shuffled_alike_at_every_size(spark):
         ("r1", 1, 1), ("r2", 1, 1), ("r3", 0, 1), ("r4", 1, 0)]
 
 
+def test_roles_and_months_of_an_end_need_one_shuffle(spark):
+    own = tables.observing_session(spark)
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rel = own.createDataFrame([("A", "B", 2020, 1), ("A", "C", 2020, 2), ("A", "B", None, 1), ("B", "A", 2020, 1), (None, "Z", 2020, 1)],
+                              "nodo_ini string, nodo_fin string, date_year_ini int, date_month_ini int")
+    profile = own.createDataFrame([("A", 2020, 1, "x"), ("A", 2020, 1, "y"), ("A", 2020, 3, "w"), ("C", 2020, 2, None),
+                                   (None, 2020, 1, "v"), ("B", None, 1, "u")], "id string, date_year_ini int, date_month_ini int, p string")
+    role = own.createDataFrame([("A", "M"), ("A", "F"), ("B", "F"), ("C", "M"), (None, "M")], "id string, r string")
+    features = [joins.profile_side(profile, s, ["p"]) for s in ("ini", "fin")]
+    roles = [role.select(F.col("id").alias(f"nodo_{s}"), F.col("r").alias(f"r_{s}")) for s in ("ini", "fin")]
+    want, sizes = rel, {}
+    for name, side in zip(("roles_ini", "roles_fin", "features_ini", "features_fin"), [*roles, *features], strict=True):
+        end = name[-3:]
+        want = want.join(side, [f"nodo_{end}", *(joins.MONTH if side in features else [])], "left")
+        sizes[name] = want.count()
+    counts = {}
+    out = joins.full_relation_table(rel, *features, [*rel.columns, "r_ini", "r_fin", "p_ini", "p_fin"], *roles, counts=counts)
+    assert rows(out) == rows(want.select(*out.columns))
+    assert tables.row_counts(counts) == sizes and [*counts] == [*sizes]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # the relations once per end; the roles and the companies' months, which the other end uses again
+    assert len(re.findall(r"- Exchange hashpartitioning\(nodo_", plan)) == 4
+
+
 def test_partner_counts_take_both_ends_in_one_pass(spark):
     df = spark.createDataFrame(REL, REL_SCHEMA)
     out = shares.node_partner_counts(df.withColumns({f"conteo_relacion_mismogrupo_{s}": F.length(f"nodo_{s}") for s in ("ini", "fin")}))
