@@ -123,29 +123,44 @@ def client_and_group_shares(df: DataFrame) -> DataFrame:
     return attach_shares(df, GROUP_CLIENT + SAME_GROUP)
 
 
-def _partner_counts(df: DataFrame, onto: DataFrame) -> DataFrame:
-    pairs = (df.filter(F.col("grupo_ini") == F.col("grupo_fin"))
-             .select("nodo_ini", "nodo_fin").distinct())
-    ini = pairs.groupBy("nodo_ini").agg(F.count("nodo_fin").alias("conteo_relacion_mismogrupo_ini"))
-    fin = pairs.groupBy("nodo_fin").agg(F.count("nodo_ini").alias("conteo_relacion_mismogrupo_fin"))
-    # a row per company: joined by a shuffle at every size
-    out = attach(attach(onto, ini.hint("merge"), ["nodo_ini"]), fin.hint("merge"), ["nodo_fin"])
-    return out.fillna(0, subset=["conteo_relacion_mismogrupo_ini", "conteo_relacion_mismogrupo_fin"])
+COUNTS = ["conteo_relacion_mismogrupo_ini", "conteo_relacion_mismogrupo_fin"]
+
+
+def _partner_counts(df: DataFrame) -> list[DataFrame]:
+    """Distinct same-group partners per start (``nodo_ini``) and per end company (``nodo_fin``), written: a row per company."""
+    pairs = df.filter(F.col("grupo_ini") == F.col("grupo_fin")).select("nodo_ini", "nodo_fin").distinct()
+    ends = F.array(*[F.struct(F.lit(k).alias("which"), F.col(key).alias("key"), F.col(other).alias("other"))
+                     for k, (key, other) in enumerate((("nodo_ini", "nodo_fin"), ("nodo_fin", "nodo_ini")))])
+    table = written(pairs.select(F.explode(ends).alias("e")).select("e.*").filter("key is not null")
+                    .groupBy("which", "key").agg(F.count("other").alias("n")), "partners")
+    return [table.filter(F.col("which") == k).select(F.col("key").alias(key), F.col("n").alias(COUNTS[k]))
+            for k, key in enumerate(("nodo_ini", "nodo_fin"))]
 
 
 def same_group_partner_count(df: DataFrame, tie_break: str = "rel_id") -> DataFrame:
     """Distinct same-group partners per start and per end company, one row per pair and month.
 
-    The distinct same-group pairs are computed once and feed both counts (one
-    exchange, reused); the pair-month dedupe runs before the join-back, which
-    gives the same rows as the reference's dedupe after it.
+    The distinct same-group pairs are computed once and feed both counts; the pair-month dedupe runs before the join-back,
+    which gives the same rows as the reference's dedupe after it.
     """
-    return _partner_counts(df, pair_month_dedup(df, tie_break))
+    out = pair_month_dedup(df, tie_break)
+    for counts in _partner_counts(df):  # a row per company: joined by a shuffle at every size
+        out = attach(out, counts.hint("merge"), counts.columns[:1])
+    return out.fillna(0, subset=COUNTS)
 
 
 def relation_features(df: DataFrame, tie_break: str = "rel_id") -> DataFrame:
-    """Same-group shares of all relations and partner counts, on one row per pair and month."""
-    return _partner_counts(df, attach_shares(df, SAME_GROUP, onto=pair_month_dedup(df, tie_break)))
+    """Same-group shares of all relations and partner counts, on one row per pair and month.
+
+    A company's share and count are put together first, so the relations are shuffled once per end.  Every company of an end
+    has a share row, so none of its counts is lost.
+    """
+    base = out = pair_month_dedup(df, tie_break)
+    table, counts = key_shares(df, SAME_GROUP), _partner_counts(df)
+    for k, (s, count) in enumerate(zip(SAME_GROUP, counts, strict=True)):
+        one = table.filter(F.col("which") == k).select(F.col("key").alias(s.key), F.col("value").alias(s.out))
+        out = attach(out, one.join(count, s.key, "left").hint("merge"), [s.key])
+    return out.select(*base.columns, *[s.out for s in SAME_GROUP], *COUNTS).fillna(0, subset=COUNTS)
 
 
 def group_amount_share(nodes: DataFrame) -> DataFrame:

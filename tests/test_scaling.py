@@ -106,6 +106,18 @@ def test_partner_counts_are_shuffled_alike_at_every_size(spark):
         ("r1", 1, 1), ("r2", 1, 1), ("r3", 0, 1), ("r4", 1, 0)]
 
 
+def test_relation_features_shuffle_relations_once_per_end(spark, monkeypatch):
+    monkeypatch.setattr(shares, "SMALL_ROWS", 0)
+    f = flags.same_group_flag(flags.client_flag(spark.createDataFrame(REL + [
+        ("A", "B", 2020, 1, 1.0, "r0", "G", "G", "R", "N"), ("A", "A", 2020, 3, 1.0, "r5", "G", "G", "R", "R")], REL_SCHEMA)))
+    out = shares.relation_features(f)
+    assert _plan(out).count("strategy=merge") == 2
+    want = shares.same_group_partner_count(f).join(shares.same_group_share(f).select(
+        "rel_id", *[s.out for s in shares.SAME_GROUP]), "rel_id")
+    assert sorted(out.columns) == sorted(want.columns)
+    assert rows(out, *sorted(out.columns)) == rows(want, *sorted(out.columns)) and out.count() == 5
+
+
 def test_roles_and_months_of_an_end_need_one_shuffle(spark):
     own = tables.observing_session(spark)
     own.conf.set("spark.sql.adaptive.enabled", "false")
