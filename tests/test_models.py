@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from holdnet import session
 from holdnet.operators import evaluate, kernel_svm, models
 
 
@@ -222,6 +223,14 @@ def test_learning_curve_sizes_and_valid_splits(spark):
         assert part[0]["train_mean"] is None if not known else math.isclose(part[0]["train_mean"], sum(known) / len(known))
 
 
+def test_learning_curve_keeps_predictions_as_one_table(spark, monkeypatch):
+    """Predictions (a row per fit and company) are Parquet, not a checkpoint of rows."""
+    labels = []
+    monkeypatch.setattr(models, "written", lambda df, label="table": labels.append((label, df.count())) or session.written(df, label), raising=False)
+    got = models.learning_curve(separable(spark, n=60).coalesce(1), "tree", sizes=(0.5, 1.0), n_splits=2).collect()
+    assert len(got) == 4 and labels == [("predictions", 2 * (15 + 30) + 4 * 30)]
+
+
 def test_importance_of_a_constant_feature_is_zero(spark):
     df = separable(spark).withColumn("x3", F.lit(1.0)).cache()
     df = models.encode_categories(df.withColumn("kind", F.when(F.col("x2") > 0, "a").when(F.col("x2") < -1, "b")), ["kind"])
